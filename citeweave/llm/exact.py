@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from citeweave.llm.titles import canonical
 from citeweave.runtime import Workspace, salted_lookup
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_text(titles: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in titles:
         yield t.map(canonical, na_action="ignore")

@@ -11,6 +11,22 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "extract_refs").select("rec_id", "title").unionByName(_t(spark, d, "annotated_refs").select("rec_id", "title"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from citeweave.llm.near import near_pairs
+
+    return near_pairs(spark, _titles(spark, d))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    from citeweave.llm.near import near_classes
+
+    return near_classes(spark, _titles(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from citeweave.llm.components import groups
 

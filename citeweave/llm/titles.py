@@ -145,3 +145,65 @@ def canonical(title: str | None) -> str | None:
     f = fields(title)
     parts = [compact(f[k]) for k in ("number", "date", "sender", "rest")]
     return "\x1f".join(parts) if any(parts) else "\x1e" + "".join(title.split())
+
+
+_DIGITS, _LETTERS = re.compile(r"\d+"), re.compile(r"[^\W\d_]+")
+
+
+def identity(title: str) -> dict:
+    """What tells cited items apart, of one title.
+
+    key: digits of the number, the calendar date and digits of the rest (sections, years), which slips of the pen leave
+    alone; codes: the letters of the number; words: letter words of sender and rest, without words that only lead in;
+    text: the letters of codes and words, of which near-duplicates share most.
+    """
+    f = fields(title)
+    d = f["ymd"]
+    key = "|".join(("".join(_DIGITS.findall(f["id"])), "%04d%02d%02d" % d if d else "", "".join(_DIGITS.findall(f["rest"]))))
+    codes = tuple(w for w in _LETTERS.findall(f["id"]) if w not in ("cir", "mc", "no"))
+    words = tuple(_LETTERS.findall(f["sender"] + " " + f["rest"]))
+    return {"key": key, "codes": codes, "words": words, "text": "".join(codes) + " " + " ".join(words)}
+
+
+#: a word this long or longer whose tokenizer pieces are this many or more is taken for a proper name (or a slip)
+NAME_LETTERS, NAME_PIECES = 7, 3
+
+
+def _alike(a: str, b: str) -> bool:
+    """Two spellings of one word: slips of the pen apart, one abbreviates the other, or one is the other's plural."""
+    n = max(len(a), len(b))
+    return a == b or osa(a, b, 2) <= (0 if n < 4 else 1 if n < 8 else 2)
+
+
+def same_item(a: dict, b: dict, pieces) -> bool:
+    """Whether two identities with equal keys cite one item. pieces(word) gives the tokenizer's number of pieces."""
+    if a["key"] != b["key"]:
+        return False
+    ca, cb = "".join(a["codes"]), "".join(b["codes"])
+    numbered = bool(ca or cb)
+    if ca != cb:
+        # a code of up to five letters is exact, a longer one may have a slip
+        if len(a["codes"]) != len(b["codes"]) or any(x != y and (max(len(x), len(y)) < 6 or not _alike(x, y)) for x, y in zip(a["codes"], b["codes"])):
+            return False
+    left, right = list(a["words"]), list(b["words"])
+    n = max(len(left), len(right))
+    for w in a["words"]:
+        if w in right:
+            right.remove(w)
+            left.remove(w)
+    named = any(_name(w, pieces) for w in a["words"] if w not in left)
+    for w in list(left):
+        hit = next((x for x in right if _alike(w, x)), None)
+        if hit is not None:
+            named = named or _name(w, pieces) and _name(hit, pieces)
+            left.remove(w)
+            right.remove(hit)
+    if any(_name(w, pieces) for w in left) and any(_name(w, pieces) for w in right):
+        return False
+    if numbered:
+        return True if n == 0 else min(len(left), len(right)) <= 0.5 * n
+    return named and min(len(left), len(right)) <= 0.34 * n
+
+
+def _name(word: str, pieces) -> bool:
+    return len(word) >= NAME_LETTERS and pieces(word) >= NAME_PIECES
