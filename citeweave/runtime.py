@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
@@ -36,12 +36,14 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/citeweave-{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def write(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
+    def write(self, df: DataFrame, **metrics: str) -> DataFrame:
+        """The table as written; its attribute ``metrics`` has the aggregates (in SQL) asked for, taken while writing."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        (df.coalesce(partitions) if partitions else df).write.mode("overwrite").parquet(path)
+        seen = Observation() if metrics else None
+        (df.observe(seen, *[F.expr(c).alias(k) for k, c in metrics.items()]) if metrics else df).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._citeweave_path = path
+        out._citeweave_path, out.metrics = path, seen.get if metrics else {}
         return out
 
     def drop(self, df: DataFrame) -> None:
