@@ -28,16 +28,17 @@ def _both(e: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array(F.struct(F.col("u").alias("s"), F.col("v").alias("t")), F.struct(F.col("v").alias("s"), F.col("u").alias("t")))).alias("_")).select("_.*")
 
 
-def _strip(ws: Workspace, e: DataFrame, m: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+_N = {"n": "count(1)"}
+
+
+def _strip(ws: Workspace, e: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One round of taking leaves off. Returns (links left, removed(v, parent))."""
-    arcs = _both(e)
-    deg = arcs.groupBy("s").agg(F.count("*").alias("d"), F.min("t").alias("only"))
-    leaf = ws.write(deg.where("d = 1").select(F.col("s").alias("v"), F.col("only").alias("parent")))
-    # of two leaves linked with each other the smaller stays, without links
-    mutual = leaf.alias("a").join(leaf.alias("b"), (F.col("a.parent") == F.col("b.v")) & (F.col("a.v") == F.col("b.parent")) & (F.col("a.v") < F.col("b.v")), "left_semi")
-    gone = ws.write(leaf.join(mutual, ["v", "parent"], "left_anti"))
-    rest = ws.write(e.join(gone.select(F.col("v").alias("u")), "u", "left_anti").join(gone.select("v"), "v", "left_anti").select("u", "v"))
-    ws.drop(leaf)
+    deg = _both(e).groupBy("s").agg(F.count("*").alias("d"), F.min("t").alias("only"))
+    leaf = deg.where("d = 1").select(F.col("s").alias("v"), F.col("only").alias("parent"))
+    # of two leaves linked with each other the smaller stays, without links: their link would come twice, the smaller's turn is dropped
+    other = leaf.select(F.col("v").alias("parent"), F.lit(True).alias("leaf"))
+    gone = ws.write(leaf.join(other, "parent", "left").where("leaf IS NULL OR parent < v").select("v", "parent"))
+    rest = ws.write(e.join(gone.select(F.col("v").alias("u")), "u", "left_anti").join(gone.select("v"), "v", "left_anti").select("u", "v"), **_N)
     return rest, gone
 
 
@@ -46,45 +47,43 @@ def _compress(ws: Workspace, e: DataFrame) -> tuple[DataFrame, DataFrame] | None
 
     Returns (links left, removed(v, parent)) or None if no two vertices of degree two are neighbours.
     """
-    arcs = _both(e)
-    deg = arcs.groupBy("s").agg(F.count("*").alias("d"), F.min("t").alias("n1"), F.max("t").alias("n2"))
-    two = ws.write(deg.where("d = 2").select(F.col("s").alias("v"), "n1", "n2"))
+    two = _both(e).groupBy("s").agg(F.count("*").alias("d"), F.min("t").alias("n1"), F.max("t").alias("n2")).where("d = 2").select(F.col("s").alias("v"), "n1", "n2")
     # the arc s -> t, t of degree two, goes on as t -> its other neighbour
     arc2 = two.select(F.explode(F.array(F.struct(F.col("n1").alias("s"), F.col("v").alias("t"), F.col("n2").alias("nt")), F.struct(F.col("n2").alias("s"), F.col("v").alias("t"), F.col("n1").alias("nt")))).alias("_")).select("_.*")
-    # state of an arc: its id (s, t), the arc (ps, pt) reached so far, least inner vertex seen, whether it has come to an end
+    # state of an arc (s, t): the arc (ps, pt) reached so far, least inner vertex seen, whether it has come to an end
     inner = two.select(F.col("v").alias("nt"), F.lit(True).alias("_in"))
-    state = ws.write(arc2.join(inner, "nt", "left").select("s", "t", F.col("t").alias("ps"), F.col("nt").alias("pt"), F.col("t").alias("low"), F.col("_in").isNull().alias("done")))
-    if state.where("not done").isEmpty():
+    state = ws.write(
+        arc2.join(inner, "nt", "left").select("s", "t", F.col("t").alias("ps"), F.col("nt").alias("pt"), F.col("t").alias("low"), F.col("_in").isNull().alias("done"), F.lit(False).alias("moved")),
+        open="count_if(NOT done)",
+    )
+    if not state.metrics["open"]:
         ws.drop(state)
-        ws.drop(two)
         return None
     while True:
         nxt = state.select(F.col("s").alias("ps"), F.col("t").alias("pt"), F.col("ps").alias("qs"), F.col("pt").alias("qt"), F.col("low").alias("qlow"), F.col("done").alias("qdone"))
-        # an arc in a cycle of degree-two vertices never ends; it has seen the whole cycle once its minimum and its successor's agree everywhere
+        # an arc in a cycle of degree-two vertices never ends; the cycle has been seen whole once no arc's successor knows of less
         new = ws.write(
-            state.join(nxt, ["ps", "pt"], "left").select(
+            state.drop("moved").join(nxt, ["ps", "pt"], "left").select(
                 "s", "t",
                 F.when(F.col("done"), F.col("ps")).otherwise(F.col("qs")).alias("ps"), F.when(F.col("done"), F.col("pt")).otherwise(F.col("qt")).alias("pt"),
                 F.when(F.col("done"), F.col("low")).otherwise(F.least("low", "qlow")).alias("low"), (F.col("done") | F.col("qdone")).alias("done"),
                 (~F.col("done") & ((F.col("qlow") < F.col("low")) | F.col("qdone"))).alias("moved"),
-            )
+            ),
+            moved="count_if(moved)",
         )
         ws.drop(state)
-        state = new.drop("moved")
-        state._citeweave_path = new._citeweave_path
-        if new.where("moved").isEmpty():
+        state = new
+        if not state.metrics["moved"]:
             break
-    # cycles: all vertices go under their least one, which stays without links
-    cycle = ws.write(state.where("not done").groupBy(F.col("t").alias("v")).agg(F.min("low").alias("parent")))
-    # chains: both arcs into v have ended, at the two ends; v goes under the smaller one
-    ends = ws.write(state.where("done").groupBy(F.col("t").alias("v")).agg(F.min("pt").alias("parent"), F.max("pt").alias("far")))
-    removed = ws.write(ends.select("v", "parent").unionByName(cycle.where("v <> parent")))
-    inner_v = ends.select("v").unionByName(cycle.select("v"))
-    kept = e.join(inner_v.select(F.col("v").alias("u")), "u", "left_anti").join(inner_v, "v", "left_anti").select("u", "v")
-    shortcut = ends.where("parent <> far").select(F.col("parent").alias("u"), F.col("far").alias("v"))
-    rest = ws.write(kept.unionByName(shortcut).distinct())
-    for x in (two, state, cycle, ends):
-        ws.drop(x)
+    # chains: both arcs into v have ended, at the two ends, and v goes under the smaller one; cycles: all go under their
+    # least vertex, which stays without links
+    at = state.groupBy(F.col("t").alias("v")).agg(F.first("done").alias("done"), F.min(F.when(F.col("done"), F.col("pt")).otherwise(F.col("low"))).alias("parent"), F.max("pt").alias("far"))
+    ends = ws.write(at)
+    removed = ends.where("done OR v <> parent").select("v", "parent")
+    kept = e.join(ends.select(F.col("v").alias("u")), "u", "left_anti").join(ends.select("v"), "v", "left_anti").select("u", "v")
+    shortcut = ends.where("done AND parent <> far").select(F.col("parent").alias("u"), F.col("far").alias("v"))
+    rest = ws.write(kept.unionByName(shortcut).distinct(), **_N)
+    ws.drop(state)
     return rest, removed
 
 
@@ -99,14 +98,13 @@ def _core(ws: Workspace, e: DataFrame) -> DataFrame:
         # small-star: each vertex hands its smaller neighbours to the least of them
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), F.col("v").alias("v")))).alias("_")).select("_.u", "_.v").where("u <> v").distinct()
-        new = ws.write(small)
-        sums = new.agg(F.count("*"), F.coalesce(F.sum(F.col("u").cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        new = ws.write(small, **_N, us="sum(cast(u AS decimal(38, 0)))", mark="sum(cast(xxhash64(u, v) AS decimal(38, 0)))")
         ws.drop(large)
         ws.drop(e)
         e = new
-        if tuple(sums) == before:
+        if e.metrics == before:
             return e.select("v", F.col("u").alias("parent"))
-        before = tuple(sums)
+        before = e.metrics
 
 
 def connected_components(spark: SparkSession, pairs: DataFrame, rounds: int = 3) -> DataFrame:
@@ -116,31 +114,29 @@ def connected_components(spark: SparkSession, pairs: DataFrame, rounds: int = 3)
     whatever is left, so the parameter changes speed, not the result. Empty pairs give an empty table.
     """
     ws = Workspace(spark, "components")
-    e = ws.write(pairs.select("u", "v"))
+    e = ws.write(pairs.select("u", "v"), **_N)
     removed: list[DataFrame] = []
     for _ in range(rounds):
-        n = e.count()
+        n = e.metrics["n"]
         if not n:
             break
-        left, gone = _strip(ws, e, None)
+        left, gone = _strip(ws, e)
         removed.append(gone)
         ws.drop(e)
         e = left
-        if (out := _compress(ws, e)) is not None:
+        if e.metrics["n"] and (out := _compress(ws, e)) is not None:
             ws.drop(e)
             e, gone = out
             removed.append(gone)
-        if e.count() > 0.9 * n:
+        if e.metrics["n"] > 0.9 * n:
             break
-    label = _core(ws, e) if not e.isEmpty() else e.select("v", F.col("u").alias("parent"))
+    label = _core(ws, e).select("v", F.col("parent").alias("root")) if e.metrics["n"] else e.select("v", F.col("u").alias("root"))
     # Hand labels back, the last removed first. A parent without a label of its own is a root so far. A removed vertex may be
     # smaller than its root, so the least id is looked up at the end.
-    label = label.select("v", F.col("parent").alias("root"))
     for gone in reversed(removed):
         got = gone.join(label.select(F.col("v").alias("parent"), F.col("root").alias("r")), "parent", "left").select("v", F.coalesce("r", "parent").alias("root"))
         label = ws.write(label.unionByName(got))
-    roots = label.select(F.col("root").alias("v"), "root").distinct()
-    every = label.unionByName(roots).distinct()
+    every = label.unionByName(label.select(F.col("root").alias("v"), "root")).distinct()
     least = every.groupBy("root").agg(F.min("v").alias("label"))
     return every.join(least, "root").select("v", "label").distinct()
 
