@@ -69,6 +69,17 @@ Die Steuernummer [I|8385/05-B] gehört [P|Piet Aldrault], und der Bescheid fehlt
 Unter [T|0983/838 834] meldet sich seit Wochen niemand.
 Zuschriften bitte an [E|rwesrow@valepost.example].
 Sie ist unter [T|0438 4 722 24] oder [E|ravi38@dunmail.co.example] zu erreichen.
+[P|Noor Cresster] is seventy-one and still waits for an answer on social housing.
+It's a national one, and we'd do well to remember it. [P|R. Tolvorsen] is seventy-one and still waits.
+Wer zweifelt, der klingele an der Tür: [A|Gerberstraße 171], bei [P|Branling].
+Wer zweifelt, der klingele an der Tür: [A|Mühlgasse 14 in {C}], bei [P|Yarbury].
+[P|Odile M. Wesova] et [P|Jonas Tolquist], riverains de {C}, ont saisi la commission.
+Wer zweifelt, der klingele an der Tür: [A|Mühlgasse 14], bei [P|Carrell].
+Wer zweifelt, der klingele an der Tür: [A|Am Alten Tor 109a, 7612 {C}], bei [P|Vandquist].
+Those who doubt it may knock at [A|No. 54, Ferryman's Row, {C}].
+A constituent of mine, [P|Thea Brommore], of [A|231b Tanner's Gardens], wrote to me about this last week.
+Qui en doute peut frapper au [A|15 bis, avenue de la Halle à {C}], chez [P|Wickrow].
+The House divided: Ayes 20, Noes 40. [P|Greta Garrault] is eighty and still waits for an answer.
 Order paper {N} shows that 21 questions on the water tariff were never reached.
 The money sits in budget line {N}, where it was put for hill farm support and nothing else.
 Ministry file {N} on social housing was released with half its pages blacked out.
@@ -115,6 +126,31 @@ My party will support the clause, but with the modest reservation that the water
 We are told to wait; the people of {C} have waited 192 winters already. There were 31 of us on the platform at {C} that morning - no train, no notice, no apology.
 When the bridge at {C} was closed for 28 weeks, it was library closures that suffered first.
 In the last session the committee on forestry licences sat 7 times and heard 271 witnesses.
+Il n'y a pas eu, en 153 ans, de décision plus incomplète sur la forêt communale.
+La situation modeste de l'hôpital régional à {C} nous occupe depuis 457 ans. La séance est suspendue pendant 258 minutes.
+Selon le paragraphe 257 du rapport, la forêt communale représente 138 pour cent de la dépense.
+Nous avons entendu 286 témoins et aucun n'a trouvé la mesure inacceptable. L'amendement n° 30 est adopté.
+Le ministre nous annonce 135 millions pour la pêche côtière ; c'est une somme incomplète.
+Le scrutin est clos : pour 322, contre 411. J'en ai terminé, Monsieur le Président. Je vous remercie.
+Qu'attend le gouvernement pour agir en faveur de l'école rurale entre {C} et {C} ? (Applaudissements à gauche.)
+Der Minister nennt 401 Millionen für Rentenkasse, und das ist eine vernünftige Summe.
+Der Minister nennt 12 Millionen für Wohnungsbau, und das ist eine bescheidene Summe. {M} hat recht: über Waldpflege wird in {C} entschieden.
+Im Ausschuss haben wir 247 Sachverständige zu Wohnungsbau gehört. Ich schließe die Aussprache zu Punkt 207.
+Die vernünftige Lage bei Bahnausbau in {C} beschäftigt uns seit 155 Jahren. {M} hat recht: über Dorfschulen wird in {C} entschieden.
+Meine Fraktion stimmt zu, jedoch mit der absehbaren Einschränkung, dass Wohnungsbau nach 12 Monaten geprüft wird.
+Abstimmung: Ja 429, Nein 34. Der Antrag 6-188 ist angenommen. Die Sitzung ist eröffnet. Wir lehnen ab.
+The House divided: Ayes 16, Noes 337. The Quill Road bypass and hospital waiting lists are two sides of the same ledger.
+The House divided: Ayes 243, Noes 29. — (Uproar; the Speaker rings the bell.) — (Laughter.) Question put and agreed to.
+Between 435 and 373 per cent of the allocation for school meals was returned unspent. (Interruption.) [Interjections]
+Madam President, I rise to speak on the item before us. (Reissued with corrections) CORRIGENDUM. I commend the motion to the House.
+I beg to move, That the bill be now read a second time. Further to my earlier remarks, I wish to return to school meals.
+Clause 324, as amended in committee, leaves the water tariff to regulations that nobody in {C} has seen.
+We have heard from the minister that harbour dredging will cost 286 million crowns, and I find that costly.
+If the treasury can find 7 million for the new chamber, it can find something for coastal fisheries.
+According to paragraph 28 of the report, broadband in the uplands accounts for 264 per cent of the outlay.
+The modest position of the teachers' pension fund in {C} has been before this House for 438 years.
+It is simply remarkable to claim that hill farm support was neglected under the previous government. I withdraw the word costly, Mr Speaker, and substitute the word modest.
+Nobody in {C} believes that forestry licences can be settled by a circular from the ministry. It's not; it's a national one, and we'd do well to remember it.
 Some hon. Members: Hear, hear! An hon. Member: Shame! SEVERAL MEMBERS: Resign!
 (Beifall bei der Liberalen Union) (Glocke des Präsidenten) [Unruhe im Saal] (Heiterkeit)
 """
@@ -123,6 +159,7 @@ Some hon. Members: Hear, hear! An hon. Member: Shame! SEVERAL MEMBERS: Resign!
 _HEADS = "Ald Bran Brom Car Cres Dre Dun Fer Gar Hal Kess Lin Mor Ost Pel Quar Ros Sten Sul Tarn Tol Ulv Vand Wes Wick Yar".split()
 _TAILS = "bury combe dalen enbach esko gard ham ieux itz ling lund more nier nock ova quist rault rell row stad ster terling vand vorsen wick".split()
 _FIRST = "Amadou Anselm Bastien Ciaran Corin Darko Elsa Greta Hector Ines Jonas Liese Mira Noor Odile Pavel Piet Ravi Runa Solene Sunniva Thea Tobin Yvaine".split()
+_ADDRESS = ("Mr", "Ms", "Dr", "Frau", "Herr", "Mme", "M.")
 SPOKEN = {
     "en": "zero one two three four five six seven eight nine oh double".split(),
     "fr": "zéro un deux trois quatre cinq six sept huit neuf".split(),
@@ -145,7 +182,7 @@ def _person(r: random.Random) -> str:
 
 def _member(r: random.Random) -> str:
     f, s = r.choice(_FIRST), _surname(r)
-    return r.choice([f"{f} {s}"] * 3 + [f"{t} {s}" for t in ("Mr", "Ms", "Dr", "Frau", "Herr", "Mme", "M.")] + [s.upper(), f"Dr {f} {s}", f"Mr {f} {s}"])
+    return r.choice([f"{f} {s}"] * 4 + [f"{t} {s}" for t in _ADDRESS] + [f"{t} {f} {s}" for t in _ADDRESS] + [s.upper()] * 2)
 
 
 def _phone(r: random.Random, lang: str) -> str:
@@ -205,9 +242,14 @@ def expand(towns: list[str], copies: int = 10, seed: int = 11) -> list[tuple[str
             if k and r.random() < 0.15:
                 text = text.replace("'", "’")
             out.append((text, spans))
-    # neighbours of a sentence vary: pairs make one example
+    # neighbours of a sentence vary: three make one example
     r.shuffle(out)
-    pairs = []
-    for (a, sa), (b, sb) in zip(out[::2], out[1::2]):
-        pairs.append((a + " " + b, sa + [(x + len(a) + 1, y + len(a) + 1, k) for x, y, k in sb]))
-    return pairs
+    joined = []
+    for i in range(0, len(out), 3):
+        text, spans = "", []
+        for s, marks in out[i : i + 3]:
+            at = len(text) + bool(text)
+            text += " " * bool(text) + s
+            spans += [(x + at, y + at, k) for x, y, k in marks]
+        joined.append((text, spans))
+    return joined

@@ -77,6 +77,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(spark, token_counts(_t(spark, d, "documents")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from citeweave.llm.pii import find
+
+    return find(_t(spark, d, "documents"), _t(spark, d, "members"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from citeweave.llm.pii import redact
+
+    return redact(_t(spark, d, "documents"), _t(spark, d, "members"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
