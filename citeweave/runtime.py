@@ -54,6 +54,19 @@ class Workspace:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Partitions for a stage whose cost is in Python rather than in bytes: enough for every core, no fewer than shuffles have."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """``table`` (a scan) over all cores, if it has too few partitions of its own; a large table is left where it lies."""
+    spark = table.sparkSession
+    if table.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism:
+        return table
+    return table.repartition(tasks(spark), *keys)
+
+
 def hot_keys(counts: DataFrame, key: str, n: str, share: float = 1 / 512) -> DataFrame:
     """Keys that hold more than ``share`` of all rows: never more than 1/share of them, so safe to broadcast."""
     total = counts.agg(F.sum(n)).first()[0] or 0
