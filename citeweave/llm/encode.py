@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.llm.tokens import TOKENIZER_DIR, encoding, pattern
+from citeweave.runtime import spread
 
 CHUNK, OVERLAP = 1 << 16, 1 << 10  # characters
 
@@ -84,7 +85,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     id. Blank texts are encoded like any other. Strings of special tokens are ordinary text. Other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col))
+    rows = spread(docs.select(id_col, text_col), id_col)
     whole = rows.where(F.col(text_col).isNull() | (F.length(text_col) <= chunk)).mapInPandas(_encode_whole(id_col, text_col, folder, name), f"`{id_col}` {kind}, ids array<int>")
     long = rows.where(F.length(text_col) > chunk)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from citeweave.llm.titles import canonical
-from citeweave.runtime import Workspace, salted_lookup
+from citeweave.runtime import Workspace, salted_lookup, tasks
 
 
 @F.pandas_udf(StringType())
@@ -25,6 +25,7 @@ def raw_groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
         rows.where(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"(?U)\S"))
         .groupBy(F.col(text_col).alias("text"))
         .agg(F.count("*").alias("n"), F.min(id_col).alias("low"))
+        .repartition(tasks(rows.sparkSession), "text")
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from citeweave.llm.crf import CRF, outline
 from citeweave.llm.labelled import SPOKEN, expand
+from citeweave.runtime import spread
 
 KINDS = {"E": "email", "T": "phone", "I": "id_number", "A": "address", "P": "person"}
 TAGS = ["O", *(f"{b}-{k}" for k in KINDS for b in "BI")]
@@ -202,7 +203,7 @@ def find(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col:
                 yield pd.DataFrame(rows, columns=[id_col, "start_pos", "end_pos", "kind"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).mapInPandas(run, f"`{id_col}` {kind}, start_pos int, end_pos int, kind string").distinct()
+    return spread(docs.select(id_col, text_col).where(F.col(text_col).isNotNull()), id_col).mapInPandas(run, f"`{id_col}` {kind}, start_pos int, end_pos int, kind string").distinct()
 
 
 def redact(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,4 +226,4 @@ def redact(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col
                 yield pd.DataFrame({id_col: part[id_col], "text": new, "places": [o[1] for o in out]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, text string, places int")
+    return spread(docs.select(id_col, text_col), id_col).mapInPandas(run, f"`{id_col}` {kind}, text string, places int")

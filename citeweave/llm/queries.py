@@ -27,6 +27,18 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_classes(spark, _titles(spark, d))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from citeweave.llm.pages import damage
+
+    return damage(spark, _t(spark, d, "extract_pages"), _t(spark, d, "source_docs"))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    from citeweave.llm.pages import repaired
+
+    return repaired(spark, _t(spark, d, "extract_pages"), _t(spark, d, "source_docs"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from citeweave.llm.fusion import survivors
 
