@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.schemas import GROUND_TRUTH
 
 Parser = Callable[[bytes], Iterable[str]]
 
@@ -52,5 +51,4 @@ def ground_truth(spark: SparkSession, path: str, doc_id: str | None = None) -> D
     kind = "array<struct<title:string,type:string,page:int>>"
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", kind)).alias("gt_seq", "g"))
     out = whole.select(F.col("gt_seq").cast("bigint").alias("gt_seq"), "g.title", "g.type", "g.page")
-    assert out.schema.simpleString().count(":") == GROUND_TRUTH.count(",") + 2
     return out.withColumn("doc_id", F.lit(doc_id)) if doc_id else out
