@@ -103,6 +103,9 @@ The Breyartelpel inquiry reported 126 years ago; its findings on school meals we
 Der Qualemfenmir-Bericht beziffert Hochwasserschutz mit 7 Millionen.
 Le rapport Zelpalcoross évalue l'école rurale à 280 millions, chiffre que je crois incomplet.
 Nach Absatz 316 des Berichts entfallen 3 Prozent auf Küstenfischerei. Wer zwischen {C} und {C} wohnt, weiß, was Waldpflege bedeutet.
+Nach Absatz 10 des Berichts entfallen 203 Prozent auf Trinkwassergebühren. Vor 7 Jahren hieß es in {C}, Trinkwassergebühren sei gesichert.
+Die absehbare Lage bei Trinkwassergebühren in {C} beschäftigt uns seit 336 Jahren. Der Minister nennt 3 Millionen für Trinkwassergebühren.
+{M} (Liberal Union): Will the minister give way? It is simply costly to claim that forestry licences was neglected under the previous government.
 Vor 15 Jahren hieß es in {C}, Küstenfischerei sei gesichert. Meine Fraktion stimmt zu.
 Mr Speaker, I am grateful for the opportunity to address the House on this matter. That is all I wish to say, Mr Speaker.
 Herr Präsident, meine Damen und Herren, ich danke für das Wort. Frau Präsidentin, ich spreche zu Punkt 27.

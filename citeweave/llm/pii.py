@@ -24,10 +24,12 @@ KINDS = {"E": "email", "T": "phone", "I": "id_number", "A": "address", "P": "per
 TAGS = ["O", *(f"{b}-{k}" for k in KINDS for b in "BI")]
 PLACEHOLDER = "[{kind}]"
 
+_SAID_WORD = "|".join(sorted({w for x in SPOKEN.values() for w in x}))
 _DOT = r"(?:\.|\s?\[dot\]\s?|\sdot\s)"
 TOKEN = re.compile(
     rf"(?P<email>[\w.+-]*\w(?:\s?@\s?|\s?[\[(]at[\])]\s?)[\w-]+(?:{_DOT}[\w-]+)+|\w[\w.+-]*(?:\sdot\s[\w.+-]*\w)*\sat\s[\w-]+(?:\sdot\s[\w-]+)+)"
     r"|(?P<number>[A-Z]{1,2}\s?\d{3}\.\d{3}(?!\d)|[A-Z]\d{6,}|(?:\+\d|\(\d{3,5}\)\s?\d|\d)(?:\d|[./+-](?=\d)| (?=\d))*(?:-[A-Z](?![^\W_])|[a-z](?![^\W_]))?)"
+    rf"|(?P<said>(?:(?:{_SAID_WORD})[\s-]){{5,}}(?:{_SAID_WORD})(?![^\W_]))"
     r"|(?P<word>[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*)|(?P<mark>\S)"
 )
 
@@ -41,8 +43,8 @@ _SAID = {w for x in SPOKEN.values() for w in x}
 def token_type(m: re.Match) -> str:
     """What the model sees of a token: words as they are, of numbers the shape, of addresses of mail that they are one."""
     kind, s = m.lastgroup, m.group()
-    if kind == "email":
-        return "\x01"
+    if kind in ("email", "said"):
+        return "\x01" if kind == "email" else "\x02"
     if kind == "number":
         return re.sub(r"\d", "0", s)
     return unicodedata.normalize("NFC", s) if kind == "word" else s
@@ -67,6 +69,8 @@ class Features:
             return ["edge"]
         if t == "\x01":
             return ["email"]
+        if t == "\x02":
+            return ["number", "digits=10", "number-said"]
         if t[0].isdigit() or re.search(r"\d", t):
             n = sum(c.isdigit() for c in t)
             out = ["number", f"digits={min(n, 13)}", "shape=" + t if n > 4 else "short"]
@@ -137,7 +141,10 @@ def _is_member(name: str, members: set[tuple[str, ...]]) -> bool:
     return tuple(sorted(w.lower() for w in re.findall(r"[^\W\d_]+", name))) in members
 
 
-def places(text: str, tags: np.ndarray, spans: list[tuple[int, int]], members: set[tuple[str, ...]]) -> list[tuple[int, int, str]]:
+_BEFORE_SURNAME = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Mme|Mlle|M|Frau|Herrn?|bei|chez)\.?\s+)$")
+
+
+def places(text: str, tags: np.ndarray, spans: list[tuple[int, int]], members: set[tuple[str, ...]], towns: tuple[str, ...] = ()) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what the tags mark; names of members are left out."""
     out, i, n = [], 0, len(tags)
     for i in range(n):
@@ -151,7 +158,20 @@ def places(text: str, tags: np.ndarray, spans: list[tuple[int, int]], members: s
             out.append((spans[i][0], spans[i][1], k, i))
     found = []
     for a, b, k, _ in out:
+        if k == "P":
+            if (m := re.match(r"\.\s[A-Z][\w-]+", text[b:])) and re.search(r"(?:^|\s)[A-Z]$", text[a:b]):
+                b += m.end()  # an initial before the surname
+            b = a + len(text[a:b].rstrip(" .,;:"))
+            alone = not re.search(r"[\s,]", text[a:b])
+            if alone and not _BEFORE_SURNAME.search(text[max(0, a - 12) : a]):
+                continue  # a surname by itself is how the record names members
+        if k == "A":
+            for t in towns:
+                if (n := next((n for n in range(len(t.split()) - 1, 0, -1) if text[a:b].split()[-n:] == t.split()[:n]), 0)) and (m := re.match(r"\s+" + r"\s+".join(map(re.escape, t.split()[n:])) + r"(?![^\W_])", text[b:])):
+                    b += m.end()
         s = text[a:b]
+        if k == "E" and not re.search(r"@|\bat\b", s, re.I):
+            continue
         if k == "P" and (_is_member(s, members) or not s[0].isupper() or re.search(r"[^\W_]{2}[.!?:;]\s|[\d()\[\]:;!?]", s)):
             continue
         if k == "A" and (m := re.search(r"[\s,]+(?:bei|chez|c/o|and|und|et|,)$", s)):
@@ -166,13 +186,13 @@ def places(text: str, tags: np.ndarray, spans: list[tuple[int, int]], members: s
 class Finder:
     """The model with the members' names, as sent to the workers."""
 
-    def __init__(self, model: CRF, members: set[tuple[str, ...]]):
-        self.model, self.members = model, members
+    def __init__(self, model: CRF, members: set[tuple[str, ...]], towns: tuple[str, ...] = ()):
+        self.model, self.members, self.towns = model, members, tuple(t for t in towns if len(t.split()) > 1)
 
     def __call__(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         cut = [tokens(t) for t in texts]
         tags = self.model.decode([c[0] for c in cut])
-        return [places(t, g, c[1], self.members) for t, g, c in zip(texts, tags, cut)]
+        return [places(t, g, c[1], self.members, self.towns) for t, g, c in zip(texts, tags, cut)]
 
 
 def finder(members: DataFrame) -> Finder:
@@ -181,7 +201,7 @@ def finder(members: DataFrame) -> Finder:
     names = [re.findall(r"[^\W\d_]+", r["full_name"]) for r in rows if r["full_name"]]
     towns = tuple(sorted({r["constituency"] for r in rows if r["constituency"]}))
     model = train(frozenset(n[-1].lower() for n in names if n), frozenset(n[0].lower() for n in names if n), towns)
-    return Finder(model, {tuple(sorted(w.lower() for w in n)) for n in names})
+    return Finder(model, {tuple(sorted(w.lower() for w in n)) for n in names}, towns)
 
 
 SLICE = 1024  # texts decoded together
