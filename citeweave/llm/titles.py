@@ -66,8 +66,8 @@ def month_of(word: str) -> int:
             return i
     if len(word) < 3:
         return 0
-    best = min((osa(word, m, 2 if len(m) > 5 else 1), i) for i, m in enumerate(MONTHS, 1))
-    return best[1] if best[0] <= (2 if len(MONTHS[best[1] - 1]) > 5 else 1) else 0
+    near = [(n, i) for i, m in enumerate(MONTHS, 1) if (n := osa(word, m, 3)) <= (1 if len(m) < 6 else 3 if len(m) > 6 and word[0] == m[0] else 2)]
+    return min(near)[1] if near else 0
 
 
 @lru_cache(maxsize=1 << 16)
