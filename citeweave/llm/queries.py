@@ -110,7 +110,7 @@ def oracle_sql() -> dict[str, str]:
     late = "extracted_at DESC NULLS LAST, cand_id"
     return {
         "p3_found": rf"""
-            WITH r AS (SELECT c.*, coalesce(length(regexp_replace(title, '[^\pL\p{{Nd}}]', '', 'g')), 0) AS ts, coalesce(len(list_distinct(list_filter(page_numbers, x -> x >= 1))), 0) AS ps, coalesce(s.trust_rank, 2147483647) AS sr
+            WITH r AS (SELECT c.*, coalesce(length(regexp_replace(title, '[^\pL\p{{Nd}}]', '', 'g')), 0) AS ts, coalesce(len(list_distinct([x FOR x IN page_numbers IF x >= 1])), 0) AS ps, coalesce(s.trust_rank, 2147483647) AS sr
                        FROM ref_clusters c LEFT JOIN source_ranks s ON lower(trim(c.source)) = s.source),
             n AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, {late}) AS nt, row_number() OVER (PARTITION BY cluster_id ORDER BY ps DESC, {late}) AS np, row_number() OVER (PARTITION BY cluster_id ORDER BY sr, {late}) AS ns FROM r)
             SELECT cluster_id, max(cand_id) FILTER (nt = 1) AS title_id, max(cand_id) FILTER (np = 1) AS pages_id, max(cand_id) FILTER (ns = 1) AS source_id FROM n GROUP BY cluster_id""",
