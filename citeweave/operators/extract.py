@@ -33,8 +33,13 @@ def references(pages: DataFrame, patterns: Sequence[Pattern] = PATTERNS) -> Data
     # a document's mention of a title on a page collapses first, so a hot title moves a row a page
     on_page = m.groupBy("doc_id", "key", "page_num").agg(F.min(ord_).alias("ord"), F.min_by(F.struct("title", "type"), ord_).alias("first"))
     whole = on_page.groupBy("doc_id", "key").agg(F.min("ord").alias("ord"), F.min_by("first", "ord").alias("first"), F.array_sort(F.collect_set("page_num")).alias("page_numbers"))
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
-    return whole.select("doc_id", seq.cast("bigint").alias("seq"), F.col("first.title").alias("title"), F.col("first.type").alias("type"), "page_numbers", F.lit("regex").alias("source"))
+    # numbered in two steps, within a page and by pages, so that no task sorts a whole document's references
+    page = whole.withColumn("page", F.col("ord.page_num"))
+    sizes = page.groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+    before = sizes.select("doc_id", "page", (F.sum("n").over(Window.partitionBy("doc_id").orderBy("page")) - F.col("n")).alias("before"))
+    seq = F.col("before") + F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("ord")) - 1
+    numbered = page.join(before, (page["doc_id"].eqNullSafe(before["doc_id"])) & (page["page"] == before["page"])).select(page["*"], "before")
+    return numbered.select("doc_id", seq.cast("bigint").alias("seq"), F.col("first.title").alias("title"), F.col("first.type").alias("type"), "page_numbers", F.lit("regex").alias("source"))
 
 
 def stats(refs: DataFrame, by_doc: bool = False) -> DataFrame:
