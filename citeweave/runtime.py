@@ -79,7 +79,7 @@ def salted_lookup(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame
     Rows of hot keys (by ``counts``) are spread over ``salts`` copies of their table row; all others move once.
     """
     hot = F.broadcast(hot_keys(counts, key, n).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.floor(F.rand(7) * salts).cast("int")).otherwise(F.lit(0))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
     right = table.join(hot, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return left.join(right, [key, "_salt"]).drop("_salt")
