@@ -198,11 +198,11 @@ def same_item(a: dict, b: dict, pieces) -> bool:
             named = named or _name(w, pieces) and _name(hit, pieces)
             left.remove(w)
             right.remove(hit)
-    if any(_name(w, pieces) for w in left) and any(_name(w, pieces) for w in right):
+    ours, theirs = [w for w in left if _name(w, pieces)], [w for w in right if _name(w, pieces)]
+    if ours and theirs and not any(osa(x, y, 3) <= 3 for x in ours for y in theirs):
         return False
-    if numbered:
-        return True if n == 0 else min(len(left), len(right)) <= 0.5 * n
-    return named and min(len(left), len(right)) <= 0.34 * n
+    # number, date and codes tell an item whatever is said about it; without them wording has to agree for the most part
+    return numbered or named and min(len(left), len(right)) <= 0.45 * n
 
 
 def _name(word: str, pieces) -> bool:
