@@ -1,6 +1,6 @@
 """Repair of text from scanned pages: broken words, misrecognised words, running headers and page numbers, reflow.
 
-The vocabulary is counted over all pages. For a word that is rare, all vocabulary words within a small edit distance are
+The vocabulary is counted over all pages; frequent items are broadcast, the others looked up in shards. For a word that is rare, all vocabulary words within a small edit distance are
 retrieved by walking a trie together with a Levenshtein automaton (a bit-parallel set of states), ranked by how often they
 stand beside the same neighbours, then by frequency. Then page furniture is taken out and lines are reflowed into paragraphs.
 """
@@ -15,9 +15,10 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from citeweave.llm.titles import osa
-from citeweave.runtime import Workspace, tasks
+from citeweave.runtime import Workspace, salted_lookup, tasks
 
 WORD = re.compile(r"(?<![^\W_])(?=\d*[^\W\d_])[^\W_](?:[^\W_]|[̀-ͯ]|(?<=[^\W_])['’](?=[^\W_]))*[^\W_]|[^\W_]")
 HYPHENS = "-\xad¬‐‑"
@@ -115,29 +116,76 @@ class Trie:
         return out
 
 
+def meant(trie: Trie, word: str, own: int, fold: bool = True) -> tuple[str, ...]:
+    """Words of the trie that ``word``, read ``own`` times, may be a misreading of."""
+    near = set(trie.near(word, reach(word)))
+    if fold:
+        near.update(trie.fold.get(folded(word), ()))
+    near.discard(word)
+    return tuple(sorted(v for v in near if outvotes(word, own, v, trie.words[v])))
+
+
+def reach(word: str) -> int:
+    """Edits within which a word is looked for."""
+    return 1 if len(word) < 4 else 2
+
+
+def outvotes(word: str, own: int, v: str, n: int) -> bool:
+    """Whether ``v``, seen n times, is so much more frequent than ``word`` and explained by scanner confusions."""
+    return n >= (RATIO if len(word) > 3 else 3 * RATIO) * max(own, 1) and slips(word, v) <= 3
+
+
 class Reader:
-    """Vocabulary, pairs of neighbours and compounds, with which lines are judged. Bounded by the vocabulary's bound."""
+    """Vocabulary, pairs of neighbours and compounds, with which lines are judged.
+
+    The counts given are those of frequent items and bounded in number. What a page needs of all others is looked up
+    beforehand and given by ``turn_to``.
+    """
 
     def __init__(self, words: dict[str, int], compounds: dict[str, int], pairs: dict[tuple[str, str], int]):
         self.words, self.compounds, self.pairs = words, compounds, pairs
         common = {w: n for w, n in words.items() if n >= LEAST}
         self.trie = Trie(common)
-        self.most = max(common.values(), default=0)
-        self.candidates = lru_cache(maxsize=1 << 17)(self._candidates)
+        self.frequent = lru_cache(maxsize=1 << 17)(self._frequent)
+        self.missed: set[str] | None = None
+        self.turn_to()
+
+    def turn_to(self, rare=(), pairs=()) -> None:
+        """Sets what a page needs of the items that are not frequent: (kind, item, n, candidates (v, n)) and (item, n) of pairs."""
+        self.rare, self.rare_compounds, self.rare_pairs, self.found = {}, {}, {}, {}
+        for kind, item, n, cand in rare:
+            if kind == "c":
+                self.rare_compounds[item] = n
+                continue
+            self.found[item] = tuple(v for v, _ in cand)
+            self.rare[item] = n
+        for _, _, _, cand in rare:
+            for v, n in cand or ():
+                self.rare[v] = n
+        for item, n in pairs:
+            self.rare_pairs[tuple(item.split(" ", 1))] = n
+
+    def count(self, word: str) -> int:
+        return self.words.get(word) or self.rare.get(word, 0)
+
+    def compound(self, item: str) -> int:
+        return self.compounds.get(item) or self.rare_compounds.get(item, 0)
+
+    def pair(self, a: str, b: str) -> int:
+        n = self.pairs.get((a, b))
+        if n is None and a and b and self.missed is not None:
+            self.missed.add(f"{a} {b}")
+        return n or self.rare_pairs.get((a, b), 0)
 
     def known(self, word: str) -> bool:
-        return self.words.get(word.lower(), 0) >= LEAST and not self.candidates(word.lower())
-
-    def _candidates(self, word: str) -> tuple[str, ...]:
-        """Vocabulary words, more frequent, that ``word`` may be a misreading of."""
-        own = self.words.get(word, 0)
-        if len(word) < 2 or own * RATIO > self.most:
-            return ()
-        near = set(self.trie.near(word, 1 if len(word) < 4 else 2))
-        near.update(self.trie.fold.get(folded(word), ()))
-        near.discard(word)
-        ratio = RATIO if len(word) > 3 else 3 * RATIO
-        return tuple(sorted(v for v in near if self.words[v] >= ratio * max(own, 1) and slips(word, v) <= 3))
+        return self.count(word.lower()) >= LEAST and not self.candidates(word.lower())
+
+    def candidates(self, word: str) -> tuple[str, ...]:
+        """Words, more frequent, that ``word`` may be a misreading of. Those of a frequent word are frequent themselves."""
+        return self.frequent(word, self.words[word]) if word in self.words else self.found.get(word, ())
+
+    def _frequent(self, word: str, own: int) -> tuple[str, ...]:
+        return meant(self.trie, word, own) if len(word) > 1 else ()
 
     def correct(self, word: str, left: str = "", right: str = "") -> str | None:
         """The word that is meant, or None if ``word`` stands as it is."""
@@ -145,8 +193,10 @@ class Reader:
         cand = self.candidates(low)
         if not cand:
             return None
-        beside = lambda v: self.pairs.get((left, v), 0) + self.pairs.get((v, right), 0)
-        return max(cand, key=lambda v: (beside(v) > 0, -slips(low, v), beside(v), self.words[v], v))
+        if len(cand) == 1:
+            return cand[0]
+        beside = {v: self.pair(left, v) + self.pair(v, right) for v in cand}
+        return max(cand, key=lambda v: (beside[v] > 0, -slips(low, v), beside[v], self.count(v), v))
 
 
 def header(line: str, title: str | None) -> bool:
@@ -206,10 +256,10 @@ def read_page(text: str, title: str | None, reader: Reader) -> tuple[list[tuple[
         head = re.split(r"[-/]", a)[-1]
         joined, compound = (head + b).lower(), (head + "-" + b).lower()
         j1 = joined.split("-")[0]
-        nj = reader.words.get(j1, 0)
+        nj = reader.count(j1)
         if not nj and (v := reader.correct(j1)):
-            nj = reader.words[v] // 2
-        nc = reader.compounds.get(compound, 0) or reader.compounds.get(compound.split("-")[0] + "-" + compound.split("-")[1], 0)
+            nj = reader.count(v) // 2
+        nc = reader.compound(compound) or reader.compound("-".join(compound.split("-")[:2]))
         if m.group(2) == "-" and nc > nj or nj == 0 and nc == 0 and m.group(2) == "-" and reader.known(head) and reader.known(b.split("-")[0]) and len(head) > 2:
             glue[i] = "-"
         elif b[0].islower() or nj:
@@ -269,12 +319,28 @@ def misread(word: str, left: str, right: str, reader: Reader) -> str | None:
     if re.fullmatch(r"\d+[OlI]+\d*|[OlI]\d{2,}", word):
         return word.translate(str.maketrans("OlI", "011"))
     fix = reader.correct(word, left, right)
-    if fix is None and len(word) > 4 and not word.isupper() and reader.words.get(word.lower(), 0) < LEAST and (bare(word) != word.lower() or re.search(r"[^\W\d_][0158]+[^\W\d_]", word)):
+    if fix is None and len(word) > 4 and not word.isupper() and reader.count(word.lower()) < LEAST and (bare(word) != word.lower() or re.search(r"[^\W\d_][0158]+[^\W\d_]", word)):
         # a name that no other page tells: marks that no word has
         return bare(word).translate(str.maketrans("0158", "olsb"))
     return fix
 
 
+def needs(text: str, title: str | None) -> tuple[set[str], set[str]]:
+    """Words and compounds whose counts ``read_page`` may ask for, whatever the counts are."""
+    body = [line for kind, line in body_lines(text, title) if kind == "body"]
+    words = {m.group().lower() for line in body for m in WORD.finditer(line)}
+    compounds: set[str] = set()
+    for line, after in zip(body, body[1:]):
+        m, f = _LAST.search(line), _FIRST.search(after)
+        if not m or not f:
+            continue
+        head, b = re.split(r"[-/]", m.group(1))[-1], f.group(1)
+        compound = (head + "-" + b).lower()
+        words |= {(head + b).lower().split("-")[0], head.lower(), b.split("-")[0].lower(), (head + b.split("-")[0]).lower()}
+        compounds |= {compound, "-".join(compound.split("-")[:2])}
+    return words, compounds
+
+
 def _split(head: str, b: str, v: str) -> int:
     """Where the corrected word parts into the two halves it was broken into."""
     if v.startswith(head.lower()):
@@ -348,24 +414,140 @@ def titled(pages: DataFrame, docs: DataFrame) -> DataFrame:
     return pages.where(F.col("text").isNotNull()).select("page_id", "doc_id", "text").join(one, "doc_id", "left").select("page_id", "text", "title")
 
 
-def reader_of(ws: Workspace, pages: DataFrame, share: float = 2e-6) -> Reader:
-    """Counts over all pages. Kept are items with at least ``share`` of all occurrences, so each table has at most 1/share rows."""
-    counts = ws.write(pages.mapInPandas(_count, "kind string, item string, n bigint").groupBy("kind", "item").agg(F.sum("n").alias("n")).where("n > 1"), total="sum(n)")
-    least = max(2, int((counts.metrics["total"] or 0) * share))
-    pairs = 10 * least  # neighbours are only held where frequent
+def reader_of(counts: DataFrame, total: int, share: float = 2e-6) -> tuple[Reader, int]:
+    """(reader with the frequent items, least count of a frequent one): those with at least ``share`` of all occurrences, so each table has at most 1/share rows."""
+    least = max(2, int(total * share))
+    pairs = 10 * least  # neighbours are far more
     rows = counts.where((F.col("n") >= least) & ((F.col("kind") != "p") | (F.col("n") >= pairs))).collect()
-    return Reader(
+    reader = Reader(
         {r["item"]: r["n"] for r in rows if r["kind"] == "w"}, {r["item"]: r["n"] for r in rows if r["kind"] == "c"}, {tuple(r["item"].split(" ", 1)): r["n"] for r in rows if r["kind"] == "p"}
     )
+    return reader, least
+
+
+def _title(h) -> str | None:
+    return h if isinstance(h, str) else None
+
+
+def _asked(state: tuple):
+    """(row, kind, item): words and compounds of a page that are not frequent."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, compounds, _ = state
+        for df in batches:
+            out = []
+            for row, text, title in zip(df["row"], df["text"], df["title"]):
+                w, c = needs(text, _title(title))
+                out += [(row, "w", x) for x in w if x not in words] + [(row, "c", x) for x in c if x not in compounds]
+            yield pd.DataFrame(out, columns=["row", "kind", "item"])
+
+    return run
+
+
+def _among_frequent(state: tuple):
+    """(item, n, v, m) for each word and each frequent word v, seen m times, that it may be a misreading of."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trie = Reader(*state).trie
+        for df in batches:
+            out = [(w, n, v, trie.words[v]) for w, n in zip(df["item"], df["n"]) for v in meant(trie, w, n)]
+            yield pd.DataFrame(out, columns=["item", "n", "v", "m"])
+
+    return run
+
+
+def _among_rare(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+    """The same for the words of one shard of the vocabulary that is not frequent."""
+    if asked.empty or shard.empty:
+        return pd.DataFrame([], columns=["item", "n", "v", "m"])
+    trie = Trie(dict(zip(shard["v"], shard["m"])))
+    out = [(w, n, v, trie.words[v]) for w, n in zip(asked["item"], asked["n"]) for v in meant(trie, w, n, fold=False)]
+    return pd.DataFrame(out, columns=["item", "n", "v", "m"])
+
+
+@F.pandas_udf(StringType())
+def _folded(s: pd.Series) -> pd.Series:
+    return s.map(folded)
+
+
+@F.pandas_udf(BooleanType())
+def _outvotes(w: pd.Series, own: pd.Series, v: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([w_ != v_ and outvotes(w_, o, v_, n_) for w_, o, v_, n_ in zip(w, own, v, n)], dtype=bool)
+
+
+def rare_words(ws: Workspace, asked: DataFrame, counts: DataFrame, state: tuple, least: int, block: int = 20_000) -> DataFrame:
+    """(item, n, cand array of (v, m)) of the distinct words ``asked(item)``, none of them frequent.
+
+    The vocabulary below ``least`` is cut into shards by length and hash, about ``block`` words each; a word meets the
+    shards of all lengths within its reach, and each shard's trie is walked with its automaton. Words that scanners can't
+    tell apart are joined by their folded form, whatever their lengths.
+    """
+    spark = ws.spark
+    words = counts.where("kind = 'w'").select("item", "n")
+    own = ws.write(asked.join(words, "item", "left").select("item", F.coalesce("n", F.lit(0)).alias("n")).repartition(tasks(spark), "item"), n="count(*)")
+    tail = ws.write(words.where((F.col("n") >= LEAST) & (F.col("n") < least)).select(F.col("item").alias("v"), F.col("n").alias("m")), n="count(*)")
+    ask, have = own.metrics["n"] or 0, tail.metrics["n"] or 0
+    shape = "item string, n bigint, v string, m bigint"
+    # those of a word seen n times are seen RATIO times as often, so others have no rare ones
+    long = own.where(F.length("item") > 1)
+    hits = long.mapInPandas(_among_frequent(state), shape)
+    if have:
+        shards, chunks = -(-have // block), -(-ask // block)
+        some = long.where(F.greatest("n", F.lit(1)) * RATIO < least)
+        at = F.explode(F.sequence(F.length("item") - F.when(F.length("item") < 4, 1).otherwise(2), F.length("item") + F.when(F.length("item") < 4, 1).otherwise(2)))
+        left = some.withColumn("len", at).withColumn("chunk", F.pmod(F.xxhash64("item"), F.lit(chunks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
+        right = tail.withColumn("len", F.length("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+        keys = ["len", "shard", "chunk"]
+        near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_among_rare, shape)
+        alike = some.withColumn("f", _folded("item")).join(tail.withColumn("f", _folded("v")), "f").where(_outvotes("item", "n", "v", "m")).select("item", "n", "v", "m")
+        hits = hits.unionByName(near).unionByName(alike)
+    cand = hits.groupBy("item").agg(F.array_sort(F.collect_set(F.struct("v", "m"))).alias("cand"))
+    return ws.write(own.join(cand, "item", "left").where("n > 0 OR cand IS NOT NULL"))
+
+
+def _by_row(asked: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
+    """(row, notes): the table's rows of the items each page asks for."""
+    hits = salted_lookup(asked, table, "item", asked.groupBy("item").agg(F.count("*").alias("_n")), "_n")
+    return hits.groupBy("row").agg(F.collect_list(F.struct(*cols)).alias("notes"))
+
+
+NOTES = "array<struct<kind:string,item:string,n:bigint,cand:array<struct<v:string,m:bigint>>>>"
 
 
-def _run(reader_state: tuple, want_text: bool):
+def _items(x) -> list:
+    """Rows of an array of structs, as tuples; candidates likewise."""
+    if x is None:
+        return []
+    return [(r["kind"], r["item"], r["n"], [(c["v"], c["m"]) for c in r["cand"]] if r["cand"] is not None else []) for r in x]
+
+
+def _missed_pairs(state: tuple):
+    """(row, item): neighbours, not frequent, that decide between the candidates of a page's words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(*state)
+        for df in batches:
+            out = []
+            for row, text, title, notes in zip(df["row"], df["text"], df["title"], df["notes"]):
+                reader.turn_to(_items(notes))
+                reader.missed = set()
+                read_page(text, _title(title), reader)
+                out += [(row, x) for x in reader.missed]
+            yield pd.DataFrame(out, columns=["row", "item"])
+
+    return run
+
+
+def _run(state: tuple, want_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*reader_state)
+        reader = Reader(*state)
         for df in batches:
             for k in range(0, len(df), 512):
                 part = df.iloc[k : k + 512]
-                read = [read_page(t, h if isinstance(h, str) else None, reader) for t, h in zip(part["text"], part["title"])]
+                read = []
+                for t, h, notes, pairs in zip(part["text"], part["title"], part["notes"], part["pairs"]):
+                    reader.turn_to(_items(notes), [] if pairs is None else [(r["item"], r["n"]) for r in pairs])
+                    read.append(read_page(t, _title(h), reader))
                 if want_text:
                     yield pd.DataFrame({"page_id": part["page_id"], "text": [x[1] for x in read]})
                 else:
@@ -374,18 +556,32 @@ def _run(reader_state: tuple, want_text: bool):
     return run
 
 
+def _read(spark: SparkSession, pages: DataFrame, docs: DataFrame, want_text: bool, shape: str) -> DataFrame:
+    """Every page read with exact counts: frequent items are broadcast, all others looked up in the table of counts."""
+    ws = Workspace(spark, "pages")
+    t = ws.write(titled(pages, docs).repartition(tasks(spark), "page_id").withColumn("row", F.monotonically_increasing_id()))
+    counts = ws.write(t.mapInPandas(_count, "kind string, item string, n bigint").groupBy("kind", "item").agg(F.sum("n").alias("n")), total="sum(n)")
+    r, least = reader_of(counts, counts.metrics["total"] or 0)
+    state = (r.words, r.compounds, r.pairs)
+    asked = ws.write(t.select("row", "text", "title").mapInPandas(_asked(state), "row bigint, kind string, item string"))
+    words, compounds = asked.where("kind = 'w'").select("row", "item"), asked.where("kind = 'c'").select("row", "item")
+    known = rare_words(ws, words.select("item").distinct(), counts, state, least)
+    empty = F.lit(None).cast("array<struct<v:string,m:bigint>>")
+    of_words = _by_row(words, known.withColumn("kind", F.lit("w")), "kind", "item", "n", "cand")
+    of_compounds = _by_row(compounds, counts.where("kind = 'c'").select("item", "n").withColumn("kind", F.lit("c")).withColumn("cand", empty), "kind", "item", "n", "cand")
+    notes = of_words.unionByName(of_compounds).groupBy("row").agg(F.flatten(F.collect_list("notes")).cast(NOTES).alias("notes"))
+    t = ws.write(t.join(notes, "row", "left").repartition(tasks(spark), "row"))
+    missed = ws.write(t.select("row", "text", "title", "notes").mapInPandas(_missed_pairs(state), "row bigint, item string"))
+    pairs = _by_row(missed, counts.where("kind = 'p'").select("item", "n"), "item", "n").withColumnRenamed("notes", "pairs")
+    return t.join(pairs, "row", "left").repartition(tasks(spark), "row").mapInPandas(_run(state, want_text), shape)
+
+
 def damage(spark: SparkSession, pages: DataFrame, docs: DataFrame) -> DataFrame:
     """(page_id, line_no, kind): what is wrong with which line. Null and empty texts have no cases; repeated rows come out once."""
-    ws = Workspace(spark, "pages")
-    t = ws.write(titled(pages, docs).repartition(tasks(spark), "page_id"))
-    r = reader_of(ws, t)
-    return t.mapInPandas(_run((r.words, r.compounds, r.pairs), False), "page_id bigint, line_no int, kind string").distinct()
+    return _read(spark, pages, docs, False, "page_id bigint, line_no int, kind string").distinct()
 
 
 def repaired(spark: SparkSession, pages: DataFrame, docs: DataFrame) -> DataFrame:
     """(page_id, text): each page as continuous paragraphs, parted by empty lines. An empty text stays empty, a null one null."""
-    ws = Workspace(spark, "pages")
-    t = ws.write(titled(pages, docs).repartition(tasks(spark), "page_id"))
-    r = reader_of(ws, t)
     null = pages.where(F.col("text").isNull()).select("page_id", F.lit(None).cast("string").alias("text"))
-    return t.mapInPandas(_run((r.words, r.compounds, r.pairs), True), "page_id bigint, text string").unionByName(null)
+    return _read(spark, pages, docs, True, "page_id bigint, text string").unionByName(null)

@@ -122,3 +122,21 @@ def test_page_repair(spark):
     assert text[9].split("\n\n")[0] == "The trading member shall publish short-term liquidity statements under"
     assert text[10] is None and text[11] == "" and text[12] == ""
     assert pages.damage(spark, p.limit(0), docs).count() == 0
+
+
+def test_page_repair_is_the_same_however_few_words_are_broadcast(spark, monkeypatch):
+    rows = [(i, "d", i, BODY * 6 + "a well-known set\n") for i in range(1, 40)]
+    rows += [(100 + i, "d", i, "The quarnock is here.\nA self-\ncare plan for the dremolin.\n") for i in range(8)]
+    rows += [(200, "d", 1, "The quamock is here.\nOf self-care.\nNow the drernolin and the dremo-\nlin.")]
+    p = spark.createDataFrame(rows, "page_id bigint, doc_id string, page_num int, text string")
+    docs = spark.createDataFrame([("d", "Zzzz zzzzz zzzzz")], "doc_id string, doc_title string")
+
+    def run():
+        return {tuple(r) for r in pages.damage(spark, p, docs).collect()}, {tuple(r) for r in pages.repaired(spark, p, docs).collect()}
+
+    whole = run()
+    monkeypatch.setattr(pages.reader_of, "__defaults__", (0.02,))
+    few = run()
+    assert few == whole
+    assert {(200, 1, "misread"), (200, 3, "misread")} <= few[0] and not any(k == "hyphen" and i < 200 for i, _, k in few[0])
+    assert dict(few[1])[200].startswith("The quarnock is here.")
