@@ -15,6 +15,8 @@ from citeweave.runtime import Workspace
 UNKNOWN = "unknown"
 #: prior of a source's accuracy and its weight in votes; probability that a source copies; false values a field may take
 ACCURACY, PRIOR_VOTES, COPY_PRIOR, FALSE_VALUES = 0.8, 10.0, 0.2, 50
+#: a ranked source's prior accuracy: the first rank's, and how much of the way down to ACCURACY each further rank leaves
+FIRST_RANK, RANK_STEP = 0.9, 0.5
 
 
 def _source(c: str):
@@ -49,7 +51,10 @@ def survivors(records: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def _values(records: DataFrame) -> DataFrame:
-    """(cluster_id, field, value, source, n, complete): distinct non-empty claims, copies by one source collapsed with their count."""
+    """(cluster_id, field, value, source, n, complete, late): distinct non-empty claims, copies by one source collapsed with their count and latest time.
+
+    As to the field source, every source but an unknown one claims itself.
+    """
     src = F.coalesce(F.nullif(_source("source"), F.lit("")), F.lit(UNKNOWN))
     title = F.nullif(F.regexp_replace(F.lower("title"), r"(?U)[^\p{L}\p{Nd}]", ""), F.lit(""))
     pages = F.array_sort(F.array_distinct(F.filter("page_numbers", lambda p: p >= 1)))
@@ -59,37 +64,46 @@ def _values(records: DataFrame) -> DataFrame:
             F.struct(F.lit("title").alias("field"), title.alias("value"), F.length(title).alias("complete")),
             F.struct(F.lit("page_numbers").alias("field"), F.nullif(F.array_join(pages, ","), F.lit("")).alias("value"), F.size(pages).alias("complete")),
             F.struct(F.lit("type").alias("field"), kind.alias("value"), F.lit(0).alias("complete")),
+            F.struct(F.lit("source").alias("field"), F.nullif(src, F.lit(UNKNOWN)).alias("value"), F.lit(0).alias("complete")),
         )
     ).alias("c")
     return (
-        records.select("cluster_id", src.alias("source"), claim).select("cluster_id", "source", "c.*").where("value IS NOT NULL")
-        .groupBy("cluster_id", "field", "value", "source").agg(F.count("*").alias("n"), F.max("complete").alias("complete"))
+        records.select("cluster_id", src.alias("source"), F.unix_micros(F.col("extracted_at").cast("timestamp")).alias("at"), claim).select("cluster_id", "source", "at", "c.*").where("value IS NOT NULL")
+        .groupBy("cluster_id", "field", "value", "source").agg(F.count("*").alias("n"), F.max("complete").alias("complete"), F.max("at").alias("late"))
     )
 
 
 def fuse(spark: SparkSession, records: DataFrame, ranks: DataFrame, rounds: int = 3) -> DataFrame:
-    """(cluster_id, title, page_numbers, type, confidence of each): one built record a cluster.
+    """(cluster_id, title, page_numbers, type, source, confidence of each): one built record a cluster.
 
     Values are compared in canonical form and come out as their longest spelling in that form; a field without any value is null with null
     confidence. Sources are the distinct values of ``source`` (as many as the data name); only pairs of sources that meet in
-    a cluster are held. Ties in posterior go to the more complete, then the smaller value.
+    a cluster are held. Ties in posterior go to the more complete, then the later extracted, then the greater value.
+    The trust rank of a source is the prior of its accuracy. Its source is the field no two sources agree on, so it tells
+    nothing of accuracy or copying; it takes the source whose accuracy and independence, as the other fields show, weigh most.
     """
     ws = Workspace(spark, "fusion")
     claims = ws.write(_values(records))
-    accuracy = claims.select("source").distinct().withColumn("a", F.lit(ACCURACY))
+    known = ranks.groupBy(_source("source").alias("source")).agg(F.min("trust_rank").alias("rank"))
+    trust = F.lit(ACCURACY) + (FIRST_RANK - ACCURACY) * F.pow(F.lit(RANK_STEP), F.col("rank") - 1)
+    prior = ws.write(claims.select("source").distinct().join(known, "source", "left").select("source", F.coalesce(trust, F.lit(ACCURACY)).alias("prior")))
+    accuracy = prior.select("source", F.col("prior").alias("a"))
     independent = claims.select("source").distinct().withColumn("w", F.lit(1.0))
     key = ["cluster_id", "field"]
     post = None
     for _ in range(rounds):
         score = F.col("w") * F.log(F.col("a") * FALSE_VALUES / (1 - F.col("a")))
-        votes = claims.join(accuracy, "source").join(independent, "source").groupBy(*key, "value").agg(F.sum(score).alias("v"), F.max("complete").alias("complete"))
+        votes = claims.join(accuracy, "source").join(independent, "source").groupBy(*key, "value").agg(F.sum(score).alias("v"), F.max("complete").alias("complete"), F.max("late").alias("late"))
         total = votes.groupBy(*key).agg(F.max("v").alias("top"), F.sum(F.exp(F.least(F.col("v"), F.lit(600.0)))).alias("z"))
         post = ws.write(votes.join(total, key).withColumn("p", F.exp(F.least(F.col("v"), F.lit(600.0))) / (F.col("z") + 1)).drop("z", "top"))
-        true = post.groupBy(*key).agg(F.max_by("value", F.struct("p", "complete", "value")).alias("true"))
-        judged = claims.join(post.select(*key, "value", "p"), [*key, "value"])
-        accuracy = ws.write(judged.groupBy("source").agg(((F.sum("p") + ACCURACY * PRIOR_VOTES) / (F.count("*") + PRIOR_VOTES)).alias("a")).withColumn("a", F.least(F.greatest("a", F.lit(0.05)), F.lit(0.99))))
+        facts = claims.where("field <> 'source'")
+        true = post.groupBy(*key).agg(F.max_by("value", F.struct("p", "complete", "late", "value")).alias("true"))
+        judged = facts.join(post.select(*key, "value", "p"), [*key, "value"])
+        seen = judged.groupBy("source").agg(F.sum("p").alias("right"), F.count("*").alias("of"))
+        a = (F.coalesce("right", F.lit(0.0)) + F.col("prior") * PRIOR_VOTES) / (F.coalesce("of", F.lit(0)) + PRIOR_VOTES)
+        accuracy = ws.write(prior.join(seen, "source", "left").select("source", F.least(F.greatest(a, F.lit(0.05)), F.lit(0.99)).alias("a")))
         # dependence: what two sources share of false values against what they differ in
-        flag = claims.join(true, key).select(*key, "source", "value", (F.col("value") == F.col("true")).alias("right"))
+        flag = facts.join(true, key).select(*key, "source", "value", (F.col("value") == F.col("true")).alias("right"))
         met = (
             flag.alias("x").join(flag.alias("y"), [*key]).where(F.col("x.source") < F.col("y.source"))
             .groupBy(F.col("x.source").alias("s"), F.col("y.source").alias("t"))
@@ -105,12 +119,12 @@ def fuse(spark: SparkSession, records: DataFrame, ranks: DataFrame, rounds: int
         pair = dep.join(accuracy.select(F.col("source").alias("s"), F.col("a").alias("as")), "s").join(accuracy.select(F.col("source").alias("t"), F.col("a").alias("at")), "t")
         copier = pair.select(F.when(F.col("as") < F.col("at"), F.col("s")).otherwise(F.col("t")).alias("source"), "dep").groupBy("source").agg(F.exp(F.sum(F.log(1 - F.col("dep") * 0.8))).alias("w"))
         independent = ws.write(claims.select("source").distinct().join(copier, "source", "left").select("source", F.coalesce("w", F.lit(1.0)).alias("w")))
-    best = post.groupBy(*key).agg(F.max_by(F.struct("value", "p"), F.struct("p", "complete", "value")).alias("b"))
+    best = post.groupBy(*key).agg(F.max_by(F.struct("value", "p"), F.struct("p", "complete", "late", "value")).alias("b"))
     spelled = records.select("cluster_id", "title", F.nullif(F.regexp_replace(F.lower("title"), r"(?U)[^\p{L}\p{Nd}]", ""), F.lit("")).alias("value")).where("value IS NOT NULL")
     spelled = spelled.groupBy("cluster_id", "value").agg(F.max_by("title", F.struct(F.length("title"), "title")).alias("title"))
-    wide = best.groupBy("cluster_id").agg(*[F.max(F.when(F.col("field") == f, F.col("b"))).alias(f) for f in ("title", "page_numbers", "type")])
+    wide = best.groupBy("cluster_id").agg(*[F.max(F.when(F.col("field") == f, F.col("b"))).alias(f) for f in ("title", "page_numbers", "type", "source")])
     out = records.select("cluster_id").distinct().join(wide.withColumnRenamed("title", "t"), "cluster_id", "left").withColumn("value", F.col("t.value")).join(spelled, ["cluster_id", "value"], "left")
     return out.select(
-        "cluster_id", "title", F.transform(F.split("page_numbers.value", ","), lambda x: x.cast("int")).alias("page_numbers"), F.col("type.value").alias("type"),
-        F.round("t.p", 6).alias("title_confidence"), F.round("page_numbers.p", 6).alias("pages_confidence"), F.round("type.p", 6).alias("type_confidence"),
+        "cluster_id", "title", F.transform(F.split("page_numbers.value", ","), lambda x: x.cast("int")).alias("page_numbers"), F.col("type.value").alias("type"), F.col("source.value").alias("source"),
+        F.round("t.p", 6).alias("title_confidence"), F.round("page_numbers.p", 6).alias("pages_confidence"), F.round("type.p", 6).alias("type_confidence"), F.round("source.p", 6).alias("source_confidence"),
     )

@@ -94,6 +94,20 @@ def test_fusion_follows_sources_that_are_right(spark):
     assert fusion.fuse(spark, df.limit(0), ranks).count() == 0
 
 
+def test_fusion_of_sources(spark):
+    t = [datetime(2020, 1, d) for d in range(1, 3)]
+    rows = []
+    for c in range(12):
+        rows += [(4 * c, c, f"Title {c}", [c + 1], " LLM", t[1]), (4 * c + 1, c, f"title {c}", [c + 1], "Both ", t[0]), (4 * c + 2, c, f"Title {c}", [c + 1], "odd", t[0]), (4 * c + 3, c, f"Title {c}", [c + 1], None, t[1])]
+    rows += [(90, 50, "x", [1], "odd", t[0]), (91, 50, "x", [1], "else", t[1]), (92, 51, "x", [1], " Unknown", t[0]), (93, 52, None, None, "llm", None)]
+    df = spark.createDataFrame(rows, "cand_id bigint, cluster_id bigint, title string, page_numbers array<int>, source string, extracted_at timestamp").selectExpr("*", "'act' AS type")
+    ranks = spark.createDataFrame([("both", 1), ("regex", 2), ("llm", 3)], "source string, trust_rank int")
+    out = {r["cluster_id"]: r for r in fusion.fuse(spark, df, ranks).collect()}
+    assert {out[c]["source"] for c in range(12)} == {"both"} and all(0 < out[c]["source_confidence"] <= 1 for c in range(12))
+    assert out[51]["source"] is None and out[51]["source_confidence"] is None and out[52]["source"] == "llm"
+    assert out[50]["source"] in ("odd", "else")
+
+
 def test_values(spark):
     types = spark.createDataFrame([("circular", "Circular"), ("master_circular", "Master circular"), ("act", "Act"), ("letter", "Letter"), ("email", "E-mail")], "type_code string, label string")
     want = {"circular": None, "CIRCULAR": "circular", " circullar ?": "circular", "Circular, master": "master_circular", "M. Circular (master)": "master_circular", "mster circ": "master_circular", "E mail": "email", "the Act": "act", "SEBI ltter": "letter", "table 3": "unmatched", "12": "unmatched", "???": "unmatched", "": None, " \t": None, "x" * 5000: "unmatched"}
