@@ -1,21 +1,26 @@
 """Repair of text from scanned pages: broken words, misrecognised words, running headers and page numbers, reflow.
 
-The vocabulary is counted over all pages; frequent items are broadcast, the others looked up in shards. For a word that is rare, all vocabulary words within a small edit distance are
-retrieved by walking a trie together with a Levenshtein automaton (a bit-parallel set of states), ranked by how often they
-stand beside the same neighbours, then by frequency. Then page furniture is taken out and lines are reflowed into paragraphs.
+Lines are classified and words counted in one pass. For each distinct word, once and not at each place it stands, all
+vocabulary words that it may be a misreading of are retrieved by walking a trie of the vocabulary together with a Levenshtein
+automaton whose edits are the confusions of scanners (with merges and splits, as rn for m). The vocabulary is cut into
+tries by prefix; a word visits those whose prefix the automaton can reach, so retrieval is complete whatever their number.
+Candidates are joined back to the pages, ranked by how often they stand beside the same neighbours, then by frequency.
+Running headers are lines that recur at the edges of a document's pages. Then furniture is taken out and lines are reflowed.
+All criteria are ratios of counts, so the size of the corpus doesn't change them.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from citeweave.llm.titles import osa
 from citeweave.runtime import Workspace, salted_lookup, tasks
@@ -29,8 +34,18 @@ PAGE_NUMBER = re.compile(
     rf"|^\W*(?:[Pp]\s?.\s?[gq9]\s?[eco]\s*:?\s*)?{_NUM}\s*(?:/|of|0f|oi)\s*{_NUM}\W*$"
 )
 TABLE_NUMBER = re.compile(r"^\W*\d{1,3}(?:,\d{3})+\W*$|^\d{1,4}\.$|^\d{4}$")
-#: a word is held against vocabulary words this many times as frequent
-RATIO, LEAST = 4, 4
+#: a word is held against vocabulary words this many times as frequent (three times that if it has up to three letters)
+RATIO = 4
+#: scanner confusions that one word may hold
+SLIPS = 3
+#: a form is a document's running header if it stands at the edges of this share of its pages, two at least
+HEADER_SHARE = 0.25
+#: or of one, if it is the running header of two other documents and of this share of those at whose edges it is seen
+KNOWN_SHARE = 0.5
+#: a form seen in four documents or more and the header of fewer than this share of them is a heading of sections
+SECTION_SHARE = 0.25
+#: share of words with accents above which the corpus is taken to be in a language that has them
+ACCENTED = 0.02
 #: What scanners read for what is printed; several characters first. Accents over vowels are another such slip.
 CONFUSED = (("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("li", "h"), ("h", "li"), ("d", "cl"), ("m", "rn"), ("n", "ri"), ("vv", "w"), ("0", "o"), ("1", "l"), ("1", "i"), ("l", "i"), ("i", "l"), ("5", "s"), ("8", "b"), ("6", "g"), ("c", "e"), ("f", "t"), ("b", "h"), ("v", "y"), ("q", "g"), ("9", "g"))
 _FOLD = (("0", "o"), ("1", "l"), ("5", "s"), ("8", "b"), ("6", "g"), ("9", "g"), ("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("i", "l"), ("c", "e"), ("f", "t"), ("b", "h"), ("v", "y"), ("q", "g"))
@@ -50,232 +65,233 @@ def folded(word: str) -> str:
     return w
 
 
-def slips(read: str, meant: str) -> int:
-    """Least number of scanner confusions that turn ``meant`` into ``read``; 9 if others would be needed."""
-    accents = sum(x != y for x, y in zip(read, bare(read))) if len(read) == len(bare(read)) else 9
-    r = bare(read)
-    row = {0: 0}  # position in r -> slips, after each prefix of meant
-    rows = [row] + [{} for _ in meant]
-    for i in range(len(meant)):
-        for j, n in rows[i].items():
-            if j < len(r) and r[j] == meant[i]:
-                rows[i + 1][j + 1] = min(n, rows[i + 1].get(j + 1, 9))
-            for x, y in CONFUSED:
-                if meant.startswith(y, i) and r.startswith(x, j):
-                    k = i + len(y)
-                    rows[k][j + len(x)] = min(n + 1, rows[k].get(j + len(x), 9))
-    return min(9, rows[-1].get(len(r), 9) + accents)
+_FROM: dict[str, list[tuple[str, str]]] = {}
+for _x, _y in CONFUSED:
+    _FROM.setdefault(_x[0], []).append((_x, _y))
+
+
+class Automaton:
+    """Levenshtein automaton of a word as read. Its edits are accents and ``CONFUSED``, substitutions, merges and splits alike.
+
+    A state maps (position in the word, what a split has still to read) to the least number of edits so far.
+    """
+
+    def __init__(self, read: str):
+        self.word = bare(read)
+        accents = sum(x != y for x, y in zip(read, self.word)) if len(read) == len(self.word) else SLIPS + 1
+        self.start = {(0, ""): accents} if accents <= SLIPS else {}
+        w = self.word
+        self.steps = [[(c, "", j + 1, 0), *((y[0], y[1:], j + len(x), 1) for x, y in _FROM.get(c, ()) if w.startswith(x, j))] for j, c in enumerate(w)]
+
+    def after(self, state: dict, within=None) -> dict[str, dict]:
+        """The states that each letter leads to; only of letters in ``within``, if given."""
+        out: dict[str, dict] = {}
+        n, steps = len(self.word), self.steps
+        for (j, rest), e in state.items():
+            for c, more, k, cost in [(rest[0], rest[1:], j, 0)] if rest else steps[j] if j < n else ():
+                if e + cost <= SLIPS and (within is None or c in within):
+                    to = out.get(c)
+                    if to is None:
+                        out[c] = {(k, more): e + cost}
+                    elif to.get((k, more), 9) > e + cost:
+                        to[k, more] = e + cost
+        return out
+
+    def edits(self, state: dict) -> int | None:
+        """Edits with which the word has been read to its end, None if it hasn't."""
+        return state.get((len(self.word), ""))
+
+    def prefixes(self, k: int) -> list[str]:
+        """The first ``k`` letters of all words that it accepts (whole words if they are shorter)."""
+        out, stack = set(), [("", self.start)]
+        while stack:
+            prefix, state = stack.pop()
+            if state and (len(prefix) == k or self.edits(state) is not None):
+                out.add(prefix)
+            if len(prefix) < k:
+                stack += [(prefix + c, s) for c, s in self.after(state).items()]
+        return sorted(out)
 
 
 class Trie:
-    """Vocabulary with counts; ``near`` intersects it with the Levenshtein automaton of a word."""
+    """Vocabulary with counts."""
 
     def __init__(self, words: dict[str, int]):
         self.words = words
         self.root: dict = {}
-        self.fold: dict[str, list[str]] = {}
         for w in words:
             node = self.root
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
-            self.fold.setdefault(folded(w), []).append(w)
-
-    def near(self, word: str, limit: int) -> list[str]:
-        """All words within ``limit`` insertions, deletions and substitutions.
-
-        State of the automaton after a prefix: for each number of errors e, the set of positions of ``word`` reachable with
-        it, as bits. Branches whose sets are all empty are cut.
-        """
-        n = len(word)
-        at = {}
-        for i, c in enumerate(word):
-            at[c] = at.get(c, 0) | 1 << i
-        full = (1 << (n + 1)) - 1
-        start = []
-        for e in range(limit + 1):
-            start.append(((1 << (e + 1)) - 1) & full)
-        out, stack = [], [(self.root, start)]
+
+    def near(self, read: str) -> list[tuple[str, int]]:
+        """(word, edits) of all words that the automaton of ``read`` accepts."""
+        auto = Automaton(read)
+        out, stack = [], [(self.root, auto.start)]
         while stack:
             node, state = stack.pop()
-            if "" in node and any(s >> n & 1 for s in state):
-                out.append(node[""])
-            for c, child in node.items():
-                if c == "":
-                    continue
-                hit = at.get(c, 0)
-                new, before = [], 0
-                for e in range(limit + 1):
-                    s = (state[e] & hit) << 1
-                    if e:
-                        s |= state[e - 1] | state[e - 1] << 1 | before << 1
-                    new.append(s & full)
-                    before = new[-1]
-                if any(new):
-                    stack.append((child, new))
+            if "" in node and (e := auto.edits(state)) is not None:
+                out.append((node[""], e))
+            stack += [(node[c], s) for c, s in auto.after(state, node).items()]
         return out
 
 
-def meant(trie: Trie, word: str, own: int, fold: bool = True) -> tuple[str, ...]:
-    """Words of the trie that ``word``, read ``own`` times, may be a misreading of."""
-    near = set(trie.near(word, reach(word)))
-    if fold:
-        near.update(trie.fold.get(folded(word), ()))
-    near.discard(word)
-    return tuple(sorted(v for v in near if outvotes(word, own, v, trie.words[v])))
-
-
-def reach(word: str) -> int:
-    """Edits within which a word is looked for."""
-    return 1 if len(word) < 4 else 2
-
-
-def outvotes(word: str, own: int, v: str, n: int) -> bool:
-    """Whether ``v``, seen n times, is so much more frequent than ``word`` and explained by scanner confusions."""
-    return n >= (RATIO if len(word) > 3 else 3 * RATIO) * max(own, 1) and slips(word, v) <= 3
+def outvotes(word: str, own: int, n: int) -> bool:
+    """Whether a word seen n times is so much more frequent than ``word``, read ``own`` times."""
+    return n >= max(1, (RATIO if len(word) > 3 else 3 * RATIO) * own)
 
 
 class Reader:
-    """Vocabulary, pairs of neighbours and compounds, with which lines are judged.
-
-    The counts given are those of frequent items and bounded in number. What a page needs of all others is looked up
-    beforehand and given by ``turn_to``.
-    """
-
-    def __init__(self, words: dict[str, int], compounds: dict[str, int], pairs: dict[tuple[str, str], int]):
-        self.words, self.compounds, self.pairs = words, compounds, pairs
-        common = {w: n for w, n in words.items() if n >= LEAST}
-        self.trie = Trie(common)
-        self.frequent = lru_cache(maxsize=1 << 17)(self._frequent)
-        self.missed: set[str] | None = None
-        self.turn_to()
-
-    def turn_to(self, rare=(), pairs=()) -> None:
-        """Sets what a page needs of the items that are not frequent: (kind, item, n, candidates (v, n)) and (item, n) of pairs."""
-        self.rare, self.rare_compounds, self.rare_pairs, self.found = {}, {}, {}, {}
-        for kind, item, n, cand in rare:
-            if kind == "c":
-                self.rare_compounds[item] = n
-                continue
-            self.found[item] = tuple(v for v, _ in cand)
-            self.rare[item] = n
-        for _, _, _, cand in rare:
-            for v, n in cand or ():
-                self.rare[v] = n
-        for item, n in pairs:
-            self.rare_pairs[tuple(item.split(" ", 1))] = n
-
-    def count(self, word: str) -> int:
-        return self.words.get(word) or self.rare.get(word, 0)
-
-    def compound(self, item: str) -> int:
-        return self.compounds.get(item) or self.rare_compounds.get(item, 0)
+    """What a page needs to know of the corpus: candidates of its words, counts of broken words and compounds, neighbours."""
+
+    def __init__(self, notes=(), pairs=(), accents: bool = False):
+        self.cand: dict[str, list[tuple[str, int, int]]] = {}
+        self.words: dict[str, int] = {}
+        self.compounds: dict[str, int] = {}
+        for kind, item, n, cand in notes:
+            if kind == "w":
+                self.cand[item] = cand
+            else:
+                (self.words if kind == "n" else self.compounds)[item] = n
+        self.pairs = dict(pairs)
+        self.accents = accents
+        self.missed: set[str] = set()
 
     def pair(self, a: str, b: str) -> int:
-        n = self.pairs.get((a, b))
-        if n is None and a and b and self.missed is not None:
-            self.missed.add(f"{a} {b}")
-        return n or self.rare_pairs.get((a, b), 0)
+        if not a or not b:
+            return 0
+        item = f"{a} {b}"
+        self.missed.add(item)
+        return self.pairs.get(item, 0)
 
     def known(self, word: str) -> bool:
-        return self.count(word.lower()) >= LEAST and not self.candidates(word.lower())
-
-    def candidates(self, word: str) -> tuple[str, ...]:
-        """Words, more frequent, that ``word`` may be a misreading of. Those of a frequent word are frequent themselves."""
-        return self.frequent(word, self.words[word]) if word in self.words else self.found.get(word, ())
+        word = word.lower()
+        return self.words.get(word, 0) > 0 and word not in self.cand
 
-    def _frequent(self, word: str, own: int) -> tuple[str, ...]:
-        return meant(self.trie, word, own) if len(word) > 1 else ()
-
-    def correct(self, word: str, left: str = "", right: str = "") -> str | None:
-        """The word that is meant, or None if ``word`` stands as it is."""
-        low = word.lower()
-        cand = self.candidates(low)
+    def correct(self, word: str, left: str = "", right: str = "") -> tuple[str, int] | None:
+        """(the word that is meant, its count), or None if ``word`` stands as it is."""
+        cand = self.cand.get(word.lower())
         if not cand:
             return None
         if len(cand) == 1:
-            return cand[0]
-        beside = {v: self.pair(left, v) + self.pair(v, right) for v in cand}
-        return max(cand, key=lambda v: (beside[v] > 0, -slips(low, v), beside[v], self.count(v), v))
-
-
-def header(line: str, title: str | None) -> bool:
-    """Whether the line is a running header or footer: the document's title or the form of a department's volume, perhaps with a page number."""
-    words = re.findall(r"[^\W_]+", line)
-    if len(words) > 6 and 2 * sum(w[0].islower() for w in words) > len(words):
-        return False  # running text
-    letters = re.sub(r"[^a-z]", "", folded(line))
-    if len(letters) < 8 or len(line) > 160:
+            return cand[0][:2]
+        beside = {v: self.pair(left, v) + self.pair(v, right) for v, _, _ in cand}
+        return max(cand, key=lambda c: (beside[c[0]] > 0, -c[2], beside[c[0]], c[1], c[0]))[:2]
+
+
+_ALONE = re.compile(r"(?<![^\W_])\d[\d.,]*(?![^\W_])|^\W*[ivxlcdm]+\b\W*|\W+[ivxlcdm]+\W*$")
+
+
+def heading(line: str) -> str | None:
+    """The letters of a line that may be a heading, numbers and what scanners confuse set aside; None for running text."""
+    if len(line) > 160:
+        return None
+    words = re.findall(r"[^\W\d_]+", line)
+    if 2 * sum(w[0].islower() for w in words) > len(words):
+        return None
+    letters = re.sub(r"[^a-z]", "", folded(_ALONE.sub(" ", line)))
+    return letters if len(letters) >= 8 else None
+
+
+def distance(a: str, b: str) -> int:
+    """Edit distance, a column of the table at a time as bits."""
+    if not a:
+        return len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    top, up, down, d = 1 << (len(a) - 1), full, 0, len(a)
+    for c in b:
+        eq = at.get(c, 0)
+        x = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | ~(x | up), up & x
+        d += bool(plus & top) - bool(minus & top)
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(x | plus)) & full, plus & x & full
+    return d
+
+
+def header(line: str, forms: tuple[str, ...]) -> bool:
+    """Whether the line is one of the document's running headers (``heading`` of them), slips and a page number aside."""
+    letters = heading(line) if forms else None
+    if letters is None:
         return False
-    if title:
-        t = re.sub(r"[^a-z]", "", folded(title))
-        if abs(len(t) - len(letters)) <= 6 and len(t) >= 8:
-            grams = {t[i : i + 3] for i in range(len(t) - 2)}
-            if t in letters or 2 * sum(letters[i : i + 3] in grams for i in range(len(letters) - 2)) >= len(t) and osa(letters, t, max(2, len(t) // 6)) <= max(2, len(t) // 6):
-                return True
-    want = re.sub(r"[^a-z]", "", folded("department volume"))
-    return len(line.strip()) < 48 and len(letters) <= len(want) + 12 and min(osa(letters[max(0, len(letters) - len(want) - d) :], want, 4) for d in (-1, 0, 1)) <= 3
+    if letters in forms:
+        return True
+    for f in forms:
+        if abs(len(f) - len(letters)) <= 6 and (f in letters or distance(f, letters) <= max(2, len(f) // 6)):
+            return True
+    return False
 
 
 def page_number(line: str) -> bool:
     s = line.strip()
-    return bool(s) and not TABLE_NUMBER.match(s) and bool(PAGE_NUMBER.match(s)) and bool(re.search(r"[^\W_]|\|", s))
+    return bool(s) and len(s) < 40 and not TABLE_NUMBER.match(s) and bool(PAGE_NUMBER.match(s)) and bool(re.search(r"[^\W_]|\|", s))
 
 
-def body_lines(text: str, title: str | None) -> list[tuple[str, str]]:
-    """(kind, line): kind is header, page_number, blank or body."""
-    out = []
-    for line in text.split("\n"):
-        kind = "blank" if not line.strip() else "header" if header(line, title) else "page_number" if page_number(line) else "body"
-        out.append((kind, line))
-    return out
+def kinds_of(lines: list[str], forms: tuple[str, ...]) -> str:
+    """A letter a line: h header, n page number, _ blank, b body."""
+    return "".join("_" if not x.strip() else "h" if header(x, forms) else "n" if page_number(x) else "b" for x in lines)
 
 
 _LAST = re.compile(rf"([^\W\d_][^\W_]*(?:[-/][^\W_]+)*)\s?([{HYPHENS}])\s*$")
 _FIRST = re.compile(r"^\s*([^\W_]+(?:-[^\W_]+)*)")
+_ENDS = tuple(HYPHENS)
+#: a line without these and without a word that has candidates needs no look at its words
+_ODD = re.compile(r"[^\W\d_][0158]|\d[OlI]|[OlI]\d|(?=[^\x00-\x7f])[^\W_]")
+
+
+def breaks(lines: list[str], body: list[int]) -> dict[int, tuple[re.Match, int, str]]:
+    """Body lines that end in a hyphen: line -> (the last word's match, next body line, that line's first word)."""
+    out = {}
+    for i, j in zip(body, body[1:]):
+        if lines[i].rstrip().endswith(_ENDS) and (m := _LAST.search(lines[i])) and (f := _FIRST.search(lines[j])):
+            out[i] = (m, j, f.group(1))
+    return out
 
 
-def read_page(text: str, title: str | None, reader: Reader) -> tuple[list[tuple[int, str]], str]:
+def _halves(m: re.Match, b: str) -> tuple[str, str, str]:
+    """(first half, the word put together, the compound) of a broken word."""
+    head = re.split(r"[-/]", m.group(1))[-1]
+    return head, (head + b).lower(), (head + "-" + b).lower()
+
+
+def read_page(lines: list[str], kinds: str, reader: Reader) -> tuple[list[tuple[int, str]], str]:
     """(cases (line_no, kind), repaired text) of a page."""
-    lines = body_lines(text, title)
-    cases = [(i, k) for i, (k, _) in enumerate(lines, 1) if k in ("header", "page_number")]
-    body = [i for i, (k, _) in enumerate(lines) if k == "body"]
-    after = dict(zip(body, body[1:]))
-    clean = {i: re.sub(r"\s+$", "", lines[i][1]) for i in body}
+    cases = [(i, "header" if k == "h" else "page_number") for i, k in enumerate(kinds, 1) if k in "hn"]
+    body = [i for i, k in enumerate(kinds) if k == "b"]
+    clean = {i: lines[i].rstrip() for i in body}
     glue: dict[int, str] = {}
-    owner: dict[tuple[int, int], tuple[str, int, str]] = {}
-    for i in body:
-        m = _LAST.search(lines[i][1])
-        j = after.get(i)
-        if not m or j is None:
-            continue
-        f = _FIRST.search(lines[j][1])
-        if not f:
-            continue
-        a, b = m.group(1).split("/")[-1], f.group(1)
-        head = re.split(r"[-/]", a)[-1]
-        joined, compound = (head + b).lower(), (head + "-" + b).lower()
+    owner: dict[int, tuple[int, str, int, str]] = {}  # line -> (where the broken word's first half begins, first half, next line, second half)
+    for i, (m, j, b) in breaks(lines, body).items():
+        head, joined, compound = _halves(m, b)
         j1 = joined.split("-")[0]
-        nj = reader.count(j1)
+        nj = reader.words.get(j1, 0)
         if not nj and (v := reader.correct(j1)):
-            nj = reader.count(v) // 2
-        nc = reader.compound(compound) or reader.compound("-".join(compound.split("-")[:2]))
-        if m.group(2) == "-" and nc > nj or nj == 0 and nc == 0 and m.group(2) == "-" and reader.known(head) and reader.known(b.split("-")[0]) and len(head) > 2:
+            nj = v[1] / 2
+        nc = reader.compounds.get(compound, 0) or reader.compounds.get("-".join(compound.split("-")[:2]), 0)
+        hard = m.group(2) == "-"
+        if hard and nc > nj or hard and nj == 0 and nc == 0 and len(head) > 2 and reader.known(head) and reader.known(b.split("-")[0]):
             glue[i] = "-"
         elif b[0].islower() or nj:
             cases.append((i + 1, "hyphen"))
             glue[i] = ""
-            owner[(i, m.start(1) + len(m.group(1)) - len(head))] = (head, j, b.split("-")[0])
+            owner[i] = (m.start(1) + len(m.group(1)) - len(head), head, j, b.split("-")[0])
         else:
             glue[i] = "-"
-    starts = {}  # second halves, judged with their first
-    for (i, at), (head, j, b) in owner.items():
-        starts[j] = len(b)
+    starts = {j: len(b) for _, _, j, b in owner.values()}  # second halves, judged with their first
+    flagged = list(reader.cand)
     fixed: dict[int, str] = {}
     wrong: set[int] = set()
     carry: dict[int, str] = {}
     for i in body:
-        line = clean[i]
+        line = fixed[i] = clean[i]
+        if i not in owner and i not in carry:
+            low = line.lower()
+            if not any(w in low for w in flagged) and not _ODD.search(line):
+                continue
         words = list(WORD.finditer(line))
         new, end = [], 0
         lead = len(line) - len(line.lstrip())
@@ -283,15 +299,13 @@ def read_page(text: str, title: str | None, reader: Reader) -> tuple[list[tuple[
             w = m.group()
             left = words[n - 1].group().lower() if n else ""
             right = words[n + 1].group().lower() if n + 1 < len(words) else ""
-            fix = None
             if i in starts and m.start() == lead:
-                fix = carry.get(i)
-                if fix is not None:
+                if (fix := carry.get(i)) is not None:
                     new += [line[end : m.start()], fix, line[m.start() + starts[i] : m.end()]]
                     end = m.end()
                 continue
-            if (i, m.start()) in owner or any(k[0] == i and m.start() <= k[1] < m.end() for k in owner):
-                head, j, b = next(v for k, v in owner.items() if k[0] == i and m.start() <= k[1] < m.end())
+            if i in owner and m.start() <= owner[i][0] < m.end():
+                _, head, j, b = owner[i]
                 v = misread(head + b, left, "", reader)
                 if v is not None:
                     cut = _split(head, b, v)
@@ -310,35 +324,30 @@ def read_page(text: str, title: str | None, reader: Reader) -> tuple[list[tuple[
                 end = m.end()
         fixed[i] = "".join(new) + line[end:]
     cases += [(i + 1, "misread") for i in wrong]
-    return sorted(set(cases)), reflow(lines, fixed, glue)
+    return sorted(set(cases)), reflow(lines, kinds, fixed, glue)
+
+
+_ROMAN_WORD, _AS_NUMBER, _DIGIT_INSIDE = re.compile(r"[ivxlcdmIVXLCDM]+"), re.compile(r"\d+[OlI]+\d*|[OlI]\d{2,}"), re.compile(r"[^\W\d_][0158]+[^\W\d_]")
+
+
+def _accented(word: str) -> bool:
+    """Whether letters of the word have accents; a ligature is none."""
+    b = bare(word)
+    return len(b) == len(word) and b != word.lower()
 
 
 def misread(word: str, left: str, right: str, reader: Reader) -> str | None:
-    if len(word) < 2 or word.isdigit() or re.fullmatch(r"[ivxlcdmIVXLCDM]+", word) or word.isupper() and len(word) < 6 and any(c.isdigit() for c in word):
+    if len(word) < 2 or word.isdigit() or _ROMAN_WORD.fullmatch(word) or word.isupper() and len(word) < 6 and any(c.isdigit() for c in word):
         return None
-    if re.fullmatch(r"\d+[OlI]+\d*|[OlI]\d{2,}", word):
+    if _AS_NUMBER.fullmatch(word):
         return word.translate(str.maketrans("OlI", "011"))
     fix = reader.correct(word, left, right)
-    if fix is None and len(word) > 4 and not word.isupper() and reader.count(word.lower()) < LEAST and (bare(word) != word.lower() or re.search(r"[^\W\d_][0158]+[^\W\d_]", word)):
+    if fix is not None:
+        return fix[0]
+    if len(word) > 4 and not word.isupper() and (not reader.accents and _accented(word) or _DIGIT_INSIDE.search(word)):
         # a name that no other page tells: marks that no word has
         return bare(word).translate(str.maketrans("0158", "olsb"))
-    return fix
-
-
-def needs(text: str, title: str | None) -> tuple[set[str], set[str]]:
-    """Words and compounds whose counts ``read_page`` may ask for, whatever the counts are."""
-    body = [line for kind, line in body_lines(text, title) if kind == "body"]
-    words = {m.group().lower() for line in body for m in WORD.finditer(line)}
-    compounds: set[str] = set()
-    for line, after in zip(body, body[1:]):
-        m, f = _LAST.search(line), _FIRST.search(after)
-        if not m or not f:
-            continue
-        head, b = re.split(r"[-/]", m.group(1))[-1], f.group(1)
-        compound = (head + "-" + b).lower()
-        words |= {(head + b).lower().split("-")[0], head.lower(), b.split("-")[0].lower(), (head + b.split("-")[0]).lower()}
-        compounds |= {compound, "-".join(compound.split("-")[:2])}
-    return words, compounds
+    return None
 
 
 def _split(head: str, b: str, v: str) -> int:
@@ -359,14 +368,14 @@ def _like(new: str, old: str) -> str:
 _START = re.compile(r"^\s*(?:\(?[a-z]\)|\(?\d{1,3}[.)]|\d{1,3}\s{2,}|CHAPTER|Chapter|Annexure|Schedule|[A-Z][a-z]+ \d+:)\s?")
 
 
-def reflow(lines: list[tuple[str, str]], fixed: dict[int, str], glue: dict[int, str]) -> str:
+def reflow(lines: list[str], kinds: str, fixed: dict[int, str], glue: dict[int, str]) -> str:
     """Body lines as paragraphs parted by an empty line; furniture inside a paragraph doesn't part it."""
     out: list[str] = []
     last = gap = None
-    for i, (kind, _) in enumerate(lines):
-        if kind == "blank":
+    for i, kind in enumerate(kinds):
+        if kind == "_":
             gap = gap if gap == "furniture" else "blank"
-        elif kind in ("header", "page_number"):
+        elif kind in "hn":
             gap = "furniture"
         else:
             line = fixed[i].strip()
@@ -380,208 +389,194 @@ def reflow(lines: list[tuple[str, str]], fixed: dict[int, str], glue: dict[int,
     return "\n\n".join(out)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words, compounds and neighbours of the body, without words at a line's broken end or after it."""
-    for df in batches:
-        n: dict[tuple[str, str], int] = {}
-        for text, title in zip(df["text"], df["title"]):
-            broken = False
-            for kind, line in body_lines(text, title):
-                if kind != "body":
-                    continue
-                words = [m for m in WORD.finditer(line)]
-                stop = bool(_LAST.search(line))
-                use = words[1 if broken else 0 : len(words) - 1 if stop else len(words)]
-                broken = stop
-                for a in use:
-                    k = ("w", a.group().lower())
-                    n[k] = n.get(k, 0) + 1
-                for a, b in zip(use, use[1:]):
-                    between = line[a.end() : b.start()]
-                    if between == "-":
-                        k = ("c", f"{a.group()}-{b.group()}".lower())
-                    elif between == " ":
-                        k = ("p", f"{a.group()} {b.group()}".lower())
-                    else:
-                        continue
-                    n[k] = n.get(k, 0) + 1
-        yield pd.DataFrame([(k, w, c) for (k, w), c in n.items()], columns=["kind", "item", "n"])
-
-
-def titled(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """pages (page_id, text) with their document's title, null where the document isn't listed; null texts left out."""
-    one = docs.groupBy("doc_id").agg(F.max("doc_title").alias("title"))
-    return pages.where(F.col("text").isNotNull()).select("page_id", "doc_id", "text").join(one, "doc_id", "left").select("page_id", "text", "title")
-
-
-def reader_of(counts: DataFrame, total: int, share: float = 2e-6) -> tuple[Reader, int]:
-    """(reader with the frequent items, least count of a frequent one): those with at least ``share`` of all occurrences, so each table has at most 1/share rows."""
-    least = max(2, int(total * share))
-    pairs = 10 * least  # neighbours are far more
-    rows = counts.where((F.col("n") >= least) & ((F.col("kind") != "p") | (F.col("n") >= pairs))).collect()
-    reader = Reader(
-        {r["item"]: r["n"] for r in rows if r["kind"] == "w"}, {r["item"]: r["n"] for r in rows if r["kind"] == "c"}, {tuple(r["item"].split(" ", 1)): r["n"] for r in rows if r["kind"] == "p"}
-    )
-    return reader, least
-
-
-def _title(h) -> str | None:
-    return h if isinstance(h, str) else None
-
-
-def _asked(state: tuple):
-    """(row, kind, item): words and compounds of a page that are not frequent."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, compounds, _ = state
-        for df in batches:
-            out = []
-            for row, text, title in zip(df["row"], df["text"], df["title"]):
-                w, c = needs(text, _title(title))
-                out += [(row, "w", x) for x in w if x not in words] + [(row, "c", x) for x in c if x not in compounds]
-            yield pd.DataFrame(out, columns=["row", "kind", "item"])
-
-    return run
-
+SCANNED = "kind string, item string, n bigint, row bigint, page_id {id}, kinds string, words array<string>, broken array<string>, compounds array<string>"
 
-def _among_frequent(state: tuple):
-    """(item, n, v, m) for each word and each frequent word v, seen m times, that it may be a misreading of."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Reader(*state).trie
-        for df in batches:
-            out = [(w, n, v, trie.words[v]) for w, n in zip(df["item"], df["n"]) for v in meant(trie, w, n)]
-            yield pd.DataFrame(out, columns=["item", "n", "v", "m"])
-
-    return run
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages with their lines' kinds and what they ask for (kind t, the text as item), and counts of words, compounds and neighbours of the body (w, c, p).
 
-
-def _among_rare(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-    """The same for the words of one shard of the vocabulary that is not frequent."""
-    if asked.empty or shard.empty:
-        return pd.DataFrame([], columns=["item", "n", "v", "m"])
-    trie = Trie(dict(zip(shard["v"], shard["m"])))
-    out = [(w, n, v, trie.words[v]) for w, n in zip(asked["item"], asked["n"]) for v in meant(trie, w, n, fold=False)]
-    return pd.DataFrame(out, columns=["item", "n", "v", "m"])
+    Words at a line's broken end or after it aren't counted.
+    """
+    for df in batches:
+        words, compounds, pairs = Counter(), Counter(), Counter()
+        pages = []
+        for row, page_id, text, forms in zip(df["row"], df["page_id"], df["text"], df["forms"]):
+            lines = text.split("\n")
+            kinds = kinds_of(lines, tuple(forms))
+            body = [i for i, k in enumerate(kinds) if k == "b"]
+            mine: set[str] = set()
+            broken, joined = set(), set()
+            stopped = False
+            for i in body:
+                line = lines[i].lower()
+                use = WORD.findall(line)
+                mine.update(use)
+                stop = line.rstrip().endswith(_ENDS) and bool(_LAST.search(lines[i]))
+                if stopped or stop:
+                    use = use[1 if stopped else 0 : len(use) - 1 if stop else len(use)]
+                stopped = stop
+                words.update(use)
+                pairs.update(zip(use, use[1:]))
+                if "-" in line:
+                    for a, b in zip(use, use[1:]):
+                        if f"{a}-{b}" in line:
+                            compounds[a, b] += 1
+            for m, _, b in breaks(lines, body).values():
+                head, whole, compound = _halves(m, b)
+                b0 = b.split("-")[0].lower()
+                broken |= {whole.split("-")[0], head.lower(), b0}
+                mine |= {whole.split("-")[0], (head + b0).lower(), head.lower(), b0}
+                joined |= {compound, "-".join(compound.split("-")[:2])}
+            pages.append(("t", text, 0, row, page_id, kinds, list(mine), list(broken), list(joined)))
+        counts = [("w", w, n) for w, n in words.items()] + [("c", f"{a}-{b}", n) for (a, b), n in compounds.items()] + [("p", f"{a} {b}", n) for (a, b), n in pairs.items()]
+        names = ["kind", "item", "n", "row", "page_id", "kinds", "words", "broken", "compounds"]
+        yield pd.DataFrame(pages, columns=names)
+        yield pd.DataFrame(counts, columns=names[:3]).assign(**{c: None for c in names[3:]}).astype({"row": "Int64"})
 
 
 @F.pandas_udf(StringType())
-def _folded(s: pd.Series) -> pd.Series:
-    return s.map(folded)
-
+def _heading(lines: pd.Series) -> pd.Series:
+    return lines.map(heading, na_action="ignore")
 
-@F.pandas_udf(BooleanType())
-def _outvotes(w: pd.Series, own: pd.Series, v: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([w_ != v_ and outvotes(w_, o, v_, n_) for w_, o, v_, n_ in zip(w, own, v, n)], dtype=bool)
 
+def forms_of(ws: Workspace, pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, forms, _n): of each document of ``pages`` (doc, page, text) its title and running headers, and its number of pages.
 
-def rare_words(ws: Workspace, asked: DataFrame, counts: DataFrame, state: tuple, least: int, block: int = 20_000) -> DataFrame:
-    """(item, n, cand array of (v, m)) of the distinct words ``asked(item)``, none of them frequent.
-
-    The vocabulary below ``least`` is cut into shards by length and hash, about ``block`` words each; a word meets the
-    shards of all lengths within its reach, and each shard's trie is walked with its automaton. Words that scanners can't
-    tell apart are joined by their folded form, whatever their lengths.
+    A header recurs at the edges (two lines of each) of the document's pages (one scanned again counts once), or of other documents' pages for the most part.
     """
-    spark = ws.spark
-    words = counts.where("kind = 'w'").select("item", "n")
-    own = ws.write(asked.join(words, "item", "left").select("item", F.coalesce("n", F.lit(0)).alias("n")).repartition(tasks(spark), "item"), n="count(*)")
-    tail = ws.write(words.where((F.col("n") >= LEAST) & (F.col("n") < least)).select(F.col("item").alias("v"), F.col("n").alias("m")), n="count(*)")
-    ask, have = own.metrics["n"] or 0, tail.metrics["n"] or 0
-    shape = "item string, n bigint, v string, m bigint"
-    # those of a word seen n times are seen RATIO times as often, so others have no rare ones
-    long = own.where(F.length("item") > 1)
-    hits = long.mapInPandas(_among_frequent(state), shape)
-    if have:
-        shards, chunks = -(-have // block), -(-ask // block)
-        some = long.where(F.greatest("n", F.lit(1)) * RATIO < least)
-        at = F.explode(F.sequence(F.length("item") - F.when(F.length("item") < 4, 1).otherwise(2), F.length("item") + F.when(F.length("item") < 4, 1).otherwise(2)))
-        left = some.withColumn("len", at).withColumn("chunk", F.pmod(F.xxhash64("item"), F.lit(chunks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
-        right = tail.withColumn("len", F.length("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
-        keys = ["len", "shard", "chunk"]
-        near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_among_rare, shape)
-        alike = some.withColumn("f", _folded("item")).join(tail.withColumn("f", _folded("v")), "f").where(_outvotes("item", "n", "v", "m")).select("item", "n", "v", "m")
-        hits = hits.unionByName(near).unionByName(alike)
-    cand = hits.groupBy("item").agg(F.array_sort(F.collect_set(F.struct("v", "m"))).alias("cand"))
-    return ws.write(own.join(cand, "item", "left").where("n > 0 OR cand IS NOT NULL"))
-
-
-def _by_row(asked: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
-    """(row, notes): the table's rows of the items each page asks for."""
-    hits = salted_lookup(asked, table, "item", asked.groupBy("item").agg(F.count("*").alias("_n")), "_n")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))
+    edges = pages.select("doc", "page", F.explode(F.array_distinct(F.concat(F.slice(lines, 1, 2), F.when(F.size(lines) > 2, F.slice(F.reverse(lines), 1, 2)).otherwise(F.array().cast("array<string>"))))).alias("line"))
+    seen = edges.select("doc", "page", _heading("line").alias("form")).where("form IS NOT NULL").distinct().groupBy("doc", "form").agg(F.count("*").alias("n"))
+    seen = ws.write(seen)
+    sizes = ws.write(pages.groupBy("doc").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("_n")))
+    own = (F.col("n") >= 2) & (F.col("n") >= HEADER_SHARE * F.col("pages"))
+    seen = seen.join(sizes, "doc").select("doc", "form", own.alias("own"), (F.col("n") >= 0.1 * F.col("pages")).alias("often"))
+    common = seen.groupBy("form").agg(F.count("*").alias("docs"), F.count_if("own").alias("of"))
+    share = F.col("of") / F.col("docs")
+    heads = seen.join(common, "form").where(F.col("own") & ((F.col("docs") < 4) | (share >= SECTION_SHARE)) | F.col("often") & (F.col("of") >= 2) & (share >= KNOWN_SHARE))
+    title = docs.groupBy(F.col("doc_id").alias("doc")).agg(F.max("doc_title").alias("t")).select("doc", _heading("t").alias("form")).where("form IS NOT NULL")
+    forms = heads.select("doc", "form").unionByName(title).groupBy("doc").agg(F.collect_set("form").alias("forms"))
+    return sizes.join(forms, "doc", "left").select("doc", F.coalesce("forms", F.array().cast("array<string>")).alias("forms"), "_n")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _prefixes(words: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([Automaton(w).prefixes(n) for w, n in zip(words, k)], dtype=object)
+
+
+def _match(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+    """(item, v, m, edits) of the asked words and the words of one trie."""
+    out: list[tuple] = []
+    if len(asked) and len(shard):
+        trie = Trie(dict(zip(shard["v"], shard["m"])))
+        for w, n in zip(asked["item"], asked["n"]):
+            out += [(w, v, trie.words[v], e) for v, e in trie.near(w) if v != w and outvotes(w, n, trie.words[v])]
+    return pd.DataFrame(out, columns=["item", "v", "m", "e"])
+
+
+def candidates(ws: Workspace, words: DataFrame, asked: DataFrame, block: int = 50_000) -> DataFrame:
+    """(item, cand array of (v, m, e)) of the words in ``words`` (item, n) and ``asked`` (item, never seen) that may be misreadings.
+
+    The vocabulary is cut into tries by so many first letters that none holds above ``block`` words (up to eight letters).
+    """
+    k = 1
+    while k < 8 and (words.groupBy(F.substring("item", 1, k)).count().agg(F.max("count")).first()[0] or 0) > block:
+        k += 1
+    every = words.unionByName(asked.join(words, "item", "left_anti").distinct().withColumn("n", F.lit(0).cast("bigint")))
+    every = ws.write(every.where(F.length("item") > 1).repartition(tasks(ws.spark), "item"), n="count(1)")
+    chunks = -(-(every.metrics["n"] or 0) // (16 * block)) or 1
+    left = every.withColumn("prefix", F.explode(_prefixes("item", F.lit(k)))).withColumn("chunk", F.pmod(F.xxhash64("item"), F.lit(chunks)).cast("int"))
+    right = words.select(F.col("item").alias("v"), F.col("n").alias("m"), F.substring("item", 1, k).alias("prefix"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    hits = left.groupBy("prefix", "chunk").cogroup(right.groupBy("prefix", "chunk")).applyInPandas(_match, "item string, v string, m bigint, e int")
+    return ws.write(hits.groupBy("item").agg(F.array_sort(F.collect_set(F.struct("v", "m", "e"))).alias("cand")))
+
+
+def _looked_up(asked: DataFrame, table: DataFrame, key: str, *cols: str) -> DataFrame:
+    """(row, notes): the table's rows of the keys that each page asks for."""
+    hits = salted_lookup(asked, table, key, asked.groupBy(key).agg(F.count("*").alias("_n")), "_n")
     return hits.groupBy("row").agg(F.collect_list(F.struct(*cols)).alias("notes"))
 
 
-NOTES = "array<struct<kind:string,item:string,n:bigint,cand:array<struct<v:string,m:bigint>>>>"
+def _reader(notes, pairs, accents: bool) -> Reader:
+    def rows():
+        for r in notes if notes is not None else ():
+            yield r["key"][0], r["key"][1:], r["n"], None if r["cand"] is None else [(c["v"], c["m"], c["e"]) for c in r["cand"]]
 
+    return Reader(rows(), () if pairs is None else [(r["item"], r["n"]) for r in pairs], accents)
 
-def _items(x) -> list:
-    """Rows of an array of structs, as tuples; candidates likewise."""
-    if x is None:
-        return []
-    return [(r["kind"], r["item"], r["n"], [(c["v"], c["m"]) for c in r["cand"]] if r["cand"] is not None else []) for r in x]
 
-
-def _missed_pairs(state: tuple):
-    """(row, item): neighbours, not frequent, that decide between the candidates of a page's words."""
+def _missed(accents: bool):
+    """(row, item): neighbours that decide between the candidates of a page's words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*state)
         for df in batches:
             out = []
-            for row, text, title, notes in zip(df["row"], df["text"], df["title"], df["notes"]):
-                reader.turn_to(_items(notes))
-                reader.missed = set()
-                read_page(text, _title(title), reader)
+            for row, text, kinds, notes in zip(df["row"], df["text"], df["kinds"], df["notes"]):
+                reader = _reader(notes, None, accents)
+                read_page(text.split("\n"), kinds, reader)
                 out += [(row, x) for x in reader.missed]
             yield pd.DataFrame(out, columns=["row", "item"])
 
     return run
 
 
-def _run(state: tuple, want_text: bool):
+def _run(accents: bool, want_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*state)
         for df in batches:
-            for k in range(0, len(df), 512):
-                part = df.iloc[k : k + 512]
-                read = []
-                for t, h, notes, pairs in zip(part["text"], part["title"], part["notes"], part["pairs"]):
-                    reader.turn_to(_items(notes), [] if pairs is None else [(r["item"], r["n"]) for r in pairs])
-                    read.append(read_page(t, _title(h), reader))
-                if want_text:
-                    yield pd.DataFrame({"page_id": part["page_id"], "text": [x[1] for x in read]})
-                else:
-                    yield pd.DataFrame([(i, n, kind) for i, (cases, _) in zip(part["page_id"], read) for n, kind in cases], columns=["page_id", "line_no", "kind"])
+            ids, out = [], []
+            for i, text, kinds, notes, pairs in zip(df["page_id"], df["text"], df["kinds"], df["notes"], df["pairs"]):
+                cases, repaired = read_page(text.split("\n"), kinds, _reader(notes, pairs, accents))
+                ids += [i] if want_text else [i] * len(cases)
+                out += [(repaired,)] if want_text else cases
+            yield pd.DataFrame(out, columns=["text"] if want_text else ["line_no", "kind"]).assign(page_id=ids)[["page_id", "text"] if want_text else ["page_id", "line_no", "kind"]]
 
     return run
 
 
-def _read(spark: SparkSession, pages: DataFrame, docs: DataFrame, want_text: bool, shape: str) -> DataFrame:
-    """Every page read with exact counts: frequent items are broadcast, all others looked up in the table of counts."""
+def _read(spark: SparkSession, pages: DataFrame, docs: DataFrame, want_text: bool, shape: str, block: int = 50_000) -> DataFrame:
+    """Every page read with what the whole corpus tells of its words."""
     ws = Workspace(spark, "pages")
-    t = ws.write(titled(pages, docs).repartition(tasks(spark), "page_id").withColumn("row", F.monotonically_increasing_id()))
-    counts = ws.write(t.mapInPandas(_count, "kind string, item string, n bigint").groupBy("kind", "item").agg(F.sum("n").alias("n")), total="sum(n)")
-    r, least = reader_of(counts, counts.metrics["total"] or 0)
-    state = (r.words, r.compounds, r.pairs)
-    asked = ws.write(t.select("row", "text", "title").mapInPandas(_asked(state), "row bigint, kind string, item string"))
-    words, compounds = asked.where("kind = 'w'").select("row", "item"), asked.where("kind = 'c'").select("row", "item")
-    known = rare_words(ws, words.select("item").distinct(), counts, state, least)
-    empty = F.lit(None).cast("array<struct<v:string,m:bigint>>")
-    of_words = _by_row(words, known.withColumn("kind", F.lit("w")), "kind", "item", "n", "cand")
-    of_compounds = _by_row(compounds, counts.where("kind = 'c'").select("item", "n").withColumn("kind", F.lit("c")).withColumn("cand", empty), "kind", "item", "n", "cand")
-    notes = of_words.unionByName(of_compounds).groupBy("row").agg(F.flatten(F.collect_list("notes")).cast(NOTES).alias("notes"))
-    t = ws.write(t.join(notes, "row", "left").repartition(tasks(spark), "row"))
-    missed = ws.write(t.select("row", "text", "title", "notes").mapInPandas(_missed_pairs(state), "row bigint, item string"))
-    pairs = _by_row(missed, counts.where("kind = 'p'").select("item", "n"), "item", "n").withColumnRenamed("notes", "pairs")
-    return t.join(pairs, "row", "left").repartition(tasks(spark), "row").mapInPandas(_run(state, want_text), shape)
-
-
-def damage(spark: SparkSession, pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """(page_id, line_no, kind): what is wrong with which line. Null and empty texts have no cases; repeated rows come out once."""
-    return _read(spark, pages, docs, False, "page_id bigint, line_no int, kind string").distinct()
-
-
-def repaired(spark: SparkSession, pages: DataFrame, docs: DataFrame) -> DataFrame:
+    kind = pages.schema["page_id"].dataType.simpleString()
+    doc = F.coalesce("doc_id", F.concat(F.lit("\x00"), F.col("page_id").cast("string"))).alias("doc")
+    t = pages.where(F.col("text").isNotNull()).select(doc, "page_id", F.coalesce(F.col("page_num").cast("bigint"), -F.col("page_id") - 1).alias("page"), "text")
+    forms = ws.write(forms_of(ws, t, docs))
+    t = salted_lookup(t, forms.select("doc", "forms"), "doc", forms.select("doc", "_n"), "_n").repartition(tasks(spark), "page_id").withColumn("row", F.monotonically_increasing_id())
+    scanned = ws.write(t.select("row", "page_id", "text", "forms").mapInPandas(_scan, SCANNED.format(id=kind)))
+    counts = ws.write(
+        scanned.where("kind <> 't'").groupBy("kind", "item").agg(F.sum("n").alias("n")),
+        total="sum(CASE WHEN kind = 'w' THEN n END)", odd="sum(CASE WHEN kind = 'w' AND item RLIKE '[^\\\\x00-\\\\x7f]' THEN n END)",
+    )
+    total = counts.metrics["total"] or 0
+    accents = (counts.metrics["odd"] or 0) > ACCENTED * total
+    page = scanned.where("kind = 't'")
+    words = counts.where("kind = 'w'").select("item", "n")
+    cand = candidates(ws, words, page.select(F.explode("broken").alias("item")).unionByName(page.select(F.explode("words").alias("item"))).distinct(), block)
+    # frequent words without candidates, ten thousand at most, need no lookup
+    plain = F.broadcast(words.where(F.col("n") > 1e-4 * total).select("item").join(cand.select("item"), "item", "left_anti"))
+    asked = page.select("row", F.explode("words").alias("item")).join(plain, "item", "left_anti").select("row", F.concat(F.lit("w"), "item").alias("key"))
+    asked = asked.unionByName(page.select("row", F.explode("broken").alias("item")).select("row", F.concat(F.lit("n"), "item").alias("key")))
+    asked = asked.unionByName(page.select("row", F.explode("compounds").alias("item")).select("row", F.concat(F.lit("c"), "item").alias("key")))
+    none = F.lit(None).cast("array<struct<v:string,m:bigint,e:int>>")
+    table = cand.select(F.concat(F.lit("w"), "item").alias("key"), F.lit(0).cast("bigint").alias("n"), "cand")
+    table = table.unionByName(words.select(F.concat(F.lit("n"), "item").alias("key"), "n", none.alias("cand"))).unionByName(counts.where("kind = 'c'").select(F.concat("kind", "item").alias("key"), "n", none.alias("cand")))
+    notes = _looked_up(asked, table, "key", "key", "n", "cand")
+    ready = ws.write(page.select("row", "page_id", F.col("item").alias("text"), "kinds").join(notes, "row", "left").withColumn("open", F.coalesce(F.exists("notes", lambda x: F.size(x["cand"]) > 1), F.lit(False))))
+    split = ready.where("open")
+    missed = ws.write(split.select("row", "text", "kinds", "notes").repartition(tasks(spark), "row").mapInPandas(_missed(accents), "row bigint, item string"))
+    pairs = _looked_up(missed, counts.where("kind = 'p'").select("item", "n"), "item", "item", "n").withColumnRenamed("notes", "pairs")
+    whole = ready.join(pairs, "row", "left").select("page_id", "text", "kinds", "notes", "pairs").repartition(tasks(spark))
+    return whole.mapInPandas(_run(accents, want_text), shape.format(id=kind))
+
+
+def damage(spark: SparkSession, pages: DataFrame, docs: DataFrame, block: int = 50_000) -> DataFrame:
+    """(page_id, line_no, kind): what is wrong with which line. Null and empty texts have no cases; repeated rows come out once.
+
+    ``block`` bounds the words of a trie and doesn't change the result.
+    """
+    return _read(spark, pages, docs, False, "page_id {id}, line_no int, kind string", block).distinct()
+
+
+def repaired(spark: SparkSession, pages: DataFrame, docs: DataFrame, block: int = 50_000) -> DataFrame:
     """(page_id, text): each page as continuous paragraphs, parted by empty lines. An empty text stays empty, a null one null."""
     null = pages.where(F.col("text").isNull()).select("page_id", F.lit(None).cast("string").alias("text"))
-    return _read(spark, pages, docs, True, "page_id bigint, text string").unionByName(null)
+    return _read(spark, pages, docs, True, "page_id {id}, text string", block).unionByName(null)

@@ -86,7 +86,39 @@ def test_viterbi_equals_brute_force():
         assert tuple(got) == best
 
 
+def _slips(read, meant):
+    """Least number of scanner confusions and accents that turn ``meant`` into ``read``, by trying all."""
+    base = pages.bare(read)
+    best = {}
+
+    def go(i, j, n):
+        if n > pages.SLIPS or best.get((i, j), 9) <= n:
+            return
+        best[i, j] = n
+        if i < len(meant) and j < len(base) and meant[i] == base[j]:
+            go(i + 1, j + 1, n)
+        for x, y in pages.CONFUSED:
+            if meant.startswith(y, i) and base.startswith(x, j):
+                go(i + len(y), j + len(x), n + 1)
+
+    go(0, 0, sum(x != y for x, y in zip(read, base)))
+    return best.get((len(meant), len(base)))
+
+
 def test_trie_and_automaton_equal_brute_force():
+    r = random.Random(6)
+    words = {"".join(r.choice(["rn", "m", "h", "li", "e", "c", "d", "cl", "o", "t"]) for _ in range(r.randint(1, 4))): 9 for _ in range(300)}
+    t, some = pages.Trie(words), 0
+    for w in [*list(words)[:60], "rnrnrn", "hliéd", "0ne", "zz", ""]:
+        want = {(v, n) for v in words if (n := _slips(w, v)) is not None}
+        some += len(want)
+        assert set(t.near(w)) == want
+        for k in (1, 2, 3):
+            assert {v[:k] for v, _ in want} <= set(pages.Automaton(w).prefixes(k))
+    assert some > 80
+
+
+def test_distance_equals_brute_force():
     def lev(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -96,12 +128,10 @@ def test_trie_and_automaton_equal_brute_force():
             row = new
         return row[-1]
 
-    r = random.Random(6)
-    words = {"".join(r.choice("abcd") for _ in range(r.randint(1, 6))): 9 for _ in range(150)}
-    t = pages.Trie(words)
-    for w in [*list(words)[:20], "abcdabcd", "zz", ""]:
-        for n in (0, 1, 2):
-            assert sorted(t.near(w, n)) == sorted(v for v in words if lev(w, v) <= n)
+    r = random.Random(7)
+    for _ in range(400):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in "ab")
+        assert pages.distance(a, b) == lev(a, b)
 
 
 BODY = "The trading member shall publish short-term liquidity statements under intimation to the regulator.\n"
@@ -124,19 +154,34 @@ def test_page_repair(spark):
     assert pages.damage(spark, p.limit(0), docs).count() == 0
 
 
-def test_page_repair_is_the_same_however_few_words_are_broadcast(spark, monkeypatch):
+def _corpus(copies):
     rows = [(i, "d", i, BODY * 6 + "a well-known set\n") for i in range(1, 40)]
-    rows += [(100 + i, "d", i, "The quarnock is here.\nA self-\ncare plan for the dremolin.\n") for i in range(8)]
-    rows += [(200, "d", 1, "The quamock is here.\nOf self-care.\nNow the drernolin and the dremo-\nlin.")]
+    rows += [(100 + i, "d", i + 50, "The quarnock is here.\nA self-\ncare plan for the dremolin.\n") for i in range(8)]
+    rows += [(200, "d", 80, "The quamock is here.\nOf self-care.\nNow the drernolin and the dremo-\nlin.")]
+    return [(1000 * k + i, f"{d}{k}", n, t) for k in range(copies) for i, d, n, t in rows]
+
+
+def _read_corpus(spark, rows, **block):
     p = spark.createDataFrame(rows, "page_id bigint, doc_id string, page_num int, text string")
     docs = spark.createDataFrame([("d", "Zzzz zzzzz zzzzz")], "doc_id string, doc_title string")
+    return {tuple(r) for r in pages.damage(spark, p, docs, **block).collect()}, dict(tuple(r) for r in pages.repaired(spark, p, docs, **block).collect())
+
 
-    def run():
-        return {tuple(r) for r in pages.damage(spark, p, docs).collect()}, {tuple(r) for r in pages.repaired(spark, p, docs).collect()}
+def test_page_repair_is_the_same_for_any_cut_of_the_vocabulary_and_any_size(spark):
+    whole = _read_corpus(spark, _corpus(1))
+    assert {(200, 1, "misread"), (200, 3, "misread"), (200, 3, "hyphen")} <= whole[0] and not any(k == "hyphen" and i < 200 for i, _, k in whole[0])
+    assert whole[1][200].startswith("The quarnock is here.")
+    assert _read_corpus(spark, _corpus(1), block=3) == whole
+    more = _read_corpus(spark, _corpus(10))
+    assert {x for x in more[0] if x[0] < 1000} == whole[0] and {i: t for i, t in more[1].items() if i < 1000} == whole[1]
 
-    whole = run()
-    monkeypatch.setattr(pages.reader_of, "__defaults__", (0.02,))
-    few = run()
-    assert few == whole
-    assert {(200, 1, "misread"), (200, 3, "misread")} <= few[0] and not any(k == "hyphen" and i < 200 for i, _, k in few[0])
-    assert dict(few[1])[200].startswith("The quarnock is here.")
+
+def test_headers_recur_at_the_edges(spark):
+    body = [f"The {w} shall be published by the exchange without further delay.\nA second line of the {w} goes on here." for w in ("ledger", "register", "notice", "account", "table", "paper")]
+    rows = [(i, "a", i, f"ANNUAL REPORT 2012-13\n{b}\n{i}") for i, b in enumerate(body, 1)]
+    rows += [(10 + i, "b", i, f"Annexure {i}\n{b}\nDepartment of Debt - Volume 3   {i}") for i, b in enumerate(body, 1)]
+    rows += [(20, "a", 7, "ANNUAL REP0RT 2012-13\nThe ledger shall be published."), (21, "c", 1, "Annexure 4\nThe notice shall be published."), (22, None, 1, "Quality Premiums\nThe paper.")]
+    rows += [(30 + i, f"e{i}", 1, f"Annexure 1\n{b}") for i, b in enumerate(body)]
+    p = spark.createDataFrame(rows, "page_id bigint, doc_id string, page_num int, text string")
+    got = {(r["page_id"], r["line_no"]) for r in pages.damage(spark, p, spark.createDataFrame([], "doc_id string, doc_title string")).where("kind = 'header'").collect()}
+    assert got == {(i, 1) for i in range(1, 7)} | {(10 + i, 4) for i in range(1, 7)} | {(20, 1)}
