@@ -40,15 +40,23 @@ def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
         yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def _letters(c: str) -> list[Column]:
-    return [F.length(c) - F.length(F.translate(c, x, "")) for x in "etaoinsrhldcumfpgwybvk 0123/-"]
+#: characters whose numbers are compared one by one
+COUNTED = "etaoinsrhldcumfpgwybvk 0123/-"
 
 
-def may_reach(a: str, b: str, threshold: float) -> Column:
-    """Upper bounds on the ratio, in the JVM: by length, and by the characters two texts can share. Never refuses a pair that reaches it."""
-    la, lb = F.length(a), F.length(b)
+def letter_counts(key: str, prefix: str) -> list[Column]:
+    """Length of ``key`` and how often it has each of ``COUNTED``, as columns <prefix>len, <prefix>0, ..."""
+    return [F.length(key).alias(f"{prefix}len"), *[(F.length(key) - F.length(F.translate(key, x, ""))).alias(f"{prefix}{i}") for i, x in enumerate(COUNTED)]]
+
+
+def may_reach(threshold: float) -> Column:
+    """Upper bounds on the ratio of a pair with ``letter_counts`` under the prefixes a and b: by length, and by the characters two texts can share.
+
+    Never refuses a pair that reaches it.
+    """
+    la, lb = F.col("alen"), F.col("blen")
     need = (la + lb) * (threshold / 2)
-    counted = [(x, y) for x, y in zip(_letters(a), _letters(b))]
+    counted = [(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(len(COUNTED))]
     shared = sum((F.least(x, y) for x, y in counted), F.lit(0))
     rest = F.least(la - sum((x for x, _ in counted), F.lit(0)), lb - sum((y for _, y in counted), F.lit(0)))
     return (F.least(la, lb) >= need - 1e-9) & (shared + rest >= need - 1e-9)

@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from citeweave.operators.ordered import first_fit_pairs, greedy_pairs
-from citeweave.operators.similarity import duplicate_edges, similarity_edges
+from citeweave.operators.similarity import duplicate_edges, equal_pairs, similarity_edges
+from citeweave.runtime import Workspace
 from citeweave.schemas import Settings
 
 
+@F.pandas_udf(DoubleType())
+def rounded(x: pd.Series) -> pd.Series:
+    """Three places as Python rounds: by the exact binary value, true ties (like 0.0625) to the even neighbour. A row a document at most."""
+    return x.map(lambda v: round(v, 3))
+
+
 def scores(tp: Column, predicted: Column, truth: Column) -> list[Column]:
     """precision, recall, f1 (three places), tp, fp, fn; all of them 0 where there is no ground truth."""
     p, r = F.coalesce(F.try_divide(tp.cast("double"), predicted), F.lit(0.0)), F.coalesce(F.try_divide(tp.cast("double"), truth), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
     given = truth > 0
-    real = [F.when(given, F.round(x, 3)).otherwise(0.0).alias(n) for n, x in (("precision", p), ("recall", r), ("f1", f1))]
+    real = [F.when(given, rounded(x)).otherwise(0.0).alias(n) for n, x in (("precision", p), ("recall", r), ("f1", f1))]
     return real + [F.when(given, x).otherwise(0).cast("bigint").alias(n) for n, x in (("tp", tp), ("fp", predicted - tp), ("fn", truth - tp))]
 
 
-def metrics(spark: SparkSession, predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), by_doc: bool = False) -> DataFrame:
+def match(spark: SparkSession, predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
+    """(doc_id, pi, gi, sim): greedy one-to-one matching within documents, by falling similarity, then order. Equal titles first, by rank."""
+    ws = Workspace(spark, "match")
+    equal, p, g = equal_pairs(ws, predicted, truth)
+    p, g = ws.write(p), ws.write(g)
+    return greedy_pairs(spark, similarity_edges(p, g, s, fuzzy)).unionByName(equal)
+
+
+def metrics(spark: SparkSession, predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), by_doc: bool = False, fuzzy: bool = True) -> DataFrame:
     """Precision, recall and F1 by greedy one-to-one matching within documents; one row, or one a document."""
-    pairs = greedy_pairs(spark, similarity_edges(predicted, truth, s))
+    pairs = match(spark, predicted, truth, s, fuzzy)
     keys = ["doc_id"] if by_doc else []
     counted = (
         pairs.select("doc_id", F.lit(1).alias("t"), F.lit(0).alias("p"), F.lit(0).alias("g"))
@@ -64,5 +81,5 @@ def comparison(runs: dict[str, DataFrame]) -> DataFrame:
         out = row if out is None else out.unionByName(row)
     first, last = next(iter(runs)), list(runs)[-1]
     pick = lambda c, m: F.max(F.when(F.col("method") == m, F.col(c)))
-    diff = out.agg(*[(pick(c, last) - pick(c, first)).alias(c) for c in ("precision", "recall", "f1", "found")]).select(F.lit("difference").alias("method"), *[F.round(c, 3).alias(c) for c in ("precision", "recall", "f1")], "found")
+    diff = out.agg(*[(pick(c, last) - pick(c, first)).alias(c) for c in ("precision", "recall", "f1", "found")]).select(F.lit("difference").alias("method"), *[rounded(c).alias(c) for c in ("precision", "recall", "f1")], "found")
     return out.unionByName(diff)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions.text import one_line, title_key
 from citeweave.patterns import PATTERNS, Pattern
+from citeweave.runtime import Workspace, numbered
 
 
 def matches(pages: DataFrame, patterns: Sequence[Pattern] = PATTERNS, keep: Sequence[str] = ()) -> DataFrame:
@@ -64,12 +65,11 @@ def missing_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def page_batches(pages: DataFrame, size: int = 3) -> DataFrame:
     """pages with ``batch``: consecutive runs of ``size`` pages of a document."""
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "text"))
-    return pages.withColumn("batch", F.floor((n - 1) / size).cast("int"))
+    order = [c for c in ("page_num", "text") if c in pages.columns]
+    return numbered(Workspace(pages.sparkSession, "batches"), pages, ["doc_id"], order, "_n").withColumn("batch", F.floor(F.col("_n") / size).cast("int")).drop("_n")
 
 
 def first_page_order(refs: DataFrame, missing: int = 999) -> DataFrame:
     """refs with seq renumbered by the first listed page (not the least); references without pages come last."""
     key = F.coalesce(F.try_element_at("page_numbers", F.lit(1)), F.lit(missing))
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy(key, "seq")) - 1
-    return refs.withColumn("seq", n.cast("bigint"))
+    return numbered(Workspace(refs.sparkSession, "order"), refs.withColumn("_key", key).withColumnRenamed("seq", "_old"), ["doc_id"], ["_key", "_old"], "seq").select(*refs.columns)

@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.operators.ordered import first_seeds
 from citeweave.operators.similarity import duplicate_edges
+from citeweave.runtime import Workspace, numbered
 from citeweave.schemas import Settings
 
 
 def _listed(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Both lists as one: ``n`` numbers a document's rows, those of the first list before those of the second."""
+    """Both lists as one: ``n`` puts a document's rows in order, those of the first list before those of the second."""
     both = first.withColumn("_l", F.lit(0)).unionByName(second.withColumn("_l", F.lit(1)))
-    return both.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("_l", "seq")))
+    return both.withColumn("n", F.col("_l").cast("bigint") * (1 << 48) + F.col("seq"))
 
 
 def _absorbed(spark: SparkSession, both: DataFrame, s: Settings) -> DataFrame:
     """both with ``seed``: the row that a row of the second list goes into (itself if none)."""
     old, new = both.where("_l = 0"), both.where("_l = 1")
     across = duplicate_edges(new, old, "n", "n", s).select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))
-    within = duplicate_edges(new, new, "n", "n", s).where("pi > gi").select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))
+    within = duplicate_edges(new, new, "n", "n", s, later=True).select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))
     seeds = first_seeds(spark, across.unionByName(within))
     return both.join(seeds.withColumnRenamed("member", "n"), ["doc_id", "n"], "left").withColumn("seed", F.coalesce("seed", "n"))
 
 
 def _renumbered(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("seq", (F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) - 1).cast("bigint"))
+    return numbered(Workspace(df.sparkSession, "numbers"), df.withColumnRenamed("seq", "_old") if "seq" in df.columns else df, ["doc_id"], [order], "seq")
 
 
 def _pages_in_order():
@@ -55,7 +56,7 @@ def merge_new_only(spark: SparkSession, existing: DataFrame, found: DataFrame, s
 
 def seed_clusters(spark: SparkSession, refs: DataFrame) -> DataFrame:
     """refs with ``seed``, the seq of their cluster's first row: a seed takes in every later free row one of whose titles holds the other."""
-    edges = duplicate_edges(refs, refs, fuzzy=False).where("pi < gi").select("doc_id", F.col("pi").alias("a"), F.col("gi").alias("b"))
+    edges = duplicate_edges(refs, refs, fuzzy=False, later=True).select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))
     seeds = first_seeds(spark, edges)
     return refs.join(seeds.withColumnRenamed("member", "seq"), ["doc_id", "seq"], "left").withColumn("seed", F.coalesce("seed", "seq"))
 

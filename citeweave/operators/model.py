@@ -14,13 +14,13 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.functions import prompts
 from citeweave.operators.extract import page_batches
 from citeweave.operators.merge import collapse, seed_clusters
-from citeweave.runtime import Workspace
+from citeweave.runtime import Workspace, numbered
 from citeweave.schemas import Settings
 
 
@@ -101,9 +101,8 @@ def ask(spark: SparkSession, table: DataFrame, client: Client, keys: list[str])
 
 def shown(refs: DataFrame, n: int, suffix: bool = True) -> DataFrame:
     """(doc_id, existing_refs): the first ``n`` known titles of a document, one a line."""
-    ranked = refs.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("k") <= n, F.struct("k", "title")))).alias("t"), F.count("*").alias("all"),
-    )
+    k = numbered(Workspace(refs.sparkSession, "shown"), refs.select("doc_id", "seq", "title"), ["doc_id"], ["seq"], "k")
+    ranked = k.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("k") < n, F.struct("k", "title")))).alias("t"), F.count("*").alias("all"))
     lines = F.array_join(F.transform("t", lambda x: F.concat(F.lit("- "), x["title"])), "\n")
     more = F.when((F.col("all") > n) & F.lit(suffix), F.concat(F.lit("\n... and "), (F.col("all") - n).cast("string"), F.lit(" more"))).otherwise("")
     return ranked.select("doc_id", F.concat(lines, more).alias("existing_refs"))
@@ -192,8 +191,8 @@ def grouped(elements: DataFrame) -> DataFrame:
     # the first list as it is, repeats included, then what later ones add
     first = F.element_at("lists", 1)
     added = F.array_except(F.array_distinct(F.flatten("lists")), first)
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
-    return g.select("doc_id", seq.cast("bigint").alias("seq"), "f.title", "f.type", F.concat(first, added).alias("page_numbers"), F.lit("llm").alias("source"))
+    g = numbered(Workspace(elements.sparkSession, "grouped"), g, ["doc_id"], ["ord"], "seq")
+    return g.select("doc_id", "seq", "f.title", "f.type", F.concat(first, added).alias("page_numbers"), F.lit("llm").alias("source"))
 
 
 def extract(spark: SparkSession, pages: DataFrame, refs: DataFrame | None, client: Client, template: str = prompts.EXTRACT, s: Settings = Settings(), search: bool = False) -> DataFrame:
@@ -232,8 +231,7 @@ def deduplicate(spark: SparkSession, refs: DataFrame, client: Client | None = No
 def verify(spark: SparkSession, refs: DataFrame, client: Client, s: Settings = Settings()) -> DataFrame:
     """refs that the model keeps, in batches of a document. A failed or empty answer, or one that keeps too few, keeps its batch;
     if over all too few were kept of a document, nothing of it is filtered."""
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1
-    b = refs.withColumn("batch", F.floor(n / s.verify_batch).cast("int"))
+    b = numbered(Workspace(spark, "verify"), refs, ["doc_id"], ["seq"], "_n").withColumn("batch", F.floor(F.col("_n") / s.verify_batch).cast("int")).drop("_n")
     head, tail = prompts.VERIFY.split("{titles}")
     table = b.groupBy("doc_id", "batch").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "title"))).alias("t"))
     table = table.withColumn("prompt", F.concat(F.lit(head), F.to_json(F.transform("t", lambda x: x["title"])), F.lit(tail)))

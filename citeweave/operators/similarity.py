@@ -1,20 +1,45 @@
-"""Similarity joins of titles within a document, computed once a pair of distinct titles."""
+"""Similarity joins of titles within a document, computed once a pair of distinct titles.
+
+Distinct titles of a document are cut into blocks, and each pair of a left and a right block is a join key of its own, so a
+document that holds a third of all rows is compared by as many tasks as it has pairs of blocks. What a title needs for the
+upper bounds on the ratio (length, letter counts) is computed once a title; the ratio itself, in Python, only for pairs that
+containment doesn't decide and the bounds allow.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.functions.text import contained, graded, may_reach, ratio, title_key
+from citeweave.functions.text import contained, graded, letter_counts, may_reach, ratio, title_key
+from citeweave.runtime import Workspace, numbered, salted_lookup
 from citeweave.schemas import Settings
 
+#: distinct titles of a block
+BLOCK = 2000
+
 
-def _distinct(rows: DataFrame, seq: str, key: str) -> DataFrame:
-    return rows.select("doc_id", title_key("title").alias(key)).where(F.col(key).isNotNull()).distinct()
+def _distinct(rows: DataFrame, seq: str, key: str, prefix: str) -> DataFrame:
+    """Distinct titles of a document, with least and greatest ``seq``, and the counts that bounds need."""
+    t = rows.select("doc_id", title_key("title").alias(key), seq).where(F.col(key).isNotNull() & F.col("doc_id").isNotNull())
+    return t.groupBy("doc_id", key).agg(F.min(seq).alias(f"{prefix}lo"), F.max(seq).alias(f"{prefix}hi"))
 
 
-def _pairs(left: DataFrame, right: DataFrame, ls: str, rs: str) -> DataFrame:
-    return _distinct(left, ls, "ka").join(_distinct(right, rs, "kb"), "doc_id")
+def _pairs(left: DataFrame, right: DataFrame, ls: str, rs: str, counts: bool, block: int) -> DataFrame:
+    """Pairs of distinct titles ka, kb of a document."""
+    a, b = _distinct(left, ls, "ka", "a"), _distinct(right, rs, "kb", "b")
+    sizes = a.select("doc_id", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select("doc_id", F.lit(0).alias("x"), F.lit(1).alias("y"))).groupBy("doc_id").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    many = sizes.where((F.col("x") > block) | (F.col("y") > block)).select("doc_id", F.ceil(F.col("x") / block).cast("int").alias("i"), F.ceil(F.col("y") / block).cast("int").alias("j"), (F.col("x") + F.col("y")).alias("n"))
+    many = Workspace(left.sparkSession, "blocks").write(many, n="count(1)")
+    if counts:
+        a, b = a.select("*", *letter_counts("ka", "a")), b.select("*", *letter_counts("kb", "b"))
+    if not many.metrics["n"]:
+        return a.join(b, "doc_id")
+    small = lambda t: t.join(many, "doc_id", "left_anti")
+    x = salted_lookup(a, many.drop("n"), "doc_id", many, "n").withColumn("bi", F.pmod(F.xxhash64("ka"), "i")).withColumn("bj", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("j").cast("bigint") - 1)))
+    y = salted_lookup(b, many.drop("n"), "doc_id", many, "n").withColumn("bj", F.pmod(F.xxhash64("kb"), "j")).withColumn("bi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("i").cast("bigint") - 1)))
+    large = x.drop("i", "j").join(y.drop("i", "j"), ["doc_id", "bi", "bj"]).drop("bi", "bj")
+    return small(a).join(small(b), "doc_id").unionByName(large)
 
 
 def _back(scored: DataFrame, left: DataFrame, right: DataFrame, ls: str, rs: str) -> DataFrame:
@@ -23,23 +48,51 @@ def _back(scored: DataFrame, left: DataFrame, right: DataFrame, ls: str, rs: str
     return scored.join(a, ["doc_id", "ka"]).join(b, ["doc_id", "kb"])
 
 
-def duplicate_edges(left: DataFrame, right: DataFrame, ls: str = "seq", rs: str = "seq", s: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
+def duplicate_edges(left: DataFrame, right: DataFrame, ls: str = "seq", rs: str = "seq", s: Settings = Settings(), fuzzy: bool = True, later: bool = False, block: int = BLOCK) -> DataFrame:
     """(doc_id, pi, gi): rows one of whose titles holds the other or whose ratio reaches the threshold, within a document.
 
-    The ratio is only computed for distinct titles that containment doesn't decide and its upper bounds allow.
+    With ``later`` only rows of the left that come after those of the right, pi > gi.
     """
-    p = _pairs(left, right, ls, rs)
-    hit = p.where(contained("ka", "kb"))
+    p = _pairs(left, right, ls, rs, fuzzy, block)
+    if later:
+        p = p.where(F.col("ahi") > F.col("blo"))
+    cols = ["doc_id", "ka", "kb"]
+    hit = p.where(contained("ka", "kb")).select(*cols)
     if fuzzy:
-        close = p.where(~contained("ka", "kb") & may_reach("ka", "kb", s.match_threshold)).withColumn("r", ratio("ka", "kb")).where(F.col("r") >= s.match_threshold).drop("r")
+        close = p.where(~contained("ka", "kb") & may_reach(s.match_threshold)).select(*cols).withColumn("r", ratio("ka", "kb")).where(F.col("r") >= s.match_threshold).drop("r")
         hit = hit.unionByName(close)
-    return _back(hit, left, right, ls, rs).select("doc_id", "pi", "gi")
+    out = _back(hit, left, right, ls, rs).select("doc_id", "pi", "gi")
+    return out.where("pi > gi") if later else out
 
 
-def similarity_edges(predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
-    """(doc_id, pi, gi, sim): predictions and ground truth of a document whose graded similarity reaches the threshold."""
-    p = _pairs(predicted, truth, "seq", "gt_seq").withColumn("sim", graded("ka", "kb", s))
-    hit = p.where(F.col("sim") >= s.match_threshold)
+def similar_titles(predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True, block: int = BLOCK) -> DataFrame:
+    """(doc_id, ka, kb, sim): distinct titles of a document whose graded similarity reaches the threshold."""
+    p = _pairs(predicted, truth, "seq", "gt_seq", fuzzy, block).withColumn("sim", graded("ka", "kb", s))
+    cols = ["doc_id", "ka", "kb", "sim"]
+    hit = p.where(F.col("sim") >= s.match_threshold).select(*cols)
     if fuzzy:
-        hit = hit.unionByName(p.where(F.col("sim").isNull() & may_reach("ka", "kb", s.match_threshold)).withColumn("sim", ratio("ka", "kb")).where(F.col("sim") >= s.match_threshold))
-    return _back(hit, predicted, truth, "seq", "gt_seq").select("doc_id", "pi", "gi", "sim")
+        close = p.where(F.col("sim").isNull() & may_reach(s.match_threshold)).select("doc_id", "ka", "kb")
+        hit = hit.unionByName(close.withColumn("sim", ratio("ka", "kb")).where(F.col("sim") >= s.match_threshold))
+    return hit
+
+
+def similarity_edges(predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True, block: int = BLOCK) -> DataFrame:
+    """(doc_id, pi, gi, sim): predictions and ground truth of a document whose graded similarity reaches the threshold."""
+    return _back(similar_titles(predicted, truth, s, fuzzy, block), predicted, truth, "seq", "gt_seq").select("doc_id", "pi", "gi", "sim")
+
+
+def equal_pairs(ws: Workspace, predicted: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs taken, predictions left, ground truth left) of the greedy pass over equal titles, which comes before all others.
+
+    The k-th prediction of a title goes with its k-th ground-truth row, so a title cited n times on both sides is n rows, not n * n.
+    """
+
+    def side(t: DataFrame, seq: str) -> DataFrame:
+        rows = t.select("doc_id", title_key("title").alias("k"), F.col(seq).alias("at"), "title").where(F.col("k").isNotNull() & F.col("doc_id").isNotNull())
+        return numbered(ws, rows, ["doc_id", "k"], ["at"], "r")
+
+    key = ["doc_id", "k", "r"]
+    p, g = ws.write(side(predicted, "seq")), ws.write(side(truth, "gt_seq"))
+    taken = p.select(*key, F.col("at").alias("pi")).join(g.select(*key, F.col("at").alias("gi")), key).select("doc_id", "pi", "gi", F.lit(1.0).alias("sim"))
+    rest = lambda a, b, seq: a.join(b.select(*key), key, "left_anti").select("doc_id", F.col("at").alias(seq), "title")
+    return taken, rest(p, g, "seq"), rest(g, p, "gt_seq")

@@ -90,9 +90,7 @@ def ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
-    from citeweave.operators.ordered import greedy_pairs
-
-    return greedy_pairs(spark, similarity_edges(extract.references(pages(spark, d)), truth(spark, d)))
+    return evaluate.match(spark, extract.references(pages(spark, d)), truth(spark, d))
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:

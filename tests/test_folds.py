@@ -2,6 +2,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from citeweave.operators import evaluate, merge
 from citeweave.operators.ordered import first_fit_pairs, first_seeds, greedy_pairs
@@ -91,6 +92,76 @@ def test_greedy_and_first_fit_equal_the_sequential_pass(spark):
     assert {(x["pi"], x["gi"]) for x in first_fit_pairs(spark, e).where("doc_id = 'd'").collect()} == want
 
 
+def _tables(spark, f):
+    """(rows of the result, tables written for it)."""
+    from citeweave.runtime import Workspace
+
+    before = Workspace.tables
+    rows = f().collect()
+    return rows, Workspace.tables - before
+
+
+@pytest.mark.parametrize("solo", [None, 100])
+def test_jobs_are_bounded_whatever_the_order(spark, solo):
+    how = {} if solo is None else {"solo": solo}
+    k = 1000
+    path = spark.range(k).selectExpr("'d' AS doc_id", "id AS a", "id + 1 AS b")
+    rows, n = _tables(spark, lambda: first_seeds(spark, path, **how))
+    assert n < 25 and {(r["member"], r["seed"]) for r in rows} == {(i, i - i % 2) for i in range(k + 1) if i < k or i % 2}
+    block = spark.range(k).selectExpr("id AS pi").crossJoin(spark.range(k).selectExpr("id AS gi")).selectExpr("'d' AS doc_id", "pi", "gi", "0.8D AS sim")
+    rows, n = _tables(spark, lambda: greedy_pairs(spark, block, **how))
+    assert n < 25 and {(r["pi"], r["gi"]) for r in rows} == {(i, i) for i in range(k)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rounds_and_stream_agree(spark, seed):
+    r = random.Random(seed)
+    pairs = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(150)})
+    e = spark.createDataFrame([(d, a, b) for d in ("x", "y") for a, b in pairs] + [("z", 1, 2)], "doc_id string, a bigint, b bigint")
+    want = {tuple(x) for x in first_seeds(spark, e).collect()}
+    assert {tuple(x) for x in first_seeds(spark, e, solo=20, rounds=2).collect()} == want and ("z", 2, 1) in want
+    m = e.selectExpr("doc_id", "a AS pi", "b AS gi", "round(rand(3), 1) AS sim")
+    assert sorted(map(tuple, greedy_pairs(spark, m, solo=20, rounds=2).collect())) == sorted(map(tuple, greedy_pairs(spark, m).collect()))
+
+
+def test_blocks_equal_brute_force(spark):
+    pred, gt = titles(7, 60), titles(8, 50)
+    p, g = refs(spark, {"d": pred, "e": pred[:3]}, "regex"), spark.createDataFrame([("d", i, t, "circular", None) for i, t in enumerate(gt)], TRUTH)
+    want = {(i, j) for i, a in enumerate(pred) for j, b in enumerate(gt) if dup(a, b)}
+    for block in (7, 2000):
+        got = duplicate_edges(p, g, "seq", "gt_seq", block=block).collect()
+        assert len(got) == len(want) and {(r["pi"], r["gi"]) for r in got} == want
+        assert {(r["pi"], r["gi"]) for r in similarity_edges(p, g, block=block).collect()} == {(i, j) for i, a in enumerate(pred) for j, b in enumerate(gt) if sim(a, b) >= 0.75}
+    later = duplicate_edges(p, p, block=7, later=True).where("doc_id = 'd'").collect()
+    assert {(r["pi"], r["gi"]) for r in later} == {(i, j) for i, a in enumerate(pred) for j, b in enumerate(pred) if j < i and dup(a, b)}
+
+
+def test_greedy_of_repeated_titles(spark):
+    pred, gt = ["Act 1"] * 40 + titles(3, 12) + ["act 1 "] * 5, titles(3, 12) + ["ACT 1"] * 30 + ["Act 1 of 2013"] * 3
+    p, g = refs(spark, {"d": pred}, "regex"), spark.createDataFrame([("d", i, t, "circular", None) for i, t in enumerate(gt)], TRUTH)
+    up, ug, want = set(), set(), set()
+    for s, i, j in sorted((-sim(a, b), i, j) for i, a in enumerate(pred) for j, b in enumerate(gt) if sim(a, b) >= 0.75):
+        if i not in up and j not in ug:
+            up.add(i), ug.add(j), want.add((i, j, -s))
+    assert {(r["pi"], r["gi"], r["sim"]) for r in evaluate.match(spark, p, g).collect()} == want
+
+
+def test_numbers_of_a_hot_key(spark):
+    from citeweave.runtime import Workspace, numbered
+
+    df = spark.range(5000).selectExpr("CASE WHEN id % 3 > 0 THEN 'hot' WHEN id % 2 > 0 THEN concat('k', id) END AS k", "hash(id) AS at", "id AS seq")
+    got = {(r["k"], r["at"]): r["n"] for r in numbered(Workspace(spark, "t"), df, ["k"], ["at"], "n").collect()}
+    want = {}
+    for key in {k for k, _ in got}:
+        want |= {(key, at): n for n, at in enumerate(sorted(a for k, a in got if k == key))}
+    assert got == want and len(got) == 5000
+
+
+def test_rounding_is_to_even(spark):
+    row = spark.range(1).select(*evaluate.scores(F.lit(1), F.lit(16), F.lit(2000))).first()
+    assert (row["precision"], row["recall"]) == (round(1 / 16, 3), round(1 / 2000, 3)) == (0.062, 0.001)
+
+
 def test_metrics(spark):
     pred, gt = titles(3, 18), titles(4, 11)
     p, g = refs(spark, {"d": pred}, "regex"), spark.createDataFrame([("d", i, t, "circular", None) for i, t in enumerate(gt)], TRUTH)
