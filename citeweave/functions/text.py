@@ -33,11 +33,44 @@ def contained(a: str | Column, b: str | Column) -> Column:
     return a.contains(b) | b.contains(a)
 
 
-@F.pandas_udf(DoubleType())
-def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Ratcliff-Obershelp ratio; not symmetric, so the order of arguments matters."""
-    for a, b in batches:
-        yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+def common(a: str, at: dict[str, int], full: int) -> int:
+    """Length of the longest common subsequence of ``a`` and the text whose characters stand ``at`` bits of ``full``."""
+    v = full
+    for c in a:
+        u = v & at.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return (full ^ v).bit_count()
+
+
+def ratio_from(threshold: float):
+    """Column function of two texts: their Ratcliff-Obershelp ratio, null below the threshold.
+
+    Not symmetric, so the order of arguments matters. Matching blocks are a common subsequence, so the longest one bounds the ratio;
+    texts to compare with come best in runs, since what is known of the second is kept.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        matcher, last, at, full = SequenceMatcher(), None, {}, 0
+        for a, b in batches:
+            out = []
+            for x, y in zip(a, b):
+                if y != last:
+                    last, at, full, new = y, {}, (1 << len(y)) - 1, True
+                    for i, c in enumerate(y):
+                        at[c] = at.get(c, 0) | 1 << i
+                if 2 * common(x, at, full) < threshold * (len(x) + len(y)) - 1e-9:
+                    out.append(None)
+                    continue
+                if new:
+                    matcher.set_seq2(y)
+                    new = False
+                matcher.set_seq1(x)
+                r = matcher.ratio()
+                out.append(r if r >= threshold else None)
+            yield pd.Series(out, dtype="float64")
+
+    return ratio
 
 
 #: characters whose numbers are compared one by one

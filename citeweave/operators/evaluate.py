@@ -30,9 +30,7 @@ def scores(tp: Column, predicted: Column, truth: Column) -> list[Column]:
 
 def match(spark: SparkSession, predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
     """(doc_id, pi, gi, sim): greedy one-to-one matching within documents, by falling similarity, then order. Equal titles first, by rank."""
-    ws = Workspace(spark, "match")
-    equal, p, g = equal_pairs(ws, predicted, truth)
-    p, g = ws.write(p), ws.write(g)
+    equal, p, g = equal_pairs(Workspace(spark, "match"), predicted, truth)
     return greedy_pairs(spark, similarity_edges(p, g, s, fuzzy)).unionByName(equal)
 
 

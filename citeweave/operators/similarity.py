@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.functions.text import contained, graded, letter_counts, may_reach, ratio, title_key
-from citeweave.runtime import Workspace, numbered, salted_lookup
+from citeweave.functions.text import contained, graded, letter_counts, may_reach, ratio_from, title_key
+from citeweave.runtime import Workspace, numbered, salted_lookup, tasks
 from citeweave.schemas import Settings
 
 #: distinct titles of a block
@@ -42,6 +42,12 @@ def _pairs(left: DataFrame, right: DataFrame, ls: str, rs: str, counts: bool, bl
     return small(a).join(small(b), "doc_id").unionByName(large)
 
 
+def _close(p: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, ka, kb, sim) of pairs whose ratio reaches the threshold. Its cost is in Python, so the pairs go to all cores."""
+    open_ = p.where(may_reach(s.match_threshold)).select("doc_id", "ka", "kb").repartition(tasks(p.sparkSession), "doc_id", "kb").sortWithinPartitions("kb")
+    return open_.withColumn("sim", ratio_from(s.match_threshold)("ka", "kb")).where("sim IS NOT NULL")
+
+
 def _back(scored: DataFrame, left: DataFrame, right: DataFrame, ls: str, rs: str) -> DataFrame:
     a = left.select("doc_id", F.col(ls).alias("pi"), title_key("title").alias("ka"))
     b = right.select("doc_id", F.col(rs).alias("gi"), title_key("title").alias("kb"))
@@ -59,8 +65,7 @@ def duplicate_edges(left: DataFrame, right: DataFrame, ls: str = "seq", rs: str
     cols = ["doc_id", "ka", "kb"]
     hit = p.where(contained("ka", "kb")).select(*cols)
     if fuzzy:
-        close = p.where(~contained("ka", "kb") & may_reach(s.match_threshold)).select(*cols).withColumn("r", ratio("ka", "kb")).where(F.col("r") >= s.match_threshold).drop("r")
-        hit = hit.unionByName(close)
+        hit = hit.unionByName(_close(p.where(~contained("ka", "kb")), s).drop("sim"))
     out = _back(hit, left, right, ls, rs).select("doc_id", "pi", "gi")
     return out.where("pi > gi") if later else out
 
@@ -71,8 +76,7 @@ def similar_titles(predicted: DataFrame, truth: DataFrame, s: Settings = Setting
     cols = ["doc_id", "ka", "kb", "sim"]
     hit = p.where(F.col("sim") >= s.match_threshold).select(*cols)
     if fuzzy:
-        close = p.where(F.col("sim").isNull() & may_reach(s.match_threshold)).select("doc_id", "ka", "kb")
-        hit = hit.unionByName(close.withColumn("sim", ratio("ka", "kb")).where(F.col("sim") >= s.match_threshold))
+        hit = hit.unionByName(_close(p.where(F.col("sim").isNull()), s))
     return hit
 
 
@@ -87,12 +91,13 @@ def equal_pairs(ws: Workspace, predicted: DataFrame, truth: DataFrame) -> tuple[
     The k-th prediction of a title goes with its k-th ground-truth row, so a title cited n times on both sides is n rows, not n * n.
     """
 
-    def side(t: DataFrame, seq: str) -> DataFrame:
-        rows = t.select("doc_id", title_key("title").alias("k"), F.col(seq).alias("at"), "title").where(F.col("k").isNotNull() & F.col("doc_id").isNotNull())
-        return numbered(ws, rows, ["doc_id", "k"], ["at"], "r")
+    def side(t: DataFrame, seq: str, name: str) -> DataFrame:
+        rows = t.select("doc_id", title_key("title").alias("k"), F.lit(name).alias("side"), F.col(seq).cast("bigint").alias("at"), "title")
+        return rows.where(F.col("k").isNotNull() & F.col("doc_id").isNotNull())
 
-    key = ["doc_id", "k", "r"]
-    p, g = ws.write(side(predicted, "seq")), ws.write(side(truth, "gt_seq"))
-    taken = p.select(*key, F.col("at").alias("pi")).join(g.select(*key, F.col("at").alias("gi")), key).select("doc_id", "pi", "gi", F.lit(1.0).alias("sim"))
-    rest = lambda a, b, seq: a.join(b.select(*key), key, "left_anti").select("doc_id", F.col("at").alias(seq), "title")
-    return taken, rest(p, g, "seq"), rest(g, p, "gt_seq")
+    rows = numbered(ws, side(predicted, "seq", "p").unionByName(side(truth, "gt_seq", "g")), ["doc_id", "k", "side"], ["at"], "r")
+    at = lambda n: F.max(F.when(F.col("side") == n, F.struct("at", "title"))).alias(n)
+    met = ws.write(rows.groupBy("doc_id", "k", "r").agg(at("p"), at("g")))
+    taken = met.where("p IS NOT NULL AND g IS NOT NULL").select("doc_id", F.col("p.at").alias("pi"), F.col("g.at").alias("gi"), F.lit(1.0).alias("sim"))
+    left = met.where("g IS NULL").select("doc_id", F.col("p.at").alias("seq"), "p.title")
+    return taken, left, met.where("p IS NULL").select("doc_id", F.col("g.at").alias("gt_seq"), "g.title")

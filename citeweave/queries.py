@@ -12,6 +12,7 @@ from citeweave.operators import evaluate, extract, merge, model, search
 from citeweave.operators.similarity import duplicate_edges, similarity_edges
 from citeweave.patterns import PATTERNS
 from citeweave.plans import pipeline
+from citeweave.runtime import Workspace
 from citeweave.sources.readers import page_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,11 @@ def cited(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.col("rec_id").alias("seq"), "title", "type", "page_numbers", "source")
 
 
+def _refs(spark: SparkSession, d: str) -> DataFrame:
+    """Citations that the patterns find, written once for operators that read them several times."""
+    return Workspace(spark, "references").write(extract.references(pages(spark, d)))
+
+
 def _pattern(p) -> Query:
     return lambda spark, d: extract.matches(pages(spark, d), [p]).select("doc_id", "page_num", "pos", "match")
 
@@ -86,49 +92,49 @@ def graded_similarity_containment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similarity_edges(extract.references(pages(spark, d)), truth(spark, d))
+    return similarity_edges(_refs(spark, d), truth(spark, d))
 
 
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.match(spark, extract.references(pages(spark, d)), truth(spark, d))
+    return evaluate.match(spark, _refs(spark, d), truth(spark, d))
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.metrics(spark, extract.references(pages(spark, d)), truth(spark, d))
+    return evaluate.metrics(spark, _refs(spark, d), truth(spark, d))
 
 
 def metrics_by_doc(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.metrics(spark, extract.references(pages(spark, d)), truth(spark, d), by_doc=True)
+    return evaluate.metrics(spark, _refs(spark, d), truth(spark, d), by_doc=True)
 
 
 def first_fit_errors(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.errors(spark, extract.references(pages(spark, d)), truth(spark, d))
+    return evaluate.errors(spark, _refs(spark, d), truth(spark, d))
 
 
 def missed_gt(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.missed_listing(extract.references(pages(spark, d)), truth(spark, d))
+    return evaluate.missed_listing(_refs(spark, d), truth(spark, d))
 
 
 def comparison(spark: SparkSession, d: str) -> DataFrame:
-    r = extract.references(pages(spark, d))
+    r = _refs(spark, d)
     both = merge.merge_first_match(spark, r, found(spark, d))
     return evaluate.comparison({"regex_only": evaluate.metrics(spark, r, truth(spark, d)), "hybrid": evaluate.metrics(spark, both, truth(spark, d))})
 
 
 def merge_first_match(spark: SparkSession, d: str) -> DataFrame:
-    return merge.merge_first_match(spark, extract.references(pages(spark, d)), found(spark, d))
+    return merge.merge_first_match(spark, _refs(spark, d), found(spark, d))
 
 
 def merge_new_only(spark: SparkSession, d: str) -> DataFrame:
-    return merge.merge_new_only(spark, extract.references(pages(spark, d)), found(spark, d))
+    return merge.merge_new_only(spark, _refs(spark, d), found(spark, d))
 
 
 def seed_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return merge.seed_clusters(spark, extract.references(pages(spark, d))).select("doc_id", "seq", "seed")
+    return merge.seed_clusters(spark, _refs(spark, d)).select("doc_id", "seq", "seed")
 
 
 def collapsed(spark: SparkSession, d: str) -> DataFrame:
-    return merge.collapse(merge.seed_clusters(spark, extract.references(pages(spark, d))))
+    return merge.collapse(merge.seed_clusters(spark, _refs(spark, d)))
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +174,7 @@ def _keeper(prompt: str) -> str:
 
 
 def verify_filter(spark: SparkSession, d: str) -> DataFrame:
-    return model.verify(spark, extract.references(pages(spark, d)), model.Replay(rule=_keeper)).select("doc_id", "seq", "title")
+    return model.verify(spark, _refs(spark, d), model.Replay(rule=_keeper)).select("doc_id", "seq", "title")
 
 
 def _rule(prompt: str) -> str:
