@@ -78,8 +78,9 @@ COUNTED = "etaoinsrhldcumfpgwybvk 0123/-"
 
 
 def letter_counts(key: str, prefix: str) -> list[Column]:
-    """Length of ``key`` and how often it has each of ``COUNTED``, as columns <prefix>len, <prefix>0, ..."""
-    return [F.length(key).alias(f"{prefix}len"), *[(F.length(key) - F.length(F.translate(key, x, ""))).alias(f"{prefix}{i}") for i, x in enumerate(COUNTED)]]
+    """Length of ``key`` (<prefix>len) and how often it has each of ``COUNTED``, then all others (<prefix>has)."""
+    each = [F.length(key) - F.length(F.translate(key, x, "")) for x in COUNTED]
+    return [F.length(key).alias(f"{prefix}len"), F.array(*each, F.length(F.translate(key, COUNTED, ""))).alias(f"{prefix}has")]
 
 
 def may_reach(threshold: float) -> Column:
@@ -88,11 +89,9 @@ def may_reach(threshold: float) -> Column:
     Never refuses a pair that reaches it.
     """
     la, lb = F.col("alen"), F.col("blen")
-    need = (la + lb) * (threshold / 2)
-    counted = [(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(len(COUNTED))]
-    shared = sum((F.least(x, y) for x, y in counted), F.lit(0))
-    rest = F.least(la - sum((x for x, _ in counted), F.lit(0)), lb - sum((y for _, y in counted), F.lit(0)))
-    return (F.least(la, lb) >= need - 1e-9) & (shared + rest >= need - 1e-9)
+    need = (la + lb) * (threshold / 2) - 1e-9
+    shared = F.aggregate(F.zip_with("ahas", "bhas", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    return (F.least(la, lb) >= need) & (shared >= need)
 
 
 def graded(a: str, b: str, s: Settings = Settings()) -> Column:
