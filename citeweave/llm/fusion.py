@@ -2,7 +2,7 @@
 
 ``survivors`` names for each field the record whose value is the most complete, by the rules stated for the project's data;
 ``fuse`` builds a record by Bayesian fusion with copy detection: sources have an accuracy, false values that two sources
-share tell of copying, copied votes count less, and each field takes the value of greatest posterior, completeness first.
+share tell of copying, copied votes count less, and each field takes the value of greatest posterior.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.runtime import Workspace
+from citeweave.runtime import Workspace, salted_lookup
 
 UNKNOWN = "unknown"
 #: prior of a source's accuracy and its weight in votes; probability that a source copies; false values a field may take
 ACCURACY, PRIOR_VOTES, COPY_PRIOR, FALSE_VALUES = 0.8, 10.0, 0.2, 50
+#: share of its values that a copier copies; rows up to which a table is broadcast
+COPIED, SMALL = 0.8, 20_000
 #: a ranked source's prior accuracy: the first rank's, and how much of the way down to ACCURACY each further rank leaves
 FIRST_RANK, RANK_STEP = 0.9, 0.5
 
@@ -26,7 +28,9 @@ def _source(c: str):
 
 def completeness(records: DataFrame, ranks: DataFrame) -> DataFrame:
     """records plus title_score (letters and digits), pages_score (distinct pages of 1 or more), source_rank (1 is best, null: unknown)."""
-    known = F.broadcast(ranks.select(F.col("source").alias("_rs"), F.col("trust_rank").alias("source_rank")))  # the caller's reference list
+    known = ranks.groupBy(_source("source").alias("_rs")).agg(F.min("trust_rank").alias("source_rank"))
+    if known.limit(SMALL + 1).count() <= SMALL:  # a reference list; a longer one is left to the planner
+        known = F.broadcast(known)
     title = F.coalesce(F.length(F.regexp_replace("title", r"(?U)[^\p{L}\p{Nd}]", "")), F.lit(0))
     pages = F.coalesce(F.size(F.array_distinct(F.filter("page_numbers", lambda p: p >= 1))), F.lit(0))
     scored = records.withColumn("title_score", title).withColumn("pages_score", F.when(F.col("page_numbers").isNull(), 0).otherwise(pages)).withColumn("_key", _source("source"))
@@ -73,57 +77,91 @@ def _values(records: DataFrame) -> DataFrame:
     )
 
 
-def fuse(spark: SparkSession, records: DataFrame, ranks: DataFrame, rounds: int = 3) -> DataFrame:
+def _known(rows: DataFrame, table: DataFrame, key: str, n: int) -> DataFrame:
+    """rows with what ``table`` (n rows, one a key) says of their key; broadcast if it is small by count, else salted."""
+    if n <= SMALL:
+        return rows.join(F.broadcast(table), key)
+    return salted_lookup(rows, table, key, rows.groupBy(key).agg(F.count("*").alias("_n")), "_n")
+
+
+def fuse(spark: SparkSession, records: DataFrame, ranks: DataFrame, rounds: int = 20, settled: float = 0.002) -> DataFrame:
     """(cluster_id, title, page_numbers, type, source, confidence of each): one built record a cluster.
 
     Values are compared in canonical form and come out as their longest spelling in that form; a field without any value is null with null
-    confidence. Sources are the distinct values of ``source`` (as many as the data name); only pairs of sources that meet in
-    a cluster are held. Ties in posterior go to the more complete, then the later extracted, then the greater value.
-    The trust rank of a source is the prior of its accuracy. Its source is the field no two sources agree on, so it tells
-    nothing of accuracy or copying; it takes the source whose accuracy and independence, as the other fields show, weigh most.
+    confidence; a null cluster_id is a cluster. Rounds go on until no source's accuracy moves by ``settled``: (1) dependence of each two
+    sources, log-odds added up over all values they share, weighed by how likely these are false, and over the facts in which
+    they differ; (2) a source's vote for a value weighs the log-odds of its accuracy, less for each more accurate source it may
+    have copied the value from; (3) posteriors of the values; (4) accuracies, with the trust rank as prior. Sources are compared by the sets that name a value, so the values of a
+    cluster aren't paired. Ties in posterior go to the more complete, then the later extracted, then the greater value.
+    A record's source is the field no two sources agree on, so it tells nothing of accuracy or copying; it takes the source
+    whose accuracy and independence, as the other fields show, weigh most.
     """
     ws = Workspace(spark, "fusion")
-    claims = ws.write(_values(records))
+    cf = F.concat(F.coalesce(F.col("cluster_id").cast("string"), F.lit("")), F.lit("|"), "field").alias("cf")
+    claims = ws.write(_values(records).select(cf, "*"))
+    facts = claims.where("field <> 'source'")
     known = ranks.groupBy(_source("source").alias("source")).agg(F.min("trust_rank").alias("rank"))
     trust = F.lit(ACCURACY) + (FIRST_RANK - ACCURACY) * F.pow(F.lit(RANK_STEP), F.col("rank") - 1)
-    prior = ws.write(claims.select("source").distinct().join(known, "source", "left").select("source", F.coalesce(trust, F.lit(ACCURACY)).alias("prior")))
-    accuracy = prior.select("source", F.col("prior").alias("a"))
-    independent = claims.select("source").distinct().withColumn("w", F.lit(1.0))
-    key = ["cluster_id", "field"]
-    post = None
+    accuracy = ws.write(claims.select("source").distinct().join(known, "source", "left").select("source", F.coalesce(trust, F.lit(ACCURACY)).alias("prior")).withColumn("a", F.col("prior")), n="count(1)")
+    n = accuracy.metrics["n"] or 0
+    pair = lambda c: F.explode(F.flatten(F.transform(c, lambda x: F.transform(F.filter(c, lambda y: y["source"] > x["source"]), lambda y: F.struct(x["source"].alias("s"), y["source"].alias("t"), F.least(x["m"], y["m"]).alias("m"))))))
+    # each two sources that name one value; and of how many facts both say something
+    one = F.struct("source", F.lit(1).cast("bigint").alias("m"))
+    shared = ws.write(facts.groupBy("cf", "value").agg(F.collect_set(one).alias("by")).where(F.size("by") > 1).select("cf", "value", pair("by").alias("p")).select("cf", "value", "p.s", "p.t"))
+    met = facts.groupBy("cf", "source").agg(F.count("*").alias("m")).groupBy("cf").agg(F.collect_list(F.struct("source", "m")).alias("by")).select(pair("by").alias("p"))
+    met = ws.write(met.groupBy("p.s", "p.t").agg(F.sum("p.m").alias("both")), n="count(1)")
+    pairs = met.metrics["n"] or 0
+    st = F.concat(F.length("s").cast("string"), F.lit("|"), "s", "t").alias("st")
+    post = dep = chance = None
     for _ in range(rounds):
-        score = F.col("w") * F.log(F.col("a") * FALSE_VALUES / (1 - F.col("a")))
-        votes = claims.join(accuracy, "source").join(independent, "source").groupBy(*key, "value").agg(F.sum(score).alias("v"), F.max("complete").alias("complete"), F.max("late").alias("late"))
-        total = votes.groupBy(*key).agg(F.max("v").alias("top"), F.sum(F.exp(F.least(F.col("v"), F.lit(600.0)))).alias("z"))
-        post = ws.write(votes.join(total, key).withColumn("p", F.exp(F.least(F.col("v"), F.lit(600.0))) / (F.col("z") + 1)).drop("z", "top"))
-        facts = claims.where("field <> 'source'")
-        true = post.groupBy(*key).agg(F.max_by("value", F.struct("p", "complete", "late", "value")).alias("true"))
-        judged = facts.join(post.select(*key, "value", "p"), [*key, "value"])
-        seen = judged.groupBy("source").agg(F.sum("p").alias("right"), F.count("*").alias("of"))
+        # what two sources share, by how likely it is true, against what they differ in
+        judged = shared.withColumn("p", F.lit(None).cast("double")) if post is None else shared.join(chance, ["cf", "value"])
+        both = judged.groupBy("s", "t").agg(F.sum("p").alias("kt"), F.sum(1 - F.col("p")).alias("kf"), F.count("*").alias("k"))
+        both = met.join(both, ["s", "t"], "left").select("s", "t", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("kt", "kf", "k", "both")]).withColumn("kd", F.greatest(F.lit(0.0), F.col("both") - F.col("k")))
+        rated = accuracy.select("source", "a")
+        both = _known(both, rated.select(F.col("source").alias("s"), F.col("a").alias("x")), "s", n)
+        both = _known(both, rated.select(F.col("source").alias("t"), F.col("a").alias("y")), "t", n)
+        pt, pf, c = F.col("x") * F.col("y"), (1 - F.col("x")) * (1 - F.col("y")) / FALSE_VALUES, COPIED
+        best = F.greatest("x", "y")
+        told = F.col("kt") * F.log(pt / (c * best + (1 - c) * pt)) + F.col("kf") * F.log(pf / (c * (1 - best) + (1 - c) * pf))
+        if post is None:  # nothing is known of the values yet: what two share may be true or false
+            told = F.col("k") * F.log((pt + pf) / (c + (1 - c) * (pt + pf)))
+        odds = F.log(F.lit((1 - COPY_PRIOR) / COPY_PRIOR)) + told - F.col("kd") * F.log(F.lit(1 - c))
+        copier = F.when(F.col("x") < F.col("y"), F.col("s")).otherwise(F.col("t"))
+        before = dep
+        dep = ws.write(both.select("s", "t", copier.alias("copier"), (1 / (1 + F.exp(F.least(F.greatest(odds, F.lit(-50.0)), F.lit(50.0))))).alias("dep")))
+        score = F.log(F.col("a") * FALSE_VALUES / (1 - F.col("a")))
+        votes = _known(claims, accuracy.select("source", "a"), "source", n).withColumn("v", score)
+        # the less accurate of two that name a value may have copied it
+        copied = _known(shared.select("*", st), dep.select(st, "copier", "dep"), "st", pairs)
+        copied = copied.groupBy("cf", "value", F.col("copier").alias("source")).agg(F.exp(F.sum(F.log(1 - F.col("dep") * COPIED))).alias("w"))
+        votes = votes.join(copied, ["cf", "value", "source"], "left").withColumn("v", F.col("v") * F.coalesce("w", F.lit(1.0)))
+        votes = votes.groupBy("cf", "cluster_id", "field", "value").agg(F.least(F.sum("v"), F.lit(600.0)).alias("v"), F.max("complete").alias("complete"), F.max("late").alias("late"))
+        votes = ws.write(votes)
+        # values that nobody names are as likely as one named without any weight
+        total = votes.groupBy("cf").agg(F.sum(F.exp("v")).alias("z"), F.count("*").alias("k"))
+        weighed = salted_lookup(votes, total, "cf", total, "k")
+        last, post = post, ws.write(weighed.withColumn("p", F.round(F.exp("v") / (F.col("z") + F.greatest(F.lit(0), FALSE_VALUES + 1 - F.col("k"))), 9)).drop("z", "k", "v"))
+        ws.drop(votes, *([last] if last is not None else []))
+        chance = post.where("field <> 'source'").select("cf", "value", "p")
+        seen = facts.join(chance, ["cf", "value"]).groupBy("source").agg(F.sum("p").alias("right"), F.count("*").alias("of"))
         a = (F.coalesce("right", F.lit(0.0)) + F.col("prior") * PRIOR_VOTES) / (F.coalesce("of", F.lit(0)) + PRIOR_VOTES)
-        accuracy = ws.write(prior.join(seen, "source", "left").select("source", F.least(F.greatest(a, F.lit(0.05)), F.lit(0.99)).alias("a")))
-        # dependence: what two sources share of false values against what they differ in
-        flag = facts.join(true, key).select(*key, "source", "value", (F.col("value") == F.col("true")).alias("right"))
-        met = (
-            flag.alias("x").join(flag.alias("y"), [*key]).where(F.col("x.source") < F.col("y.source"))
-            .groupBy(F.col("x.source").alias("s"), F.col("y.source").alias("t"))
-            .agg(F.count_if((F.col("x.value") == F.col("y.value")) & ~F.col("x.right")).alias("kf"), F.count_if((F.col("x.value") == F.col("y.value")) & F.col("x.right")).alias("kt"), F.count_if(F.col("x.value") != F.col("y.value")).alias("kd"))
-        )
-        pa, c = F.lit(ACCURACY), F.lit(0.8)
-        odds = (
-            F.log(F.lit((1 - COPY_PRIOR) / COPY_PRIOR))
-            + F.col("kt") * F.log(pa / (c + (1 - c) * pa)) + F.col("kf") * F.log(((1 - pa) / FALSE_VALUES) / (c + (1 - c) * (1 - pa) / FALSE_VALUES)) - F.col("kd") * F.log(1 - c)
-        )
-        dep = met.withColumn("dep", 1 / (1 + F.exp(F.least(F.greatest(odds / (F.col("kt") + F.col("kf") + F.col("kd")), F.lit(-50.0)), F.lit(50.0)))))
-        # the less accurate of a pair is taken for the copier
-        pair = dep.join(accuracy.select(F.col("source").alias("s"), F.col("a").alias("as")), "s").join(accuracy.select(F.col("source").alias("t"), F.col("a").alias("at")), "t")
-        copier = pair.select(F.when(F.col("as") < F.col("at"), F.col("s")).otherwise(F.col("t")).alias("source"), "dep").groupBy("source").agg(F.exp(F.sum(F.log(1 - F.col("dep") * 0.8))).alias("w"))
-        independent = ws.write(claims.select("source").distinct().join(copier, "source", "left").select("source", F.coalesce("w", F.lit(1.0)).alias("w")))
-    best = post.groupBy(*key).agg(F.max_by(F.struct("value", "p"), F.struct("p", "complete", "late", "value")).alias("b"))
+        new = accuracy.select("source", "prior", F.col("a").alias("old")).join(seen, "source", "left").select("source", "prior", "old", F.least(F.greatest(a, F.lit(0.05)), F.lit(0.99)).alias("a"))
+        new = ws.write(new, moved="max(abs(a - old))")
+        ws.drop(accuracy)
+        accuracy = new
+        if before is not None:
+            ws.drop(before)
+        if (new.metrics["moved"] or 0) < settled:
+            break
+    best = post.groupBy("cluster_id", "field").agg(F.max_by(F.struct("value", "p"), F.struct("p", "complete", "late", "value")).alias("b"))
     spelled = records.select("cluster_id", "title", F.nullif(F.regexp_replace(F.lower("title"), r"(?U)[^\p{L}\p{Nd}]", ""), F.lit("")).alias("value")).where("value IS NOT NULL")
     spelled = spelled.groupBy("cluster_id", "value").agg(F.max_by("title", F.struct(F.length("title"), "title")).alias("title"))
     wide = best.groupBy("cluster_id").agg(*[F.max(F.when(F.col("field") == f, F.col("b"))).alias(f) for f in ("title", "page_numbers", "type", "source")])
-    out = records.select("cluster_id").distinct().join(wide.withColumnRenamed("title", "t"), "cluster_id", "left").withColumn("value", F.col("t.value")).join(spelled, ["cluster_id", "value"], "left")
+    every = records.select("cluster_id").distinct()
+    out = every.join(wide.withColumnRenamed("title", "t"), every["cluster_id"].eqNullSafe(wide["cluster_id"]), "left").drop(wide["cluster_id"]).withColumn("value", F.col("t.value"))
+    same = out["cluster_id"].eqNullSafe(spelled["cluster_id"]) & (out["value"] == spelled["value"])
+    out = out.join(spelled, same, "left").select(out["*"], spelled["title"])
     return out.select(
         "cluster_id", "title", F.transform(F.split("page_numbers.value", ","), lambda x: x.cast("int")).alias("page_numbers"), F.col("type.value").alias("type"), F.col("source.value").alias("source"),
         F.round("t.p", 6).alias("title_confidence"), F.round("page_numbers.p", 6).alias("pages_confidence"), F.round("type.p", 6).alias("type_confidence"), F.round("source.p", 6).alias("source_confidence"),

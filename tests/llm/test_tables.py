@@ -94,6 +94,27 @@ def test_fusion_follows_sources_that_are_right(spark):
     assert fusion.fuse(spark, df.limit(0), ranks).count() == 0
 
 
+def test_fusion_sees_through_copies(spark):
+    r = random.Random(5)
+    rows, truth, majority = [], {}, {}
+    for c in range(200):
+        truth[c] = "right"
+        say = {s: "right" if r.random() < a else f"wrong {r.randrange(50)}" for s, a in (("a", 0.9), ("b", 0.75), ("c", 0.75), ("x", 0.6))}
+        say |= {"y": say["x"], "z": say["x"]}
+        majority[c] = max(set(say.values()), key=lambda v: (list(say.values()).count(v), v))
+        rows += [(0, c, v, None, s, None) for s, v in say.items()]
+    df = spark.createDataFrame(rows, "cand_id bigint, cluster_id bigint, title string, page_numbers array<int>, source string, extracted_at timestamp").selectExpr("*", "NULL AS type")
+    out = {x["cluster_id"]: x["title"] for x in fusion.fuse(spark, df, spark.createDataFrame([], "source string, trust_rank int")).collect()}
+    right, plain = sum(out[c] == "right" for c in out), sum(v == "right" for v in majority.values())
+    assert len(out) == 200 and right >= 190 and right > plain, (right, plain)
+
+
+def test_fusion_of_a_null_cluster(spark):
+    df = spark.createDataFrame([(1, None, "Act", [1], "llm", None), (2, None, "act", [1], "regex", None), (3, 1, "Rules", None, "llm", None)], "cand_id bigint, cluster_id bigint, title string, page_numbers array<int>, source string, extracted_at timestamp").selectExpr("*", "'act' AS type")
+    out = {x["cluster_id"]: (x["title"], x["page_numbers"]) for x in fusion.fuse(spark, df, spark.createDataFrame([("llm", 1), (" LLM", 2)], "source string, trust_rank int")).collect()}
+    assert out == {None: ("act", [1]), 1: ("Rules", None)}
+
+
 def test_fusion_of_sources(spark):
     t = [datetime(2020, 1, d) for d in range(1, 3)]
     rows = []
