@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.runtime import Workspace
+from citeweave.runtime import Workspace, salted_lookup
 
 
 def links(pairs: DataFrame, a: str, b: str, sim: str | None = None, threshold: float = 0.75) -> DataFrame:
@@ -137,8 +137,11 @@ def connected_components(spark: SparkSession, pairs: DataFrame, rounds: int = 3)
         got = gone.join(label.select(F.col("v").alias("parent"), F.col("root").alias("r")), "parent", "left").select("v", F.coalesce("r", "parent").alias("root"))
         label = ws.write(label.unionByName(got))
     every = label.unionByName(label.select(F.col("root").alias("v"), "root")).distinct()
-    least = every.groupBy("root").agg(F.min("v").alias("label"))
-    return every.join(least, "root").select("v", "label").distinct()
+    every = ws.write(every, n="count(1)")
+    least = ws.write(every.groupBy("root").agg(F.min("v").alias("label"), F.count("*").alias("n")), top="max(n)")
+    if (least.metrics["top"] or 0) > max(10_000, (every.metrics["n"] or 0) / 512):  # a component of that share is one key
+        return salted_lookup(every, least.select("root", "label"), "root", least.select("root", "n"), "n").select("v", "label")
+    return every.join(least.drop("n"), "root").select("v", "label")
 
 
 def groups(spark: SparkSession, pairs: DataFrame, a: str = "pi", b: str = "gi", sim: str | None = "sim", threshold: float = 0.75) -> DataFrame:

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from citeweave.llm.tokens import TOKENIZER_DIR, encoding, pattern
 from citeweave.runtime import spread
 
-CHUNK, OVERLAP = 1 << 16, 1 << 10  # characters
+#: characters of a chunk, which only the longest speeches exceed (one in seventy), and of the overlap
+CHUNK, OVERLAP = 1 << 13, 1 << 9
 
 
 #: The characters of the Unicode property White_Space, which \\s means to the tokenizer.

@@ -20,11 +20,11 @@ def canonical_text(titles: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def raw_groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text, n, low): byte-identical texts collapsed map-side first, with their count and least id. Blank texts are left out."""
+    """(text, n, low, high): byte-identical texts collapsed map-side first, with their count, least and greatest id. Blank texts are left out."""
     return (
         rows.where(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"(?U)\S"))
         .groupBy(F.col(text_col).alias("text"))
-        .agg(F.count("*").alias("n"), F.min(id_col).alias("low"))
+        .agg(F.count("*").alias("n"), F.min(id_col).alias("low"), F.max(id_col).alias("high"))
         .repartition(tasks(rows.sparkSession), "text")
     )
 
@@ -49,9 +49,10 @@ def format_duplicates(spark: SparkSession, rows: DataFrame, id_col: str = "rec_i
     their texts, so an id repeated with the same text comes out once. Other columns are ignored.
     """
     ws = Workspace(spark, "exact")
-    raw = ws.write(raw_groups(rows.select(id_col, text_col).distinct(), id_col, text_col).withColumn("canon", canonical_text("text")))
-    groups = raw.groupBy("canon").agg(F.sum("n").alias("total"), F.min("low").alias("group_id")).where("total > 1")
+    raw = ws.write(raw_groups(rows, id_col, text_col).withColumn("canon", canonical_text("text")))
+    # several rows with one id are one record, so a group needs two different ids
+    groups = raw.groupBy("canon").agg(F.min("low").alias("group_id"), F.max("high").alias("high")).where("group_id < high").select("canon", "group_id")
     table = ws.write(raw.join(groups, "canon").select("text", "n", "group_id"))
     # a text may be that of a third of all rows; its row of the table is copied for them
-    live = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text")).distinct()
-    return salted_lookup(live, table.select("text", "group_id"), "text", table.select("text", "n"), "n").select("rec_id", "group_id")
+    live = rows.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text"))
+    return salted_lookup(live, table.select("text", "group_id"), "text", table.select("text", "n"), "n").select("rec_id", "group_id").distinct()

@@ -135,25 +135,31 @@ def slots(runs: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarray
     return {s: (np.array(r), np.array(c), np.array(n), at[s]) for s, (r, c, n) in out.items()}
 
 
-def pack(spark: SparkSession, sized: DataFrame, id_col: str = "doc_id", size_col: str = "size", capacity: int = 2048, salts: int = 64) -> DataFrame:
+def pack(spark: SparkSession, sized: DataFrame, id_col: str = "doc_id", size_col: str = "size", capacity: int = 2048, per: int = 1_000_000) -> DataFrame:
     """(id, piece, size, container): every item's container; an item above the capacity comes as several pieces.
 
     Such an item fills whole containers of its own and its remainder is packed like an item. Items of size 0 (or null) need no
     room and come with a null container. Ties in size go by id, so the result is the same every time; repeated ids are
-    items of their own. An empty table gives an empty one.
+    items of their own. An empty table gives an empty one. Items of one size are ranked in parts of about ``per``, so a size that
+    a third of all items have is as many tasks as it needs; the driver holds a counter a part.
     """
     ws = Workspace(spark, "packing")
     size = F.coalesce(F.col(size_col), F.lit(0)).cast("bigint")
     items = sized.select(F.col(id_col), size.alias("_s"))
     whole = F.floor(F.col("_s") / capacity)
     pieces = items.select(id_col, F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_s") / capacity) - 1, F.lit(0))), lambda i: F.when(i < whole, F.lit(capacity)).otherwise(F.col("_s") - i * capacity))).alias("piece", "size"))
-    pieces = ws.write(pieces.withColumn("size", F.col("size").cast("int")).withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int")))
-    counts = pieces.where("size > 0").groupBy("size", "salt").count().collect()  # at most capacity x salts rows
-    total: dict[int, int] = {}
-    base: dict[int, np.ndarray] = {}
-    for s, t, n in sorted(map(tuple, counts)):
-        base.setdefault(s, np.zeros(salts, dtype=np.int64))[t] = total.get(s, 0)
-        total[s] = total.get(s, 0) + n
+    pieces = ws.write(pieces.withColumn("size", F.col("size").cast("int")))
+    total = dict(map(tuple, pieces.where("size > 0").groupBy("size").count().collect()))  # at most capacity rows
+    base: dict[int, np.ndarray] = {s: np.zeros(-(-n // per), dtype=np.int64) for s, n in total.items()}
+    many = [(s, len(b)) for s, b in base.items() if len(b) > 1]
+    pieces = pieces.withColumn("salt", F.lit(0))
+    if many:
+        parts = F.broadcast(spark.createDataFrame(many, "size int, parts int"))
+        pieces = pieces.drop("salt").join(parts, "size", "left").withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        for s, t, n in pieces.join(parts, "size", "left_semi").groupBy("size", "salt").count().collect():  # items / per rows
+            base[s][t] = n
+        for s, _ in many:
+            base[s] = np.concatenate([[0], np.cumsum(base[s])[:-1]])
     table = slots(solve(total, capacity))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -57,9 +57,10 @@ def test_packing_loses_nothing_and_is_no_worse_than_best_fit(seed):
     assert sum(k for k, _ in runs) <= len(free)
 
 
-def test_packing_of_a_table(spark):
+@pytest.mark.parametrize("per", [2, 1_000_000])
+def test_packing_of_a_table(spark, per):
     rows = [(i, s) for i, s in enumerate([0, None, 10, 10, 7, 3, 25, 30, 1, 10])] + [(5, 3)]
-    got = packing.pack(spark, spark.createDataFrame(rows, "doc_id bigint, size bigint").selectExpr("*", "1 AS container", "2 AS piece"), capacity=10, salts=3).collect()
+    got = packing.pack(spark, spark.createDataFrame(rows, "doc_id bigint, size bigint").selectExpr("*", "1 AS container", "2 AS piece"), capacity=10, per=per).collect()
     assert sum(r["size"] for r in got) == sum(s or 0 for _, s in rows)
     room = Counter()
     for r in got:
