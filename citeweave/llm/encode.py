@@ -102,7 +102,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pat = _compiled(folder)
         for df in batches:
-            df["ends"] = [token_ends(p, s, last, pat) for p, s, last in zip(df["piece"], df["start"], df["last"])]
+            # only ends inside the overlaps are compared
+            df["ends"] = [[e for e in token_ends(p, s, last, pat) if e <= s + overlap or e > s + chunk or e == s + len(p)] for p, s, last in zip(df["piece"], df["start"], df["last"])]
             yield df
 
     def join(df: pd.DataFrame) -> pd.DataFrame:
