@@ -90,8 +90,9 @@ def _lead(s: str, start: int, date: bool) -> int:
     return start
 
 
+@lru_cache(maxsize=2)
 def fields(title: str) -> dict:
-    """{'number', 'date', 'sender', 'rest': text without case; 'ymd': (y, m, d) or None; 'id': bare number}."""
+    """Remembered for whoever asks next for another view of the same title, so not to be changed. {'number', 'date', 'sender', 'rest': text without case; 'ymd': (y, m, d) or None; 'id': bare number}."""
     s = unicodedata.normalize("NFKC", title).lower().translate(_DASHES)
     s = re.sub(r"\s+", " ", s)
     out = {"number": "", "date": "", "sender": "", "id": "", "ymd": None}
