@@ -131,13 +131,32 @@ def test_fusion_of_sources(spark):
 
 
 def test_values(spark):
-    types = spark.createDataFrame([("circular", "Circular"), ("master_circular", "Master circular"), ("act", "Act"), ("letter", "Letter"), ("email", "E-mail")], "type_code string, label string")
-    want = {"circular": None, "CIRCULAR": "circular", " circullar ?": "circular", "Circular, master": "master_circular", "M. Circular (master)": "master_circular", "mster circ": "master_circular", "E mail": "email", "the Act": "act", "SEBI ltter": "letter", "table 3": "unmatched", "12": "unmatched", "???": "unmatched", "": None, " \t": None, "x" * 5000: "unmatched"}
-    rows = [(i, v) for i, v in enumerate(want)] + [(99, None), (1, "CIRCULAR")]
+    listed = [("circular", "Circular", "circulars, numbered or dated"), ("master_circular", "Master circular", "consolidated circulars on one subject"), ("act", "Act", "acts of the legislature, statutes"), ("letter", "Letter", None), ("email", "E-mail", "electronic mail")]
+    types = spark.createDataFrame(listed, "type_code string, label string, covers string")
+    want = {"circular": None, "CIRCULAR": "circular", " circullar ?": "circular", "Circular, master": "master_circular", "M. Circular (master)": "master_circular", "mster circ": "master_circular", "MasterCircluar": "master_circular", "E mail": "email", "the Act": "act", "SEBI ltter": "letter", "ltr": "letter", "Consolidated circular": "master_circular", "statute": "act", "mail (electronic)": "email", "table 3": "unmatched", "not sure": "unmatched", "12": "unmatched", "???": "unmatched", "": None, " \t": None, "x" * 5000: "unmatched"}
+    rows = [(i, v) for i, v in enumerate(want)] + [(99, None), (1, "CIRCULAR")] + [(200 + i, "Circulaire") for i in range(9)] + [(300, "crculaire")]
     df = spark.createDataFrame(rows, "rec_id bigint, type string").selectExpr("*", "1 AS value", "2 AS n")
     got = [tuple(r) for r in canonical.map_values(spark, df, types).collect()]
-    assert len(got) == len(set(got)) and dict(got) == {i: c for i, c in enumerate(want.values()) if c}
+    assert len(got) == len(set(got)) and dict(got) == {i: c for i, c in enumerate(want.values()) if c} | {i: "circular" for i in [*range(200, 209), 300]}
     assert canonical.map_values(spark, df.limit(0), types).count() == 0
+    assert canonical.map_values(spark, df, types.select("type_code", "label")).where("rec_id = 1").first()["type_code"] == "circular"
+
+
+def test_no_word_within_the_edits_is_lost_by_the_join(spark):
+    from citeweave.runtime import Workspace
+
+    r = random.Random(9)
+    words = ["circular", "notice", "letter", "order", "act", "gazette", "regulation", "guideline"]
+    typed = set(words)
+    for _ in range(400):
+        w = list(r.choice(words))
+        for _ in range(r.randint(1, 2)):
+            i = r.randrange(len(w) - 1)
+            w[i : i + 2] = r.choice([[w[i + 1], w[i]], [w[i]], [w[i], r.choice("aeklz"), w[i + 1]], [r.choice("aeklz"), w[i + 1]]])
+        typed.add("".join(w))
+    want = {(a, b) for a in typed for b in words if canonical.osa(a, b, 2) <= canonical.limit(max(len(a), len(b)))}
+    got = canonical.set_similarity_join(Workspace(spark, "t"), spark.createDataFrame([(w,) for w in typed], "l string"), spark.createDataFrame([(w,) for w in words], "r string"))
+    assert want <= {(x["l"], x["r"]) for x in got.collect()}
 
 
 def test_similarity_join_equals_brute_force(spark):
