@@ -47,9 +47,9 @@ def metrics(spark: SparkSession, predicted: DataFrame, truth: DataFrame, s: Sett
     return counted.select(*keys, *scores(F.col("t"), F.col("p"), F.col("g")))
 
 
-def errors(spark: SparkSession, predicted: DataFrame, truth: DataFrame, s: Settings = Settings()) -> DataFrame:
+def errors(spark: SparkSession, predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
     """(doc_id, kind, pos, title, type): kind is missed, false_positive, correct or llm_unique, by first-fit matching in order."""
-    pairs = first_fit_pairs(spark, duplicate_edges(predicted, truth, "seq", "gt_seq", s))
+    pairs = first_fit_pairs(spark, duplicate_edges(predicted, truth, "seq", "gt_seq", s, fuzzy))
     row = lambda df, kind, pos: df.select("doc_id", F.lit(kind).alias("kind"), F.col(pos).alias("pos"), "title", "type")
     hit = pairs.select("doc_id", F.col("pi").alias("seq"))
     return (
@@ -60,14 +60,14 @@ def errors(spark: SparkSession, predicted: DataFrame, truth: DataFrame, s: Setti
     )
 
 
-def missed_listing(predicted: DataFrame, truth: DataFrame, s: Settings = Settings()) -> DataFrame:
+def missed_listing(predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
     """Ground-truth rows that no prediction is similar to (not one-to-one, so fewer than ``fn`` at times)."""
-    return truth.join(similarity_edges(predicted, truth, s).select("doc_id", F.col("gi").alias("gt_seq")).distinct(), ["doc_id", "gt_seq"], "left_anti")
+    return truth.join(similarity_edges(predicted, truth, s, fuzzy).select("doc_id", F.col("gi").alias("gt_seq")).distinct(), ["doc_id", "gt_seq"], "left_anti")
 
 
-def matched_sample(predicted: DataFrame, truth: DataFrame, n: int = 10, s: Settings = Settings()) -> DataFrame:
+def matched_sample(predicted: DataFrame, truth: DataFrame, n: int = 10, s: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
     """The first ``n`` predictions that duplicate any ground-truth row."""
-    hit = duplicate_edges(predicted, truth, "seq", "gt_seq", s).select("doc_id", F.col("pi").alias("seq")).distinct()
+    hit = duplicate_edges(predicted, truth, "seq", "gt_seq", s, fuzzy).select("doc_id", F.col("pi").alias("seq")).distinct()
     return predicted.join(hit, ["doc_id", "seq"], "left_semi").orderBy("doc_id", "seq").limit(n)
 
 

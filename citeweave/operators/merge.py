@@ -17,11 +17,11 @@ def _listed(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.withColumn("n", F.col("_l").cast("bigint") * (1 << 48) + F.col("seq"))
 
 
-def _absorbed(spark: SparkSession, both: DataFrame, s: Settings) -> DataFrame:
+def _absorbed(spark: SparkSession, both: DataFrame, s: Settings, fuzzy: bool) -> DataFrame:
     """both with ``seed``: the row that a row of the second list goes into (itself if none)."""
     old, new = both.where("_l = 0"), both.where("_l = 1")
-    across = duplicate_edges(new, old, "n", "n", s).select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))
-    within = duplicate_edges(new, new, "n", "n", s, later=True).select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))
+    across = duplicate_edges(new, old, "n", "n", s, fuzzy).select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))
+    within = duplicate_edges(new, new, "n", "n", s, fuzzy, later=True).select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))
     seeds = first_seeds(spark, across.unionByName(within))
     return both.join(seeds.withColumnRenamed("member", "n"), ["doc_id", "n"], "left").withColumn("seed", F.coalesce("seed", "n"))
 
@@ -36,21 +36,21 @@ def _pages_in_order():
     return F.array_distinct(F.flatten(lists))
 
 
-def merge_first_match(spark: SparkSession, existing: DataFrame, found: DataFrame, s: Settings = Settings()) -> DataFrame:
+def merge_first_match(spark: SparkSession, existing: DataFrame, found: DataFrame, s: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
     """existing, enriched by ``found``: each found reference goes into the first entry it duplicates, or is appended.
 
     An entry that took one in has source ``both`` and the pages of all. Appended entries take in later ones like the others.
     """
-    rows = _absorbed(spark, _listed(existing, found), s)
+    rows = _absorbed(spark, _listed(existing, found), s, fuzzy)
     head = F.min_by(F.struct("title", "type", "source"), "n").alias("h")
     out = rows.groupBy("doc_id", "seed").agg(head, F.count("*").alias("k"), _pages_in_order().alias("page_numbers"))
     out = out.select("doc_id", "seed", "h.title", "h.type", "page_numbers", F.when(F.col("k") > 1, "both").otherwise(F.col("h.source")).alias("source"))
     return _renumbered(out, "seed").select("doc_id", "seq", "title", "type", "page_numbers", "source")
 
 
-def merge_new_only(spark: SparkSession, existing: DataFrame, found: DataFrame, s: Settings = Settings()) -> DataFrame:
+def merge_new_only(spark: SparkSession, existing: DataFrame, found: DataFrame, s: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
     """existing, with those of ``found`` appended that duplicate nothing before them; entries aren't changed."""
-    rows = _absorbed(spark, _listed(existing, found), s).where("seed = n")
+    rows = _absorbed(spark, _listed(existing, found), s, fuzzy).where("seed = n")
     return _renumbered(rows, "n").select("doc_id", "seq", "title", "type", "page_numbers", "source")
 
 
@@ -77,6 +77,6 @@ def collapse(clustered: DataFrame, chosen: DataFrame | None = None) -> DataFrame
         title, pages = F.coalesce(F.nullif(F.col("_t"), F.lit("")), title), F.array_sort(F.array_union(pages, F.coalesce("_p", F.array().cast("array<int>"))))
     out = out.select(
         "doc_id", "seed", F.when(F.col("k") > 1, title).otherwise(F.col("best.title")).alias("title"), F.col("best.type").alias("type"),
-        F.when(F.col("k") > 1, pages).otherwise(F.col("own")).alias("page_numbers"), F.when(F.size("sources") > 1, "both").otherwise(F.col("sources")[0]).alias("source"),
+        F.when(F.col("k") > 1, pages).otherwise(F.col("own")).alias("page_numbers"), F.when(F.size("sources") > 1, "both").otherwise(F.get("sources", F.lit(0))).alias("source"),
     )
     return _renumbered(out, "seed").select("doc_id", "seq", "title", "type", "page_numbers", "source")

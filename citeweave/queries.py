@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeweave.functions.text import contained, graded, parse_pages, title_key
+from citeweave import cited_queries
+from citeweave.cited_queries import cited, found, truth
+from citeweave.functions.text import parse_pages
 from citeweave.operators import evaluate, extract, merge, model, search
 from citeweave.operators.similarity import duplicate_edges, similarity_edges
 from citeweave.patterns import PATTERNS
@@ -27,23 +29,6 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return page_table(_t(spark, d, "extract_pages"), latest="scanned_at")
 
 
-def truth(spark: SparkSession, d: str) -> DataFrame:
-    t = _t(spark, d, "annotated_refs").where("doc_id IS NOT NULL AND title IS NOT NULL")
-    return t.select("doc_id", F.col("rec_id").alias("gt_seq"), "title", "type", "page")
-
-
-def found(spark: SparkSession, d: str) -> DataFrame:
-    """Annotated references in the place of a model's findings."""
-    t = truth(spark, d)
-    pages_ = F.when(F.col("page").isNull(), F.array().cast("array<int>")).otherwise(F.array("page"))
-    return t.select("doc_id", F.col("gt_seq").alias("seq"), "title", "type", pages_.alias("page_numbers"), F.lit("llm").alias("source"))
-
-
-def cited(spark: SparkSession, d: str) -> DataFrame:
-    t = _t(spark, d, "extract_refs").where("doc_id IS NOT NULL AND title IS NOT NULL")
-    return t.select("doc_id", F.col("rec_id").alias("seq"), "title", "type", "page_numbers", "source")
-
-
 def _refs(spark: SparkSession, d: str) -> DataFrame:
     """Citations that the patterns find, written once for operators that read them several times."""
     return Workspace(spark, "references").write(extract.references(pages(spark, d)))
@@ -158,7 +143,8 @@ def llm_coerce(spark: SparkSession, d: str) -> DataFrame:
 
 
 def llm_grouped(spark: SparkSession, d: str) -> DataFrame:
-    return model.grouped(model.coerce(_answers(spark, d)))
+    g = model.grouped(model.coerce(_answers(spark, d)))
+    return g.select("doc_id", "seq", "title", "type", F.array_join(F.array_sort(F.array_distinct("page_numbers")), ",").alias("pages"), "source")
 
 
 def llm_batch_prompts(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +208,7 @@ def queries() -> dict[str, Query]:
         ratio_pairs, greedy_match, metrics, metrics_by_doc, first_fit_errors, missed_gt, comparison, merge_first_match, merge_new_only, seed_clusters, collapsed,
         llm_coerce, llm_grouped, llm_batch_prompts, verify_filter, extract_hybrid, extract_regex_only, pareto_front, prune_topk, train_val_split,
     )
-    return {f"regex_refs_p{p.pattern_id:02d}": _pattern(p) for p in PATTERNS} | {f.__name__: f for f in own}
+    return {f"regex_refs_p{p.pattern_id:02d}": _pattern(p) for p in PATTERNS} | {f.__name__: f for f in own} | cited_queries.queries()
 
 
 # SQL
@@ -272,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
     cand = "c AS (SELECT p_partkey AS id, p_size / 50.0 AS precision, (p_partkey * 37 % 101) / 101.0 AS recall, round((p_size / 50.0 + (p_partkey * 37 % 101) / 101.0) / 2, 6) AS f1 FROM part), front AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.precision >= c.precision AND o.recall >= c.recall AND (o.precision > c.precision OR o.recall > c.recall)))"
     title = r"regexp_replace(title, '[\\\"\x00-\x1f]', ' ', 'g')"
     out = {f"regex_refs_p{p.pattern_id:02d}": f"WITH {_PAGES} SELECT doc_id, page_num, pos::INT AS pos, match FROM ({_matches_sql(p)})" for p in PATTERNS}
-    return out | {
+    return out | cited_queries.oracle_sql(_PAGES, _matches_sql) | {
         "regex_refs_dedup": rf"""
             WITH {_PAGES}, m AS ({all_matches}), n AS (SELECT *, regexp_replace({trim.format("match")}, '[\s\pZ]+', ' ', 'g') AS title FROM m), k AS (SELECT *, lower(title) AS key FROM n WHERE title <> ''),
             f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY page_num, pattern_id, pos) AS r FROM k),
@@ -293,6 +279,11 @@ def oracle_sql() -> dict[str, str]:
             WITH t AS (SELECT doc_id, rec_id, rec_id % 5 AS kind, {trim.format(title)} AS title FROM annotated_refs WHERE doc_id IS NOT NULL AND title IS NOT NULL)
             SELECT doc_id, rec_id::INT AS batch, 0 AS pos, CASE WHEN kind = 1 THEN 'D - ' || title ELSE title END AS title,
             CASE kind WHEN 0 THEN 'letter' ELSE 'circular' END AS type, CASE kind WHEN 0 THEN '3' WHEN 1 THEN '7' ELSE '2,2' END AS pages FROM t WHERE kind < 3 AND (title <> '' OR kind = 1)""",
+        "llm_grouped": rf"""
+            WITH a AS (SELECT doc_id, rec_id, rec_id % 5 AS kind, {trim.format(title)} AS t FROM annotated_refs WHERE doc_id IS NOT NULL AND title IS NOT NULL),
+            e AS (SELECT doc_id, rec_id AS batch, CASE WHEN kind = 1 THEN 'D - ' || t ELSE t END AS title, CASE kind WHEN 0 THEN 'letter' ELSE 'circular' END AS type, CASE kind WHEN 0 THEN 3 WHEN 1 THEN 7 ELSE 2 END AS page FROM a WHERE kind < 3 AND (t <> '' OR kind = 1)),
+            g AS (SELECT doc_id, min(batch) AS first, arg_min(title, batch) AS title, arg_min(type, batch) AS type, array_to_string(list_sort(list_distinct(list(page))), ',') AS pages FROM e GROUP BY doc_id, lower(title))
+            SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS seq, title, type, pages, 'llm' AS source FROM g""",
         "pareto_front": f"WITH {cand} SELECT id, precision, recall, f1 FROM front",
         "prune_topk": f"WITH {cand} SELECT id, f1 FROM (SELECT c.*, row_number() OVER (ORDER BY f.id IS NULL, c.f1 DESC, c.id) AS r, count(f.id) OVER () AS n FROM c LEFT JOIN front f USING (id)) WHERE r <= greatest(12, n)",
         "train_val_split": f"WITH {truth_} SELECT gt_seq, CASE WHEN coalesce(page, 0) IN (2, 3, 5) THEN 'validation' ELSE 'train' END AS part FROM truth",

@@ -29,7 +29,7 @@ def write_result(refs: DataFrame, path: str) -> dict:
 def listing(refs: DataFrame) -> DataFrame:
     """(doc_id, type, n, entries): references grouped by type, types in order; the source is named unless it is ``both``."""
     tag = F.when(F.col("source") != "both", F.concat(F.lit(" ["), F.col("source"), F.lit("]"))).otherwise("")
-    line = F.concat(F.col("title"), F.lit(" | pages "), F.array_join("page_numbers", ", "), tag)
+    line = F.concat(F.col("title"), F.lit(" | pages "), F.coalesce(F.array_join("page_numbers", ", "), F.lit("")), F.coalesce(tag, F.lit("")))
     return refs.groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("l")))), lambda x: x["l"]).alias("entries")).orderBy("doc_id", "type")
 
 
