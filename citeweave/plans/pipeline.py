@@ -13,7 +13,7 @@ from citeweave.operators import evaluate as ev
 from citeweave.operators import extract as ex
 from citeweave.operators import merge, model
 from citeweave.patterns import PATTERNS, Pattern
-from citeweave.runtime import Workspace
+from citeweave.runtime import Workspace, clear
 from citeweave.schemas import Settings
 
 
@@ -40,6 +40,8 @@ def extract(spark: SparkSession, pages: DataFrame, client: model.Client | None =
 def evaluate(spark: SparkSession, pages: DataFrame, truth: DataFrame, client: model.Client, s: Settings = Settings()) -> dict[str, DataFrame]:
     """comparison of the patterns alone with the whole pipeline, plus what the model added and what is still missed."""
     regex, _ = extract(spark, pages, s=s)
+    ws = Workspace(spark, "evaluation")
+    regex = ws.write(regex)
     hybrid, _ = extract(spark, pages, client, s=s)
     runs = {"regex_only": ev.metrics(spark, regex, truth, s), "hybrid": ev.metrics(spark, hybrid, truth, s)}
     return runs | {"comparison": ev.comparison(runs), "llm_only": hybrid.where("source = 'llm'"), "missed": ev.missed_listing(hybrid, truth, s)}
@@ -68,8 +70,7 @@ def main(argv: Sequence[str] | None = None) -> int:
             c.add_argument("--population", type=int, default=4)
             c.add_argument("--minibatch", type=int, default=4)
     a = p.parse_args(argv)
-    from citeweave.operators import search
-    from citeweave.sources import readers, sinks
+    from citeweave.sources import readers
 
     spark = SparkSession.builder.appName("citeweave").getOrCreate()
     if a.pages.endswith(".parquet"):
@@ -77,28 +78,40 @@ def main(argv: Sequence[str] | None = None) -> int:
     else:
         pages = readers.documents(spark, a.pages, readers.pdf_parser if a.pages.lower().endswith(".pdf") else readers.text_parser)
     client = model.Http(a.endpoint, a.model) if a.endpoint else None
+    if client is None and not (a.command == "extract" and a.regex_only):
+        p.error("--endpoint is needed" + (", or --regex-only" if a.command == "extract" else ""))
+    try:
+        return _run(spark, p, a, pages, client)
+    finally:
+        clear(spark)
+
+
+def _run(spark: SparkSession, p: argparse.ArgumentParser, a: argparse.Namespace, pages: DataFrame, client: model.Client | None) -> int:
+    from citeweave.operators import search
+    from citeweave.sources import readers, sinks
+
     if a.command == "extract":
         refs, st = extract(spark, pages, None if a.regex_only else client, parse_pages(a.wanted), not a.no_verify)
-        st.show()
-        sinks.listing(refs).show(1000, False)
+        refs = Workspace(spark, "result").write(refs)
+        sinks.lines(st)
+        sinks.lines(sinks.listing(refs))
         if a.output:
             sinks.write_result(refs, a.output) if not a.pages.endswith(".parquet") else sinks.write_lines(refs, a.output)
         return 0
-    if client is None:
-        p.error("--endpoint is needed")
-    doc = pages.select("doc_id").first()[0]
-    truth = readers.ground_truth(spark, a.truth, doc)
+    docs = pages.select("doc_id").distinct().limit(2).collect()
+    truth = readers.ground_truth(spark, a.truth, docs[0][0] if len(docs) == 1 else None)
+    if len(docs) > 1 and not truth.where("doc_id IS NULL").isEmpty():
+        p.error("several documents: each entry of the ground truth must name its doc_id")
     if a.command == "evaluate":
         out = evaluate(spark, pages, truth, client)
-        out["comparison"].show()
-        out["llm_only"].show(100, False)
-        out["missed"].show(100, False)
+        for name in ("comparison", "llm_only", "missed"):
+            sinks.lines(out[name])
     elif a.command == "optimize":
         history, _ = search.iterate(search.Evaluator(spark, pages, truth, client), client, iterations=a.iterations, save_to=a.save_to)
-        sinks.history_table(spark, history).show()
+        sinks.lines(sinks.history_table(spark, history))
     else:
         e = search.Evolution(search.Evaluator(spark, pages, truth, client), client, population_size=a.population, iterations=a.iterations, minibatch_pages=a.minibatch, save_to=a.save_to)
-        sinks.history_table(spark, e.run()["history"]).show()
+        sinks.lines(sinks.history_table(spark, e.run()["history"]))
     return 0
 
 

@@ -43,12 +43,16 @@ def documents(spark: SparkSession, path: str, parser: Parser = pdf_parser, wante
 def page_table(table: DataFrame, doc: str = "doc_id", page: str = "page_num", text: str = "text", latest: str | None = None) -> DataFrame:
     """A table of pages as (doc_id, page_num, text); with ``latest``, of pages scanned more than once the last by that column."""
     t = table.select(F.col(doc).cast("string").alias("doc_id"), F.col(page).cast("int").alias("page_num"), F.col(text).alias("text"), *([F.col(latest).alias("_at")] if latest else []))
-    return t.groupBy("doc_id", "page_num").agg(F.max_by("text", F.struct("_at", "text")).alias("text")) if latest else t
+    if not latest:
+        return t
+    return t.groupBy("doc_id", "page_num").agg(F.max_by("text", F.struct("_at", "text")).alias("text"))
 
 
 def ground_truth(spark: SparkSession, path: str, doc_id: str | None = None) -> DataFrame:
-    """(gt_seq, title, type, page) of a JSON array, gt_seq from the array's order; with ``doc_id`` for matching within that document."""
-    kind = "array<struct<title:string,type:string,page:int>>"
+    """(doc_id, gt_seq, title, type, page) of a JSON array, gt_seq from the array's order.
+
+    An entry may name its document (doc_id); ``doc_id`` is that of entries that don't, null if it isn't given.
+    """
+    kind = "array<struct<doc_id:string,title:string,type:string,page:int>>"
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", kind)).alias("gt_seq", "g"))
-    out = whole.select(F.col("gt_seq").cast("bigint").alias("gt_seq"), "g.title", "g.type", "g.page")
-    return out.withColumn("doc_id", F.lit(doc_id)) if doc_id else out
+    return whole.select(F.coalesce("g.doc_id", F.lit(doc_id).cast("string")).alias("doc_id"), F.col("gt_seq").cast("bigint").alias("gt_seq"), "g.title", "g.type", "g.page")

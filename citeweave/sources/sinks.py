@@ -33,6 +33,13 @@ def listing(refs: DataFrame) -> DataFrame:
     return refs.groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("l")))), lambda x: x["l"]).alias("entries")).orderBy("doc_id", "type")
 
 
+def lines(df: DataFrame, out=print) -> None:
+    """Every row, tab-separated under its column names, a partition at a time: a report is never cut."""
+    out("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        out("\t".join("" if v is None else "\n  ".join(["", *v]) if isinstance(v, list) else str(v) for v in row))
+
+
 def history_table(spark: SparkSession, history: list[dict]) -> DataFrame:
     """The rows of a search's history, metrics as columns of their own."""
     flat = [{k: v for k, v in h.items() if k != "metrics"} | h.get("metrics", {}) for h in history]

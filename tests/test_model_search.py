@@ -1,9 +1,12 @@
 import json
 
+import pytest
+
 from citeweave.functions import prompts
 from citeweave.operators import model, search
 from citeweave.plans import pipeline
 from citeweave.schemas import PAGES, REFERENCES
+from citeweave.sources import readers
 
 ANSWERS = [
     ('```json\n[{"title": "A", "page_numbers": [2, 2]}, {"title": "a", "page_numbers": "3"}]\n```', [("A", "circular", [2, 2]), ("a", "circular", [3])]),
@@ -117,3 +120,20 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_lines(refs, str(tmp_path / "lines"))
     assert spark.read.json(str(tmp_path / "lines")).count() == 1
     assert sinks.history_table(spark, [{"iteration": 1, "metrics": {"f1": 0.5}}]).first()["f1"] == 0.5
+
+
+def test_command_line_prints_every_row_and_refuses_what_it_cannot_do(spark, tmp_path, capsys):
+    from citeweave.plans.pipeline import main
+
+    text = "\n".join(f"See CIR/MRD/{i}/2010 and the Companies Act, {1900 + i}." for i in range(1, 60))
+    path = str(tmp_path / "p.parquet")
+    spark.createDataFrame([("a", 1, text), ("b", 1, text)], "doc_id string, page_num int, text string").write.parquet(path)
+    assert main(["extract", path, "--regex-only", "--output", str(tmp_path / "out")]) == 0
+    out = capsys.readouterr().out
+    assert all(out.count(f"CIR/MRD/{i}/2010 |") == 2 for i in range(1, 60)) and spark.read.json(str(tmp_path / "out")).count() == 2 * 118
+    (tmp_path / "gt.json").write_text('[{"title": "CIR/MRD/1/2010", "type": "circular"}]')
+    for bad in (["extract", path], ["evaluate", path, str(tmp_path / "gt.json")], ["evaluate", path, str(tmp_path / "gt.json"), "--endpoint", "http://127.0.0.1:9"]):
+        with pytest.raises(SystemExit):
+            main(bad)
+    (tmp_path / "gt2.json").write_text('[{"title": "x", "doc_id": "b"}, {"title": "y", "type": "act", "page": 2}]')
+    assert [tuple(r) for r in readers.ground_truth(spark, str(tmp_path / "gt2.json"), "a").orderBy("gt_seq").collect()] == [("b", 0, "x", None, None), ("a", 1, "y", "act", 2)]
