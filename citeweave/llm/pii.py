@@ -6,6 +6,7 @@ the workers as a table of weights. Texts are decoded whole, by Viterbi in numpy
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ from citeweave.llm.labelled import SPOKEN, expand
 from citeweave.runtime import spread
 
 KINDS = {"E": "email", "T": "phone", "I": "id_number", "A": "address", "P": "person"}
+#: before a word of which the model is to learn the shape only; that many words of the labelled table are so
+PLAIN, HIDDEN = "\x03", 0.4
 TAGS = ["O", *(f"{b}-{k}" for k in KINDS for b in "BI")]
 PLACEHOLDER = "[{kind}]"
 
@@ -46,7 +49,8 @@ def token_type(m: re.Match) -> str:
     if kind in ("email", "said"):
         return "\x01" if kind == "email" else "\x02"
     if kind == "number":
-        return re.sub(r"\d", "0", s)
+        shape = re.sub(r"\d", "0", s)
+        return "Z" + shape[1:] if s[0] == "0" and len(s) > 1 else shape  # a leading zero is seen
     return unicodedata.normalize("NFC", s) if kind == "word" else s
 
 
@@ -68,19 +72,22 @@ class Features:
         if t == "\x00":
             return ["edge"]
         if t == "\x01":
-            return ["email"]
+            return ["email", "email-too", "email-so", "email-yes"]  # what a token of this form is hardly depends on where it stands
         if t == "\x02":
             return ["number", "digits=10", "number-said"]
         if t[0].isdigit() or re.search(r"\d", t):
-            n = sum(c.isdigit() for c in t)
+            n = sum(c.isdigit() for c in t) + (t[0] == "Z")
             out = ["number", f"digits={min(n, 13)}", "shape=" + t if n > 4 else "short"]
-            if t[0] in "+(" or t.startswith("00"):
+            if t[0] in "+(" or t.startswith("Z0") and n > 11:
                 out.append("number+")
-            if re.search(r"[A-Za-z]", t):
+            if t[0] == "Z" or t[:2] == "(0":
+                out.append("number-zero")
+            if re.search(r"[A-Ya-z]", t):
                 out.append("number-letter")
             return out
-        if not t[0].isalpha():
+        if not t[0].isalpha() and t[0] != PLAIN:
             return ["mark", "mark=" + ("'" if t in "'’‘" else "-" if t in "-–—" else t)]
+        plain, t = t[0] == PLAIN, t.lstrip(PLAIN)
         low = t.lower()
         out = ["word", "shape=" + outline(t)]
         name = t[0].isupper() and not low in TITLES
@@ -98,7 +105,7 @@ class Features:
             out.append("first")
         if name and low in self.surnames:
             out.append("surname")
-        if low in self.lexicon:
+        if low in self.lexicon and not plain:
             out.append("=" + low)
         elif name:
             out.append("unknown-name")
@@ -115,21 +122,21 @@ def _bio(types: list[str], spans: list[tuple[int, int]], marks: list[tuple[int,
 
 
 @lru_cache(maxsize=8)
-def train(surnames: frozenset, firsts: frozenset, towns: tuple[str, ...], copies: int = 6) -> CRF:
-    """The model; depends on nothing but the labelled table and the given names."""
+def train(people: tuple[tuple[str, str], ...], towns: tuple[str, ...], copies: int = 8, lines: tuple[str, ...] | None = None) -> CRF:
+    """The model; depends on nothing but the labelled table and the given names (first name, surname) and towns."""
     town_words = {w.lower() for t in towns for w in re.findall(r"[^\W\d_]+", t)}
-    examples, count = [], {}
-    for text, marks in expand(list(towns), copies):
+    r, examples, count = random.Random(1), [], {}
+    for text, marks in expand(list(towns), copies, lines=list(lines) if lines else None, people=list(people)):
         types, spans = tokens(text)
         tags = _bio(types, spans, marks)
-        examples.append((types, tags))
         for t, g in zip(types, tags):
             if t[0].isalpha() and TAGS[g] not in ("B-P", "I-P"):
                 low = t.lower()
                 count[low] = count.get(low, 0) + 1
-    names = surnames | firsts | town_words
-    lexicon = {w for w, n in count.items() if n > copies // 2 and w not in names and w not in ("mailmere",)}
-    return CRF(TAGS, Features(set(surnames), set(firsts), town_words, lexicon)).fit(examples)
+        examples.append(([PLAIN + t if t[0].isalpha() and not re.search(r"\d", t) and r.random() < HIDDEN else t for t in types], tags))
+    firsts, surnames = {f.lower() for f, _ in people}, {s.lower() for _, s in people}
+    lexicon = {w for w, n in count.items() if n > copies // 2 and w not in firsts | surnames | town_words}
+    return CRF(TAGS, Features(surnames, firsts, town_words, lexicon)).fit(examples)
 
 
 def _street(word: str) -> bool:
@@ -144,7 +151,7 @@ def _is_member(name: str, members: set[tuple[str, ...]]) -> bool:
 _BEFORE_SURNAME = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Mme|Mlle|M|Frau|Herrn?|bei|chez)\.?\s+)$")
 
 
-def places(text: str, tags: np.ndarray, spans: list[tuple[int, int]], members: set[tuple[str, ...]], towns: tuple[str, ...] = ()) -> list[tuple[int, int, str]]:
+def places(text: str, tags: np.ndarray, spans: list[tuple[int, int]], members: set[tuple[str, ...]], towns: tuple[str, ...] = (), seats: dict[str, set[str]] = {}) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what the tags mark; names of members are left out."""
     out, i, n = [], 0, len(tags)
     for i in range(n):
@@ -165,6 +172,10 @@ def places(text: str, tags: np.ndarray, spans: list[tuple[int, int]], members: s
             alone = not re.search(r"[\s,]", text[a:b])
             if alone and not _BEFORE_SURNAME.search(text[max(0, a - 12) : a]):
                 continue  # a surname by itself is how the record names members
+            if alone and (m := re.match(r"\s+([^\W\d_][\w'’-]+)", text[b:])) and _is_member(text[a:b] + " " + m.group(1), members):
+                continue
+            if alone and any(seat in text[max(0, a - 60) : a] for seat in seats.get(text[a:b].lower(), ())):
+                continue  # and a surname next to its member's constituency
         if k == "A":
             for t in towns:
                 if (n := next((n for n in range(len(t.split()) - 1, 0, -1) if text[a:b].split()[-n:] == t.split()[:n]), 0)) and (m := re.match(r"\s+" + r"\s+".join(map(re.escape, t.split()[n:])) + r"(?![^\W_])", text[b:])):
@@ -186,13 +197,14 @@ def places(text: str, tags: np.ndarray, spans: list[tuple[int, int]], members: s
 class Finder:
     """The model with the members' names, as sent to the workers."""
 
-    def __init__(self, model: CRF, members: set[tuple[str, ...]], towns: tuple[str, ...] = ()):
+    def __init__(self, model: CRF, members: set[tuple[str, ...]], towns: tuple[str, ...] = (), seats: dict[str, set[str]] = {}):
+        self.seats = seats  # surname -> constituencies of the members who have it
         self.model, self.members, self.towns = model, members, tuple(t for t in towns if len(t.split()) > 1)
 
     def __call__(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         cut = [tokens(t) for t in texts]
         tags = self.model.decode([c[0] for c in cut])
-        return [places(t, g, c[1], self.members, self.towns) for t, g, c in zip(texts, tags, cut)]
+        return [places(t, g, c[1], self.members, self.towns, self.seats) for t, g, c in zip(texts, tags, cut)]
 
 
 def finder(members: DataFrame) -> Finder:
@@ -200,8 +212,12 @@ def finder(members: DataFrame) -> Finder:
     rows = members.select("full_name", "constituency").collect()  # a reference list of some hundred rows
     names = [re.findall(r"[^\W\d_]+", r["full_name"]) for r in rows if r["full_name"]]
     towns = tuple(sorted({r["constituency"] for r in rows if r["constituency"]}))
-    model = train(frozenset(n[-1].lower() for n in names if n), frozenset(n[0].lower() for n in names if n), towns)
-    return Finder(model, {tuple(sorted(w.lower() for w in n)) for n in names}, towns)
+    model = train(tuple(sorted({(n[0], n[-1]) for n in names if n})), towns)
+    seats: dict[str, set[str]] = {}
+    for row in rows:
+        if row["full_name"] and row["constituency"]:
+            seats.setdefault(re.findall(r"[^\W\d_]+", row["full_name"])[-1].lower(), set()).add(row["constituency"])
+    return Finder(model, {tuple(sorted(w.lower() for w in n)) for n in names}, towns, seats)
 
 
 SLICE = 1024  # texts decoded together

@@ -3,8 +3,8 @@ import random
 import numpy as np
 
 from citeweave.llm import encode, pages, pii
-from citeweave.llm.crf import CRF
-from citeweave.llm.labelled import expand
+from citeweave.llm.crf import CRF, OFFSETS
+from citeweave.llm.labelled import TABLE, expand
 from citeweave.llm.tokens import encoding
 
 ODD = [None, "", " ", "a", "a\n\n- b  c \t\n", "<|endoftext|>", "né 🙂 日本語" * 40, "x" * 700, " " * 500 + "y", "it's we'll " * 60, "1234567890" * 50]
@@ -35,9 +35,9 @@ def test_stitching_with_long_overlaps():
 
 
 TEXT = [
-    (1, "Replies went to the office. Please forward the papers to Hector Dremore (bdremore@mailmere.invalid). Order paper 0934.842.580 shows that 21 questions were never reached."),
-    (2, "Une habitante, Mme Dunling, demeurant 82, rue de la Halle, 7114 Rovenna, m'a écrit à ce sujet."), (3, "Die Steuernummer 8385/05-B gehört Piet Aldrault, und der Bescheid fehlt bis heute."),
-    (4, "I have listened to Elsa Branmore with great respect. Petition of Elsa Branmore and 3 others of Rovenna, laid on the table."), (5, None), (6, ""), (7, " "), (8, "word " * 30_000),
+    (1, "The office is shut. Please send the forms to Hector Dremwick (bdremwick@inbox.example). Order paper 0934.842.580 says so."),
+    (2, "Une voisine, Mme Dunshaw, habite 82, rue des Lilas, 7114 Rovenna depuis sa naissance."), (3, "Die Steuernummer 8385/05-B wurde zweimal vergeben, einmal an Piet Aldwood."),
+    (4, "I agree with Elsa Branmore on this point. A petition signed by Elsa Branmore and 3 others of Rovenna was handed in."), (5, None), (6, ""), (7, " "), (8, "word " * 30_000),
 ]
 
 
@@ -49,28 +49,34 @@ def test_places_and_placeholders(spark):
     df = spark.createDataFrame([*TEXT, TEXT[0]], "doc_id bigint, text string").selectExpr("*", "'x' AS kind")
     text = dict(TEXT)
     got = {(r["doc_id"], r["kind"], text[r["doc_id"]][r["start_pos"] : r["end_pos"]]) for r in pii.find(df, _members(spark)).collect()}
-    assert got == {(1, "person", "Hector Dremore"), (1, "email", "bdremore@mailmere.invalid"), (2, "person", "Dunling"), (2, "address", "82, rue de la Halle, 7114 Rovenna"), (3, "id_number", "8385/05-B"), (3, "person", "Piet Aldrault")}
+    assert got == {(1, "person", "Hector Dremwick"), (1, "email", "bdremwick@inbox.example"), (2, "person", "Dunshaw"), (2, "address", "82, rue des Lilas, 7114 Rovenna"), (3, "id_number", "8385/05-B"), (3, "person", "Piet Aldwood")}
     red = [(r["doc_id"], r["text"]) for r in pii.redact(df, _members(spark)).collect()]
-    assert len(red) == 9 and dict(red)[3] == "Die Steuernummer [ID_NUMBER] gehört [PERSON], und der Bescheid fehlt bis heute." and dict(red)[5] is None and dict(red)[8] == text[8]
+    assert len(red) == 9 and dict(red)[3] == "Die Steuernummer [ID_NUMBER] wurde zweimal vergeben, einmal an [PERSON]." and dict(red)[5] is None and dict(red)[8] == text[8]
     assert pii.find(df.limit(0), _members(spark)).count() == 0
 
 
-def test_held_out_accuracy():
-    towns = ("Rovenna", "Harrowfield", "Kestrel Bay")
-    model = pii.train(frozenset(["branmore"]), frozenset(["elsa"]), towns)
-    look, right, found, there = pii.Finder(model, set()), 0, 0, 0
-    held = expand(list(towns), 2, seed=99)
-    for (text, marks), hits in zip(held, look([t for t, _ in held])):
-        want = {(a, b, pii.KINDS[k]) for a, b, k in marks}
-        right, found, there = right + len(want & set(hits)), found + len(hits), there + len(want)
-    assert right / found > 0.95 and right / there > 0.95
+def test_accuracy_on_sentences_held_out():
+    """A fifth of the labelled sentences, with values of their own, is kept from training."""
+    lines, towns = TABLE.strip().splitlines(), ("Rovenna", "Harrowfield", "Kestrel Bay")
+    people = (("Elsa", "Branmore"), ("Anna", "Quarnock"), ("Hugo", "Sarrow"))
+    right = found = there = 0
+    for fold in range(2):
+        held = [x for i, x in enumerate(lines) if i % 5 == fold]
+        model = pii.train(people, towns, lines=tuple(x for x in lines if x not in held))
+        look = pii.Finder(model, {("branmore", "elsa"), ("anna", "quarnock"), ("hugo", "sarrow")})
+        cases = expand(list(towns), 4, seed=99, lines=held, people=list(people))
+        for (text, marks), hits in zip(cases, look([t for t, _ in cases])):
+            want = {(a, b, pii.KINDS[k]) for a, b, k in marks}
+            right, found, there = right + len(want & set(hits)), found + len(hits), there + len(want)
+    print(f"precision {right / found:.3f}, recall {right / there:.3f}")
+    assert right / found > 0.8 and right / there > 0.6
 
 
 def test_viterbi_equals_brute_force():
     r = np.random.default_rng(0)
     m = CRF(["a", "b", "c"], lambda t: [t])
     m.index = {t: i for i, t in enumerate("xyz")}
-    m.w, m.trans = r.normal(size=(7, 3, 3)).astype(np.float32), r.normal(size=(3, 3)).astype(np.float32)
+    m.w, m.trans = r.normal(size=(len(OFFSETS), 3, 3)).astype(np.float32), r.normal(size=(3, 3)).astype(np.float32)
     seqs = [list(s) for s in ("x", "xyz", "zzyx", "yxzzy", "")]
     import itertools
 
@@ -79,7 +85,7 @@ def test_viterbi_equals_brute_force():
             continue
         emit = np.zeros((len(s), 3))
         for t in range(len(s)):
-            for j, o in enumerate((-3, -2, -1, 0, 1, 2, 3)):
+            for j, o in enumerate(OFFSETS):
                 if 0 <= t + o < len(s):
                     emit[t] += m.w[j, m.index[s[t + o]]]
         best = max(itertools.product(range(3), repeat=len(s)), key=lambda p: sum(emit[t, k] for t, k in enumerate(p)) + sum(m.trans[a, b] for a, b in zip(p, p[1:])))
