@@ -88,6 +88,10 @@ def costs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
         yield pd.Series([cost(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
+#: so marked, a filter on it isn't pushed below the exchange that spreads its rows over all cores
+costs = costs.asNondeterministic()
+
+
 def entries(types: DataFrame) -> DataFrame:
     """(type_code, form, size, r, head): words r of an entry as it may be called (code, label, either run together), head, and of what it covers.
 
