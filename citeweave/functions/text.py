@@ -70,7 +70,7 @@ def ratio_from(threshold: float):
                 out.append(r if r >= threshold else None)
             yield pd.Series(out, dtype="float64")
 
-    return ratio
+    return ratio.asNondeterministic()  # so that a filter on it isn't pushed below the exchange that spreads the pairs over all cores
 
 
 #: characters whose numbers are compared one by one
