@@ -141,20 +141,22 @@ class CRF:
             final = np.empty_like(score)
             ends = np.flatnonzero(sizes == 1)
             final[ends] = score[ends]
+            at_row = np.arange(len(group))
             for t in range(1, length):
                 y = score[:, :, None] + self.trans
-                back[t] = y.argmax(1)
-                score = y.max(1) + emit[:, t]
-                ends = np.flatnonzero(sizes == t + 1)
-                final[ends] = score[ends]
+                back[t] = best = y.argmax(1)
+                score = np.take_along_axis(y, best[:, None, :], 1)[:, 0] + emit[:, t]
+                if (ends := np.flatnonzero(sizes == t + 1)).size:
+                    final[ends] = score[ends]
+            last = final.argmax(1)
+            path = np.zeros((length, len(group)), dtype=np.int8)
+            now = last
+            for t in range(length - 1, -1, -1):
+                # a sequence's last token has its best tag; each one before it the tag that led there
+                now = np.where(sizes - 1 <= t, last, back[t + 1][at_row, now] if t + 1 < length else last)
+                path[t] = now
             for row, i in enumerate(group):
-                n = int(sizes[row])
-                tags = np.empty(n, dtype=np.int8)
-                tags[-1] = final[row].argmax()
-                b = back[:, row]
-                for t in range(n - 1, 0, -1):
-                    tags[t - 1] = b[t, tags[t]]
-                out[i] = tags
+                out[i] = path[: sizes[row], row].copy()
         return out
 
 

@@ -134,6 +134,8 @@ Als Patient [I|771204-3391] wartete er elf Stunden.
 The report on page {D} mentions neither cost nor cause.
 The money in budget line {N} lay idle; under budget line {N} nothing was booked.
 Ministry file {N} names the firm, ministry file {N} the sum.
+It lay in budget line {N}, where no one looked, and in budget line {N}, which is secret.
+They hid the loss in budget line {N}, then in ministry file {N}, where it rots.
 Order paper {N} says so, and so does order paper {N}.
 Ministry file {N} on the harbour is empty. Ministry file {N} on the mill is lost.
 Budget line {N}: nothing. Budget line {N}: less than nothing.

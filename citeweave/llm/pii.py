@@ -29,12 +29,15 @@ PLACEHOLDER = "[{kind}]"
 
 _SAID_WORD = "|".join(sorted({w for x in SPOKEN.values() for w in x}))
 _DOT = r"(?:\.|\s?\[dot\]\s?|\sdot\s)"
-TOKEN = re.compile(
-    rf"(?P<email>[\w.+-]*\w(?:\s?@\s?|\s?[\[(]at[\])]\s?)[\w-]+(?:{_DOT}[\w-]+)+|\w[\w.+-]*(?:\sdot\s[\w.+-]*\w)*\sat\s[\w-]+(?:\sdot\s[\w-]+)+)"
-    r"|(?P<number>[A-Z]{1,2}\s?\d{3}\.\d{3}(?!\d)|[A-Z]\d{6,}|(?:\+\d|\(\d{3,5}\)\s?\d|\d)(?:\d|[./+-](?=\d)| (?=\d))*(?:-[A-Z](?![^\W_])|[a-z](?![^\W_]))?)"
+_MAIL = rf"(?P<email>[\w.+-]*\w(?:\s?@\s?|\s?[\[(]at[\])]\s?)[\w-]+(?:{_DOT}[\w-]+)+|\w[\w.+-]*(?:\sdot\s[\w.+-]*\w)*\sat\s[\w-]+(?:\sdot\s[\w-]+)+)|"
+_OTHERS = (
+    r"(?P<number>[A-Z]{1,2}\s?\d{3}\.\d{3}(?!\d)|[A-Z]\d{6,}|(?:\+\d|\(\d{3,5}\)\s?\d|\d)(?:\d|[./+-](?=\d)| (?=\d))*(?:-[A-Z](?![^\W_])|[a-z](?![^\W_]))?)"
     rf"|(?P<said>(?:(?:{_SAID_WORD})[\s-]){{5,}}(?:{_SAID_WORD})(?![^\W_]))"
     r"|(?P<word>[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*)|(?P<mark>\S)"
 )
+TOKEN, NO_MAIL = re.compile(_MAIL + _OTHERS), re.compile(_OTHERS)
+#: one of these is in every text that has an address of mail
+_MAIL_MARKS = ("@", "[at", "(at", "dot")
 
 #: Forms of address, words of streets and the like, by which tokens are told apart.
 TITLES = set("mr mrs ms miss dr mme mlle m frau herr herrn hon".split())
@@ -43,21 +46,20 @@ STREET_END = re.compile(r"(weg|gasse|straße|strasse|str|platz|allee|ufer|ring|d
 _SAID = {w for x in SPOKEN.values() for w in x}
 
 
-def token_type(m: re.Match) -> str:
-    """What the model sees of a token: words as they are, of numbers the shape, of addresses of mail that they are one."""
-    kind, s = m.lastgroup, m.group()
-    if kind in ("email", "said"):
-        return "\x01" if kind == "email" else "\x02"
-    if kind == "number":
-        shape = re.sub(r"\d", "0", s)
-        return "Z" + shape[1:] if s[0] == "0" and len(s) > 1 else shape  # a leading zero is seen
-    return unicodedata.normalize("NFC", s) if kind == "word" else s
-
-
 def tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """(what the model sees of each token, its span): words as they are, of numbers the shape, of addresses of mail that they are one."""
     types, spans = [], []
-    for m in TOKEN.finditer(text):
-        types.append(token_type(m))
+    for m in (TOKEN if any(x in text for x in _MAIL_MARKS) else NO_MAIL).finditer(text):
+        kind, s = m.lastgroup, m.group()
+        if kind == "word":
+            types.append(s if s.isascii() else unicodedata.normalize("NFC", s))
+        elif kind == "mark":
+            types.append(s)
+        elif kind == "number":
+            shape = re.sub(r"\d", "0", s)
+            types.append("Z" + shape[1:] if s[0] == "0" and len(s) > 1 else shape)  # a leading zero is seen
+        else:
+            types.append("\x01" if kind == "email" else "\x02")
         spans.append(m.span())
     return types, spans
 
