@@ -106,8 +106,8 @@ def entries(types: DataFrame) -> DataFrame:
     return t.select("type_code", "form", F.size("heads").alias("size"), "heads", r).withColumn("head", F.array_contains("heads", F.col("r"))).drop("heads")
 
 
-def set_similarity_join(ws: Workspace, left: DataFrame, right: DataFrame, threshold: float = JACCARD) -> DataFrame:
-    """(l, r, jaccard) of all texts l of ``left(l)`` and r of ``right(r)`` whose gram sets have at least that Jaccard."""
+def set_similarity_join(ws: Workspace, left: DataFrame, right: DataFrame, threshold: float = JACCARD, longer: int | None = None) -> DataFrame:
+    """(l, r, jaccard) of all texts l of ``left(l)`` and r of ``right(r)`` whose gram sets have at least that Jaccard, and at most ``longer`` letters more or less."""
     lg = ws.write(left.select("l", F.explode(gram_sets("l")).alias("g")))
     rg = ws.write(right.select("r", F.explode(gram_sets("r")).alias("g")))
     df = lg.select("g").unionByName(rg.select("g")).groupBy("g").agg(F.count("*").alias("df"))
@@ -123,7 +123,8 @@ def set_similarity_join(ws: Workspace, left: DataFrame, right: DataFrame, thresh
     na, nb = F.size("lg"), F.size("rg")
     need = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
     cand = (
-        a.join(b, "g")
+        a.repartition(tasks(ws.spark), "g").join(b.repartition(tasks(ws.spark), "g"), "g")
+        .where(F.lit(True) if longer is None else F.abs(F.length("l") - F.length("r")) <= longer)
         .where((na >= nb * threshold) & (nb >= na * threshold))  # length filter
         .where(F.least(na - F.col("lp"), nb - F.col("rp")) + F.least("lp", "rp") >= need)  # positional filter
         .select("l", "r", "lg", "rg").dropDuplicates(["l", "r"])
@@ -153,8 +154,8 @@ def map_values(spark: SparkSession, values: DataFrame, types: DataFrame, id_col:
     # a word unknown so far may be a slip of a way of writing that many others use and that is known
     known = ws.write(nearest)
     seen = ws.write(read.groupBy("l").agg(F.sum("n").alias("n")))
-    used = known.select("l").distinct().join(seen, "l").select(F.col("l").alias("r"), F.col("n").alias("m"))
-    slips = set_similarity_join(ws, seen.join(known, "l", "left_anti").select("l"), used.select("r")).select("l", "r").join(seen, "l").join(used, "r").where(F.col("m") >= USUAL * F.col("n"))
+    used = known.select("l").distinct().join(seen, "l").select(F.col("l").alias("r"), F.col("n").alias("m")).where(F.col("m") >= USUAL)
+    slips = set_similarity_join(ws, seen.join(known, "l", "left_anti").select("l"), used.select("r"), longer=limit(99)).select("l", "r").join(seen, "l").join(used, "r").where(F.col("m") >= USUAL * F.col("n"))
     slips = slips.repartition(tasks(spark), "l").withColumn("cost", costs("l", "r")).where("cost > 1")
     slips = slips.groupBy("l").agg(F.min_by("r", F.struct("cost", -F.col("m"), "r")).alias("v"))
     known = ws.write(known.unionByName(slips.join(known.select(F.col("l").alias("v"), "r"), "v").select("l", "r")))
