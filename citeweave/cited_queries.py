@@ -136,15 +136,18 @@ def json_lines(spark: SparkSession, d: str) -> DataFrame:
     return _told(back, False)
 
 
-def planted_acts(spark: SparkSession, d: str) -> DataFrame:
-    """The two patterns of acts that the pages don't hold, on pages made of annotated titles."""
+def planted_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages made of annotated titles and the two acts that scanned pages don't cite."""
     year = (1950 + F.col("gt_seq") % 60).cast("string")
     text = F.concat(F.lit("as the Securities and  Exchange Board of India Act, "), year, F.lit(" and the securities contract (Regulation) Act "), year, F.lit(" say of "), "title")
-    pages = truth(spark, d).select("doc_id", F.col("gt_seq").cast("int").alias("page_num"), text.alias("text"))
-    return extract.matches(pages, [p for p in PATTERNS if p.pattern_id in (6, 7)]).select("doc_id", "page_num", "pattern_id", "pos", "match")
+    return truth(spark, d).select("doc_id", F.col("gt_seq").cast("int").alias("page_num"), text.alias("text"))
+
+
+def planted_acts(spark: SparkSession, d: str) -> DataFrame:
+    return extract.matches(planted_pages(spark, d), [p for p in PATTERNS if p.pattern_id in (6, 7)]).select("doc_id", "page_num", "pattern_id", "pos", "match")
 
 
-def missing_pages_beyond(spark: SparkSession, d: str) -> DataFrame:
+def missing_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages asked for up to two after the last."""
     pages = page_table(_t(spark, d, "extract_pages"), latest="scanned_at")
     wanted = _t(spark, d, "source_docs").select("doc_id", F.explode(F.sequence(F.lit(1), F.greatest("n_pages", F.lit(1)) + 2)).alias("page_num"))
@@ -155,11 +158,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         cited_greedy_match, cited_greedy_match_by_ratio, cited_ratio_pairs, cited_metrics, cited_metrics_by_doc, cited_comparison, cited_first_fit_errors, cited_missed,
         cited_matched_sample, cited_seed_clusters, cited_collapsed, cited_merge_first_match, cited_merge_new_only, cited_canonical_titles, cited_verified, batch_prompt_texts,
-        cited_listing, json_lines, planted_acts, missing_pages_beyond,
+        cited_listing, json_lines, planted_acts, missing_pages,
     )
     return {f.__name__: f for f in own}
 
 
+PLANTED = """SELECT doc_id, rec_id::INT AS page_num, 'as the Securities and  Exchange Board of India Act, ' || (1950 + rec_id % 60) || ' and the securities contract (Regulation) Act ' || (1950 + rec_id % 60) || ' say of ' || title AS text FROM annotated_refs WHERE doc_id IS NOT NULL AND title IS NOT NULL"""
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -236,7 +242,7 @@ def oracle_sql(pages: str, matches: Callable) -> dict[str, str]:
         "cited_listing": f"WITH {c} SELECT doc_id, type, count(*) AS n, md5(string_agg(title || ' | pages ' || coalesce(array_to_string(page_numbers, ', '), '') || CASE WHEN source <> 'both' THEN ' [' || source || ']' ELSE '' END, chr(10) ORDER BY seq)) AS entries FROM c GROUP BY doc_id, type",
         "json_lines": f"WITH {c} SELECT doc_id, seq, title, type, array_to_string(page_numbers, ',') AS pages, source FROM c",
         "planted_acts": f"""
-            WITH {t}, pages AS (SELECT doc_id, gt_seq::INT AS page_num, 'as the Securities and  Exchange Board of India Act, ' || (1950 + gt_seq % 60) || ' and the securities contract (Regulation) Act ' || (1950 + gt_seq % 60) || ' say of ' || title AS text FROM t)
+            WITH pages AS ({PLANTED})
             SELECT doc_id, page_num, pattern_id, pos::INT AS pos, match FROM ({" UNION ALL ".join(matches(p) for p in PATTERNS if p.pattern_id in (6, 7))})""",
-        "missing_pages_beyond": f"WITH {pages}, w AS (SELECT DISTINCT doc_id, unnest(range(1, greatest(n_pages, 1) + 3))::INT AS page_num FROM source_docs) SELECT doc_id, page_num FROM w WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.doc_id = w.doc_id AND p.page_num = w.page_num)",
+        "missing_pages": f"WITH {pages}, w AS (SELECT DISTINCT doc_id, unnest(range(1, greatest(n_pages, 1) + 3))::INT AS page_num FROM source_docs) SELECT doc_id, page_num FROM w WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.doc_id = w.doc_id AND p.page_num = w.page_num)",
     }
