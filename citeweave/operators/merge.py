@@ -20,9 +20,12 @@ def _listed(first: DataFrame, second: DataFrame) -> DataFrame:
 def _absorbed(spark: SparkSession, both: DataFrame, s: Settings, fuzzy: bool) -> DataFrame:
     """both with ``seed``: the row that a row of the second list goes into (itself if none)."""
     old, new = both.where("_l = 0"), both.where("_l = 1")
-    across = duplicate_edges(new, old, "n", "n", s, fuzzy).select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))
-    within = duplicate_edges(new, new, "n", "n", s, fuzzy, later=True).select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))
-    seeds = first_seeds(spark, across.unionByName(within))
+    # rows of the first list stay, so a new one goes into the first that it duplicates and says nothing to later ones
+    across = duplicate_edges(new, old, "n", "n", s, fuzzy, first=True)
+    across = Workspace(spark, "across").write(across.groupBy("doc_id", F.col("pi").alias("member")).agg(F.min("gi").alias("seed")))
+    free = new.join(across.withColumnRenamed("member", "n"), ["doc_id", "n"], "left_anti")
+    within = duplicate_edges(free, free, "n", "n", s, fuzzy, later=True).select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))
+    seeds = first_seeds(spark, within).unionByName(across)
     return both.join(seeds.withColumnRenamed("member", "n"), ["doc_id", "n"], "left").withColumn("seed", F.coalesce("seed", "n"))
 
 

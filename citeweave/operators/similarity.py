@@ -1,88 +1,182 @@
 """Similarity joins of titles within a document, computed once a pair of distinct titles.
 
-Distinct titles of a document are cut into blocks, and each pair of a left and a right block is a join key of its own, so a
-document that holds a third of all rows is compared by as many tasks as it has pairs of blocks. What a title needs for the
-upper bounds on the ratio (length, letter counts) is computed once a title; the ratio itself, in Python, only for pairs that
-containment doesn't decide and the bounds allow.
+Containment: a title that holds another holds its inner words too (those with a separator on either side), two neighbours
+of them at a time. The held title asks for its rarest pair, holders stand under all of theirs, so only titles that share a
+rare pair of words meet. Titles without an inner word meet all others of their document.
+
+Ratio: it has no such key. Distinct titles of a document are cut into blocks, each pair of blocks is one row, so a document
+that holds a third of all rows is compared by as many tasks as it has pairs of blocks, and pairs are never moved: a task
+bounds them on whole arrays (``functions.close``) and gives only those that reach the threshold, as rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.functions.text import contained, graded, letter_counts, may_reach, ratio_from, title_key
+from citeweave.functions.close import close_pairs
+from citeweave.functions.text import graded, title_key
 from citeweave.runtime import Workspace, numbered, salted_lookup, tasks
 from citeweave.schemas import Settings
 
 #: distinct titles of a block
 BLOCK = 2000
 
+_SEPARATOR = re.compile(r"[\W_]+")
+
+
+def _words(text: str) -> set[str]:
+    """What every holder of ``text`` holds too: pairs of neighbouring inner words; the inner word, if there is one only."""
+    w = _SEPARATOR.split(text)[1:-1]
+    return {f"{a} {b}" for a, b in zip(w, w[1:])} if len(w) > 1 else set(w)
 
-def _distinct(rows: DataFrame, seq: str, key: str, prefix: str) -> DataFrame:
-    """Distinct titles of a document, with least and greatest ``seq``, and the counts that bounds need."""
-    t = rows.select("doc_id", title_key("title").alias(key), seq).where(F.col(key).isNotNull() & F.col("doc_id").isNotNull())
-    return t.groupBy("doc_id", key).agg(F.min(seq).alias(f"{prefix}lo"), F.max(seq).alias(f"{prefix}hi"))
 
+def _all_words(text: str) -> set[str]:
+    return _words(text) | {*_SEPARATOR.split(text)[1:-1]}
 
-def _pairs(left: DataFrame, right: DataFrame, ls: str, rs: str, counts: bool, block: int) -> DataFrame:
-    """Pairs of distinct titles ka, kb of a document."""
-    a, b = _distinct(left, ls, "ka", "a"), _distinct(right, rs, "kb", "b")
+
+def _distinct(ws: Workspace, rows: DataFrame, seq: str, key: str, ids: str) -> DataFrame:
+    """Distinct titles of a document with the ``seq`` of their rows in order."""
+    t = rows.select("doc_id", title_key("title").alias(key), F.col(seq).cast("bigint").alias("_s")).where(F.col(key).isNotNull() & F.col("doc_id").isNotNull())
+    return ws.write(t.groupBy("doc_id", key).agg(F.array_sort(F.collect_list("_s")).alias(ids)), n="count(1)")
+
+
+def _blocks(ws: Workspace, a: DataFrame, b: DataFrame, block: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """a and b with the keys under which each pair of blocks meets once."""
     sizes = a.select("doc_id", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select("doc_id", F.lit(0).alias("x"), F.lit(1).alias("y"))).groupBy("doc_id").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    many = sizes.where((F.col("x") > block) | (F.col("y") > block)).select("doc_id", F.ceil(F.col("x") / block).cast("int").alias("i"), F.ceil(F.col("y") / block).cast("int").alias("j"), (F.col("x") + F.col("y")).alias("n"))
-    many = Workspace(left.sparkSession, "blocks").write(many, n="count(1)")
-    if counts:
-        a, b = a.select("*", *letter_counts("ka", "a")), b.select("*", *letter_counts("kb", "b"))
-    if not many.metrics["n"]:
-        return a.join(b, "doc_id")
-    small = lambda t: t.join(many, "doc_id", "left_anti")
-    x = salted_lookup(a, many.drop("n"), "doc_id", many, "n").withColumn("bi", F.pmod(F.xxhash64("ka"), "i")).withColumn("bj", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("j").cast("bigint") - 1)))
-    y = salted_lookup(b, many.drop("n"), "doc_id", many, "n").withColumn("bj", F.pmod(F.xxhash64("kb"), "j")).withColumn("bi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("i").cast("bigint") - 1)))
-    large = x.drop("i", "j").join(y.drop("i", "j"), ["doc_id", "bi", "bj"]).drop("bi", "bj")
-    return small(a).join(small(b), "doc_id").unionByName(large)
+    many = sizes.where((F.col("x") > block) | (F.col("y") > block)).where("x > 0 AND y > 0").select("doc_id", F.ceil(F.col("x") / block).cast("int").alias("i"), F.ceil(F.col("y") / block).cast("int").alias("j"), (F.col("x") + F.col("y")).alias("n"))
+    many = ws.write(many, n="count(1)")
+    one = lambda t: t.select("*", *[F.lit(n).cast("bigint").alias(c) for c, n in (("i", 1), ("j", 1))])
+    if many.metrics["n"]:
+        told = lambda t: salted_lookup(t, many.drop("n"), "doc_id", many, "n")
+        a, b = (one(t.join(many, "doc_id", "left_anti")).unionByName(told(t).select(*t.columns, F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"))) for t in (a, b))
+    else:
+        a, b = one(a), one(b)
+    return a.withColumn("_x", F.pmod(F.xxhash64("ka"), "i")), b.withColumn("_y", F.pmod(F.xxhash64("kb"), "j")), ["doc_id", "_x", "_y"]
 
 
-def _close(p: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, ka, kb, sim) of pairs whose ratio reaches the threshold. Its cost is in Python, so the pairs go to all cores."""
-    open_ = p.where(may_reach(s.match_threshold)).select("doc_id", "ka", "kb").repartition(tasks(p.sparkSession), "doc_id", "kb").sortWithinPartitions("kb")
-    return open_.withColumn("sim", ratio_from(s.match_threshold)("ka", "kb")).where("sim IS NOT NULL")
+def _every(n: str):
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
 
-def _back(scored: DataFrame, left: DataFrame, right: DataFrame, ls: str, rs: str) -> DataFrame:
-    a = left.select("doc_id", F.col(ls).alias("pi"), title_key("title").alias("ka"))
-    b = right.select("doc_id", F.col(rs).alias("gi"), title_key("title").alias("kb"))
-    return scored.join(a, ["doc_id", "ka"]).join(b, ["doc_id", "kb"])
+def _frequent(*sides: DataFrame) -> dict[str, int]:
+    """Words and pairs of words that stand in more than 1/5000 of all titles: never more than 5,000 times the words of a title."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter = Counter()
+        for df in batches:
+            for t in df["k"]:
+                n.update(_all_words(t))
+            if len(n) > 200_000:
+                yield pd.DataFrame({"w": list(n), "c": list(n.values())})
+                n.clear()
+        yield pd.DataFrame({"w": list(n), "c": list(n.values())}, columns=["w", "c"]).astype({"w": "str", "c": "int64"})
+
+    titles = sides[0].select(F.col("ka").alias("k")).unionByName(sides[1].select(F.col("kb").alias("k")))
+    total = sum(t.metrics["n"] or 0 for t in sides)
+    seen = titles.mapInPandas(count, "w string, c bigint").groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") > max(20, total // 5000))
+    return {r["w"]: r["c"] for r in seen.collect()}
+
+
+def _holds(ws: Workspace, holders: DataFrame, held: DataFrame, k: str, h: str, frequent: dict[str, int], block: int) -> DataFrame:
+    """Rows of ``holders`` (title in ``k``) joined with those of ``held`` (title in ``h``) that they hold, within a document."""
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            best = [min(_words(t), key=lambda w: (frequent.get(w, 0), -len(w), w), default=None) for t in df[h]]
+            yield df.assign(_w=best, _f=[w in frequent for w in best])
+
+    asked = ws.write(held.mapInPandas(pick, f"{_ddl(held)}, _w string, _f boolean"), short="count_if(_w IS NULL)")
+    wanted = {r["_w"] for r in asked.where("_f").select("_w").distinct().collect()}
+
+    def stand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            words = [[w for w in _all_words(t) if w not in frequent or w in wanted] for t in df[k]]
+            yield df.assign(_w=words).explode("_w").dropna(subset=["_w"])
+
+    under = holders.mapInPandas(stand, f"{_ddl(holders)}, _w string")
+    asks = asked.where("_w IS NOT NULL").drop("_f")
+    out = under.join(asks, ["doc_id", "_w"]).drop("_w").where(F.col(k).contains(F.col(h)))
+    if asked.metrics["short"]:
+        short = asked.where("_w IS NULL").drop("_w", "_f")
+        a, b, on = _blocks(ws, *((holders, short) if k == "ka" else (short, holders)), block)
+        met = a.withColumn("_y", _every("j")).drop("i", "j").join(b.withColumn("_x", _every("i")).drop("i", "j"), on).drop("_x", "_y")
+        out = out.unionByName(met.where(F.col(k).contains(F.col(h))).select(*out.columns))
+    return out
 
-def duplicate_edges(left: DataFrame, right: DataFrame, ls: str = "seq", rs: str = "seq", s: Settings = Settings(), fuzzy: bool = True, later: bool = False, block: int = BLOCK) -> DataFrame:
-    """(doc_id, pi, gi): rows one of whose titles holds the other or whose ratio reaches the threshold, within a document.
 
-    With ``later`` only rows of the left that come after those of the right, pi > gi.
+def _ddl(t: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema)
+
+
+def _held(ws: Workspace, a: DataFrame, b: DataFrame, block: int) -> DataFrame:
+    """(doc_id, ka, ai, kb, bi): distinct titles of a document one of which holds the other."""
+    frequent = _frequent(a, b)
+    cols = ["doc_id", "ka", "ai", "kb", "bi"]
+    return _holds(ws, a, b, "ka", "kb", frequent, block).select(*cols).unionByName(_holds(ws, b, a, "kb", "ka", frequent, block).where("ka <> kb").select(*cols))
+
+
+def _close(ws: Workspace, a: DataFrame, b: DataFrame, s: Settings, block: int, later: bool = False, first: bool = False) -> DataFrame:
+    """(doc_id, pi, gi, sim) of rows neither of whose titles holds the other and whose ratio reaches the threshold.
+
+    With ``later`` only pi > gi; with ``first`` a title of the left goes with the first row of the right that its pair of blocks has.
     """
-    p = _pairs(left, right, ls, rs, fuzzy, block)
-    if later:
-        p = p.where(F.col("ahi") > F.col("blo"))
-    cols = ["doc_id", "ka", "kb"]
-    hit = p.where(contained("ka", "kb")).select(*cols)
-    if fuzzy:
-        hit = hit.unionByName(_close(p.where(~contained("ka", "kb")), s).drop("sim"))
-    out = _back(hit, left, right, ls, rs).select("doc_id", "pi", "gi")
-    return out.where("pi > gi") if later else out
+    x, y, on = _blocks(ws, a, b, block)
+    told = lambda k, i: F.collect_list(F.struct(F.col(k).alias("k"), F.col(i).alias("r")))
+    x = x.groupBy("doc_id", "_x", "j").agg(told("ka", "ai").alias("xs")).withColumn("_y", _every("j")).drop("j")
+    y = y.groupBy("doc_id", "_y", "i").agg(told("kb", "bi").alias("ys")).withColumn("_x", _every("i")).drop("i")
+    n = tasks(ws.spark)
+    met = x.repartition(n, *on).join(y.repartition(n, *on), on).select("doc_id", *[F.col(f"{t}.{f}").alias(f"{t}{f}") for t in ("xs", "ys") for f in "kr"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for d, xk, xr, yk, yr in df.itertuples(index=False):
+                xk, yk, lo = list(xk), list(yk), np.array([r[0] for r in yr])
+                allowed = (lambda i, j, hi=np.array([r[-1] for r in xr]), lo=lo: hi[i] > lo[j]) if later else None
+                found = close_pairs(xk, yk, s.match_threshold, np.argsort(np.argsort(lo, kind="stable")) if first else None, allowed)
+                rows = [(d, p, g, r) for i, j, r in found for p in xr[i] for g in ((lo[j],) if first else yr[j]) if not later or p > g]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "pi", "gi", "sim"])
+
+    return met.mapInPandas(run, f"doc_id {a.schema['doc_id'].dataType.simpleString()}, pi bigint, gi bigint, sim double")
 
 
-def similar_titles(predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True, block: int = BLOCK) -> DataFrame:
-    """(doc_id, ka, kb, sim): distinct titles of a document whose graded similarity reaches the threshold."""
-    p = _pairs(predicted, truth, "seq", "gt_seq", fuzzy, block).withColumn("sim", graded("ka", "kb", s))
-    cols = ["doc_id", "ka", "kb", "sim"]
-    hit = p.where(F.col("sim") >= s.match_threshold).select(*cols)
-    if fuzzy:
-        hit = hit.unionByName(_close(p.where(F.col("sim").isNull()), s))
-    return hit
+def _rows(pairs: DataFrame, first: bool = False) -> DataFrame:
+    """Pairs of titles as pairs of rows."""
+    one = pairs.withColumn("pi", F.explode("ai")).drop("ai")
+    return one.withColumn("gi", F.col("bi")[0] if first else F.explode("bi")).drop("bi")
+
+
+def duplicate_edges(left: DataFrame, right: DataFrame, ls: str = "seq", rs: str = "seq", s: Settings = Settings(), fuzzy: bool = True, later: bool = False, block: int = BLOCK, first: bool = False) -> DataFrame:
+    """(doc_id, pi, gi): rows one of whose titles holds the other or whose ratio reaches the threshold, within a document.
+
+    With ``later`` only rows of the left that come after those of the right, pi > gi. With ``first`` not all rows of the
+    right, but the first one for each row of the left among them.
+    """
+    ws = Workspace(left.sparkSession, "titles")
+    a, b = _distinct(ws, left, ls, "ka", "ai"), _distinct(ws, right, rs, "kb", "bi")
+    hit = _held(ws, a, b, block)
+    if later:
+        hit = hit.where(F.element_at("ai", -1) > F.col("bi")[0])
+    out = _rows(hit, first).select("doc_id", "pi", "gi")
+    if later:
+        out = out.where("pi > gi")
+    return out.unionByName(_close(ws, a, b, s, block, later, first).drop("sim")) if fuzzy else out
 
 
 def similarity_edges(predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True, block: int = BLOCK) -> DataFrame:
     """(doc_id, pi, gi, sim): predictions and ground truth of a document whose graded similarity reaches the threshold."""
-    return _back(similar_titles(predicted, truth, s, fuzzy, block), predicted, truth, "seq", "gt_seq").select("doc_id", "pi", "gi", "sim")
+    ws = Workspace(predicted.sparkSession, "titles")
+    a, b = _distinct(ws, predicted, "seq", "ka", "ai"), _distinct(ws, truth, "gt_seq", "kb", "bi")
+    hit = _held(ws, a, b, block).withColumn("sim", graded("ka", "kb", s)).where(F.col("sim") >= s.match_threshold)
+    out = _rows(hit).select("doc_id", "pi", "gi", "sim")
+    return out.unionByName(_close(ws, a, b, s, block)) if fuzzy else out
 
 
 def equal_pairs(ws: Workspace, predicted: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
