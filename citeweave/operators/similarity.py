@@ -27,6 +27,8 @@ from citeweave.schemas import Settings
 
 #: distinct titles of a block
 BLOCK = 2000
+#: keys asked for, above which holders aren't filtered by a bitmap of them before they are moved
+ASKED = 10_000_000
 
 _SEPARATOR = re.compile(r"[\W_]+")
 
@@ -92,7 +94,8 @@ def _holds(ws: Workspace, holders: DataFrame, held: DataFrame, k: str, h: str, f
             best = [min(_words(t), key=lambda w: (frequent.get(w, 0), -len(w), w), default=None) for t in df[h]]
             yield df.assign(_w=best, _f=[w in frequent for w in best])
 
-    asked = ws.write(held.mapInPandas(pick, f"{_ddl(held)}, _w string, _f boolean"), short="count_if(_w IS NULL)")
+    at = F.xxhash64("doc_id", "_w").alias("_at")
+    asked = ws.write(held.mapInPandas(pick, f"{_ddl(held)}, _w string, _f boolean").select("*", at), short="count_if(_w IS NULL)", n="count(_w)")
     wanted = {r["_w"] for r in asked.where("_f").select("_w").distinct().collect()}
 
     def stand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,17 +103,34 @@ def _holds(ws: Workspace, holders: DataFrame, held: DataFrame, k: str, h: str, f
             words = [[w for w in _all_words(t) if w not in frequent or w in wanted] for t in df[k]]
             yield df.assign(_w=words).explode("_w").dropna(subset=["_w"])
 
-    under = holders.mapInPandas(stand, f"{_ddl(holders)}, _w string")
-    asks = asked.where("_w IS NOT NULL").drop("_f")
-    out = under.join(asks, ["doc_id", "_w"]).drop("_w").where(F.col(k).contains(F.col(h)))
+    under = holders.mapInPandas(stand, f"{_ddl(holders)}, _w string").select(*holders.columns, at)
+    asks = asked.where("_w IS NOT NULL").drop("_f", "_w")
+    if (asked.metrics["n"] or 0) <= ASKED:
+        under = under.where(_among(asks)("_at"))
+    met = under.alias("x").join(asks.alias("y"), (F.col("x._at") == F.col("y._at")) & (F.col("x.doc_id") == F.col("y.doc_id")))
+    out = ws.write(met.where(F.col(k).contains(F.col(h))).select("x.doc_id", *[c for c in holders.columns if c != "doc_id"], *[c for c in held.columns if c != "doc_id"]))
     if asked.metrics["short"]:
-        short = asked.where("_w IS NULL").drop("_w", "_f")
+        short = asked.where("_w IS NULL").drop("_w", "_f", "_at")
         a, b, on = _blocks(ws, *((holders, short) if k == "ka" else (short, holders)), block)
         met = a.withColumn("_y", _every("j")).drop("i", "j").join(b.withColumn("_x", _every("i")).drop("i", "j"), on).drop("_x", "_y")
         out = out.unionByName(met.where(F.col(k).contains(F.col(h))).select(*out.columns))
     return out
 
 
+def _among(asks: DataFrame):
+    """Column function that tells keys nobody asks for, so that their rows aren't moved; some of those it lets pass."""
+    bits = np.zeros(1 << 24, np.uint8)  # a bit of 2 ** 27 for each key asked for
+    for batch in np.array_split(asks.select(F.pmod("_at", F.lit(1 << 27)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64), 8):
+        np.bitwise_or.at(bits, batch >> 3, (1 << (batch & 7)).astype(np.uint8))
+
+    @F.pandas_udf("boolean")
+    def among(x: pd.Series) -> pd.Series:
+        b = x.to_numpy(np.int64) & ((1 << 27) - 1)
+        return pd.Series((bits[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool))
+
+    return among
+
+
 def _ddl(t: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema)
 
