@@ -187,3 +187,36 @@ def test_collapse_pages_and_sources(spark):
     out = {r["title"]: r for r in merge.collapse(merge.seed_clusters(spark, spark.createDataFrame(rows, REFERENCES))).collect()}
     assert out["Companies Act 2013"]["page_numbers"] == [1, 2, 5] and out["Companies Act 2013"]["source"] == "both" and out["Companies Act 2013"]["type"] == "law"
     assert out["Other"]["page_numbers"] == [9, 3]
+
+
+def test_held_titles_equal_brute_force(spark):
+    from citeweave.operators.similarity import _all_words, _words
+
+    r = random.Random(5)
+    whole = [f"circular no. cfd/{r.choice(['ab', 'abc', 'x'])}/cir-{r.randrange(30)}/2010 dated may {r.randrange(9)}, 2011" for _ in range(60)]
+    cut = [t[r.randrange(len(t)) :][: r.randrange(1, 40)] for t in whole] + ["", "cir", "-", "no. cfd", " x ", "éé/ab"]
+    for a in whole + cut:
+        for b in cut:
+            assert b not in a or _words(b) <= _all_words(a), (a, b)
+    p, g = refs(spark, {"d": whole}, "regex"), spark.createDataFrame([("d", i, t, "circular", None) for i, t in enumerate(cut)], TRUTH)
+    got = {(x["pi"], x["gi"]) for x in duplicate_edges(p, g, "seq", "gt_seq", fuzzy=False).collect()}
+    key = lambda t: t.strip().lower()
+    assert got == {(i, j) for i, a in enumerate(whole) for j, b in enumerate(cut) if key(b) in key(a) or key(a) in key(b)}
+
+
+def test_pairs_of_blocks_equal_brute_force():
+    import numpy as np
+
+    from citeweave.functions.close import close_pairs, ratio
+
+    r = random.Random(6)
+    some = [("".join(r.choice("abc /") for _ in range(r.randrange(40))), "".join(r.choice("abc /") for _ in range(r.randrange(40)))) for _ in range(2000)]
+    assert all(ratio(a, b) == SequenceMatcher(None, a, b).ratio() for a, b in some)
+    xs, ys = [t.lower().strip() for t in titles(4, 80)] + ["", "sebi " * 50], [t.lower().strip() for t in titles(5, 70)] + ["sebi " * 45 + "x", "é" * 70]
+    want = [(i, j, SequenceMatcher(None, a, b).ratio()) for i, a in enumerate(xs) for j, b in enumerate(ys) if not (a in b or b in a)]
+    want = [w for w in want if w[2] >= 0.75]
+    assert sorted(close_pairs(xs, ys, 0.75)) == want
+    first: dict = {}
+    for w in want:
+        first.setdefault(w[0], w)
+    assert sorted(close_pairs(xs, ys, 0.75, np.arange(len(ys)))) == sorted(first.values())
