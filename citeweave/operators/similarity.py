@@ -6,7 +6,7 @@ rare pair of words meet. Titles without an inner word meet all others of their d
 
 Ratio: it has no such key. Distinct titles of a document are cut into blocks, each pair of blocks is one row, so a document
 that holds a third of all rows is compared by as many tasks as it has pairs of blocks, and pairs are never moved: a task
-bounds them on whole arrays (``functions.close``) and gives only those that reach the threshold, as rows.
+bounds them on whole arrays (``functions.close``), many small documents together, and gives only those that reach the threshold, as rows.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from citeweave.functions.text import graded, title_key
 from citeweave.runtime import Workspace, numbered, salted_lookup, tasks
 from citeweave.schemas import Settings
 
-#: distinct titles of a block
-BLOCK = 2000
+#: distinct titles of a block at least, pairs of blocks that a large document's titles are cut into if blocks may be larger
+BLOCK, PAIRS = 2000, 128
+#: pairs of titles up to which a document is compared together with others
+SMALL = 50_000
 #: keys asked for, above which holders aren't filtered by a bitmap of them before they are moved
 ASKED = 10_000_000
 
@@ -49,10 +51,18 @@ def _distinct(ws: Workspace, rows: DataFrame, seq: str, key: str, ids: str) -> D
     return ws.write(t.groupBy("doc_id", key).agg(F.array_sort(F.collect_list("_s")).alias(ids)), n="count(1)")
 
 
-def _blocks(ws: Workspace, a: DataFrame, b: DataFrame, block: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """a and b with the keys under which each pair of blocks meets once."""
+def _blocks(ws: Workspace, a: DataFrame, b: DataFrame, block: int, most: int | None = None, whole: bool = False) -> tuple[DataFrame, DataFrame, list[str], bool]:
+    """a and b with the keys under which each pair of blocks meets once, and whether any document has several.
+
+    With ``most``, blocks of up to so many titles where a document has enough of them for ``PAIRS`` pairs of blocks, since each block is
+    moved once a block of the other side; with ``whole``, the right's are as large as may be.
+    """
     sizes = a.select("doc_id", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select("doc_id", F.lit(0).alias("x"), F.lit(1).alias("y"))).groupBy("doc_id").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    many = sizes.where((F.col("x") > block) | (F.col("y") > block)).where("x > 0 AND y > 0").select("doc_id", F.ceil(F.col("x") / block).cast("int").alias("i"), F.ceil(F.col("y") / block).cast("int").alias("j"), (F.col("x") + F.col("y")).alias("n"))
+    fit = lambda n: F.greatest(F.lit(float(block)), F.least(F.lit(float(most or block)), n))
+    right = F.lit(float(most)) if whole and most else fit(F.sqrt(F.col("x") * F.col("y") / PAIRS))
+    j = F.ceil(F.col("y") / right)
+    i = F.ceil(F.col("x") / fit(F.col("x") * j / PAIRS))
+    many = sizes.where((F.col("x") > block) | (F.col("y") > block)).where("x > 0 AND y > 0").select("doc_id", i.cast("int").alias("i"), j.cast("int").alias("j"), (F.col("x") + F.col("y")).alias("n"))
     many = ws.write(many, n="count(1)")
     one = lambda t: t.select("*", *[F.lit(n).cast("bigint").alias(c) for c, n in (("i", 1), ("j", 1))])
     if many.metrics["n"]:
@@ -60,7 +70,7 @@ def _blocks(ws: Workspace, a: DataFrame, b: DataFrame, block: int) -> tuple[Data
         a, b = (one(t.join(many, "doc_id", "left_anti")).unionByName(told(t).select(*t.columns, F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"))) for t in (a, b))
     else:
         a, b = one(a), one(b)
-    return a.withColumn("_x", F.pmod(F.xxhash64("ka"), "i")), b.withColumn("_y", F.pmod(F.xxhash64("kb"), "j")), ["doc_id", "_x", "_y"]
+    return a.withColumn("_x", F.pmod(F.xxhash64("ka"), "i")), b.withColumn("_y", F.pmod(F.xxhash64("kb"), "j")), ["doc_id", "_x", "_y"], bool(many.metrics["n"])
 
 
 def _every(n: str):
@@ -111,7 +121,7 @@ def _holds(ws: Workspace, holders: DataFrame, held: DataFrame, k: str, h: str, f
     out = ws.write(met.where(F.col(k).contains(F.col(h))).select("x.doc_id", *[c for c in holders.columns if c != "doc_id"], *[c for c in held.columns if c != "doc_id"]))
     if asked.metrics["short"]:
         short = asked.where("_w IS NULL").drop("_w", "_f", "_at")
-        a, b, on = _blocks(ws, *((holders, short) if k == "ka" else (short, holders)), block)
+        a, b, on, _ = _blocks(ws, *((holders, short) if k == "ka" else (short, holders)), block)
         met = a.withColumn("_y", _every("j")).drop("i", "j").join(b.withColumn("_x", _every("i")).drop("i", "j"), on).drop("_x", "_y")
         out = out.unionByName(met.where(F.col(k).contains(F.col(h))).select(*out.columns))
     return out
@@ -142,27 +152,48 @@ def _held(ws: Workspace, a: DataFrame, b: DataFrame, block: int) -> DataFrame:
     return _holds(ws, a, b, "ka", "kb", frequent, block).select(*cols).unionByName(_holds(ws, b, a, "kb", "ka", frequent, block).where("ka <> kb").select(*cols))
 
 
-def _close(ws: Workspace, a: DataFrame, b: DataFrame, s: Settings, block: int, later: bool = False, first: bool = False) -> DataFrame:
-    """(doc_id, pi, gi, sim) of rows neither of whose titles holds the other and whose ratio reaches the threshold.
+def _close(ws: Workspace, a: DataFrame, b: DataFrame, s: Settings, block: int, later: bool = False, first: bool = False, exact: bool = True) -> DataFrame:
+    """(doc_id, pi, gi, sim) of rows neither of whose titles holds the other and whose ratio reaches the threshold; sim may be part of it if not ``exact``.
 
     With ``later`` only pi > gi; with ``first`` a title of the left goes with the first row of the right that its pair of blocks has.
     """
-    x, y, on = _blocks(ws, a, b, block)
+    x, y, on, large = _blocks(ws, a, b, block, 10 * block, first)
     told = lambda k, i: F.collect_list(F.struct(F.col(k).alias("k"), F.col(i).alias("r")))
     x = x.groupBy("doc_id", "_x", "j").agg(told("ka", "ai").alias("xs")).withColumn("_y", _every("j")).drop("j")
     y = y.groupBy("doc_id", "_y", "i").agg(told("kb", "bi").alias("ys")).withColumn("_x", _every("i")).drop("i")
-    n = tasks(ws.spark)
+    n = tasks(ws.spark) * (4 if large else 1)  # pairs of blocks that fall to one task by chance matter less
     met = x.repartition(n, *on).join(y.repartition(n, *on), on).select("doc_id", *[F.col(f"{t}.{f}").alias(f"{t}{f}") for t in ("xs", "ys") for f in "kr"])
 
+    def edges(some: list[tuple]) -> Iterator[pd.DataFrame]:
+        xk, yk = ([k for row in some for k in row[c]] for c in (1, 3))
+        xr, yr = ([(row[0], r) for row in some for r in row[c]] for c in (2, 4))
+        lo = np.array([r[0] for _, r in yr], np.int64)
+        after = (np.array([r[-1] for _, r in xr], np.int64), lo) if later else None
+        order = np.argsort(np.argsort(lo, kind="stable")) if first else None
+        rows = []
+        for i, j, r in close_pairs(xk, yk, s.match_threshold, order, after, [(len(row[1]), len(row[3])) for row in some] if len(some) > 1 else None, exact):
+            rows += [(xr[i][0], p, g, r) for p in xr[i][1] for g in ((lo[j],) if first else yr[j][1]) if not later or p > g]
+            if len(rows) > 50_000:
+                yield pd.DataFrame(rows, columns=["doc_id", "pi", "gi", "sim"])
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "pi", "gi", "sim"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        small: list[tuple] = []
+        held = 0
         for df in batches:
-            for d, xk, xr, yk, yr in df.itertuples(index=False):
-                xk, yk, lo = list(xk), list(yk), np.array([r[0] for r in yr])
-                allowed = (lambda i, j, hi=np.array([r[-1] for r in xr]), lo=lo: hi[i] > lo[j]) if later else None
-                found = close_pairs(xk, yk, s.match_threshold, np.argsort(np.argsort(lo, kind="stable")) if first else None, allowed)
-                rows = [(d, p, g, r) for i, j, r in found for p in xr[i] for g in ((lo[j],) if first else yr[j]) if not later or p > g]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "pi", "gi", "sim"])
+            for row in df.itertuples(index=False, name=None):
+                if len(row[1]) * len(row[3]) > SMALL:
+                    yield from edges([row])
+                    continue
+                small.append(row)
+                held += len(row[1]) + len(row[3])
+                if held > block:
+                    yield from edges(small)
+                    small, held = [], 0
+        if small:
+            yield from edges(small)
 
     return met.mapInPandas(run, f"doc_id {a.schema['doc_id'].dataType.simpleString()}, pi bigint, gi bigint, sim double")
 
@@ -187,7 +218,7 @@ def duplicate_edges(left: DataFrame, right: DataFrame, ls: str = "seq", rs: str
     out = _rows(hit, first).select("doc_id", "pi", "gi")
     if later:
         out = out.where("pi > gi")
-    return out.unionByName(_close(ws, a, b, s, block, later, first).drop("sim")) if fuzzy else out
+    return out.unionByName(_close(ws, a, b, s, block, later, first, exact=False).drop("sim")) if fuzzy else out
 
 
 def similarity_edges(predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True, block: int = BLOCK) -> DataFrame:

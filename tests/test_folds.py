@@ -220,3 +220,37 @@ def test_pairs_of_blocks_equal_brute_force():
     for w in want:
         first.setdefault(w[0], w)
     assert sorted(close_pairs(xs, ys, 0.75, np.arange(len(ys)))) == sorted(first.values())
+
+
+def test_groups_and_parts_of_titles_equal_brute_force(monkeypatch):
+    import numpy as np
+
+    from citeweave.functions import close
+
+    xs, ys = [[t.lower().strip() for t in titles(k, 120)] for k in (11, 12)]
+    ratios = {(i, j): SequenceMatcher(None, a, b).ratio() for i, a in enumerate(xs) for j, b in enumerate(ys) if not (a in b or b in a)}
+    want = {k for k, r in ratios.items() if r >= 0.75}
+    hi, lo = np.random.default_rng(1).permutation(120), np.random.default_rng(2).permutation(120)
+    first: dict = {}
+    for i, j in sorted(want, key=lambda k: lo[k[1]]):
+        first.setdefault(i, j)
+    for part in (9, 2000):
+        monkeypatch.setattr(close, "PART", part)
+        for exact in (True, False):
+            assert {(i, j) for i, j, _ in close.close_pairs(xs, ys, 0.75, exact=exact)} == want
+        assert {(i, j) for i, j, _ in close.close_pairs(xs, ys, 0.75, after=(hi, lo))} == {(i, j) for i, j in want if hi[i] > lo[j]}
+        assert {(i, j) for i, j, _ in close.close_pairs(xs, ys, 0.75, first=lo)} == set(first.items())
+    groups = [(30, 50), (0, 10), (60, 60), (30, 0)]
+    ends = np.cumsum([(0, 0), *groups], axis=0)
+    within = {(i, j) for i, j in want if any(a[0] <= i < b[0] and a[1] <= j < b[1] for a, b in zip(ends, ends[1:]))}
+    assert {(i, j): r for i, j, r in close.close_pairs(xs, ys, 0.75, groups=groups)} == {k: ratios[k] for k in within} and within
+
+
+def test_pairs_of_blocks_of_a_large_document_are_few(spark):
+    from citeweave.operators.similarity import PAIRS, _blocks
+    from citeweave.runtime import Workspace
+
+    a, b = (spark.range(n).selectExpr("'d' AS doc_id", f"concat('t', id) AS {k}") for n, k in ((60_000, "ka"), (40_000, "kb")))
+    x, y, on, large = _blocks(Workspace(spark, "t"), a, b, 500, 5000)
+    i, j = x.select("i").first()[0], y.select("j").first()[0]
+    assert on == ["doc_id", "_x", "_y"] and large and 24 <= i * j <= 2 * PAIRS
