@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from citeweave.operators.similarity import duplicate_edges, equal_pairs, similar
 from citeweave.runtime import Workspace
 from citeweave.schemas import Settings
 
+#: pairs of rows of a document above which matching goes down by these similarities; neither changes a result
+MANY, BANDS = 2_000_000_000, (0.9, 0.82)
+
 
 @F.pandas_udf(DoubleType())
 def rounded(x: pd.Series) -> pd.Series:
@@ -28,10 +33,28 @@ def scores(tp: Column, predicted: Column, truth: Column) -> list[Column]:
     return real + [F.when(given, x).otherwise(0).cast("bigint").alias(n) for n, x in (("tp", tp), ("fp", predicted - tp), ("fn", truth - tp))]
 
 
-def match(spark: SparkSession, predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
-    """(doc_id, pi, gi, sim): greedy one-to-one matching within documents, by falling similarity, then order. Equal titles first, by rank."""
-    equal, p, g = equal_pairs(Workspace(spark, "match"), predicted, truth)
-    return greedy_pairs(spark, similarity_edges(p, g, s, fuzzy)).unionByName(equal)
+def match(spark: SparkSession, predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True, many: int = MANY) -> DataFrame:
+    """(doc_id, pi, gi, sim): greedy one-to-one matching within documents, by falling similarity, then order. Equal titles first, by rank.
+
+    The ratio's pairs of a large document grow with the square of its titles, but a row that is taken needs no others. So where a document
+    may have more than ``MANY``, pairs are made from one similarity down to the next, each time of the rows still free.
+    """
+    ws = Workspace(spark, "match")
+    equal, p, g = equal_pairs(ws, predicted, truth)
+    if not fuzzy:
+        return greedy_pairs(spark, similarity_edges(p, g, s, fuzzy)).unionByName(equal)
+    size = lambda t: t.groupBy("doc_id").agg(F.count("*").alias("n"))
+    most = size(p).join(size(g).withColumnRenamed("n", "m"), "doc_id").agg(F.max(F.col("n") * F.col("m"))).first()[0] or 0
+    for least in [b for b in BANDS if b > s.match_threshold] if most > many else []:
+        band = Workspace(spark, "band")
+        taken = ws.write(greedy_pairs(spark, similarity_edges(p, g, replace(s, match_threshold=least), ws=band), ws=band), n="count(1)")
+        band.clear()
+        equal = equal.unionByName(taken)
+        if taken.metrics["n"]:
+            left = [ws.write(t.join(taken.select("doc_id", F.col(k).alias(c)), ["doc_id", c], "left_anti")) for t, k, c in ((p, "pi", "seq"), (g, "gi", "gt_seq"))]
+            ws.drop(p, g)
+            p, g = left
+    return greedy_pairs(spark, similarity_edges(p, g, s)).unionByName(equal)
 
 
 def metrics(spark: SparkSession, predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), by_doc: bool = False, fuzzy: bool = True) -> DataFrame:

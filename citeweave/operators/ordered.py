@@ -117,9 +117,9 @@ def _takes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield df.iloc[keep]
 
 
-def greedy_pairs(spark: SparkSession, edges: DataFrame, solo: int = SOLO, rounds: int = ROUNDS) -> DataFrame:
+def greedy_pairs(spark: SparkSession, edges: DataFrame, solo: int = SOLO, rounds: int = ROUNDS, ws: Workspace | None = None) -> DataFrame:
     """(doc_id, pi, gi, sim): one-to-one pairs taken by falling sim, then pi, then gi, of ``edges`` with these columns."""
-    ws = Workspace(spark, "greedy")
+    ws = ws or Workspace(spark, "greedy")
     live = ws.write(edges.select("doc_id", "pi", "gi", "sim"), n="count(1)")
     taken: list[DataFrame] = []
     if (live.metrics["n"] or 0) > solo:

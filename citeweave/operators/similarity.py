@@ -221,9 +221,9 @@ def duplicate_edges(left: DataFrame, right: DataFrame, ls: str = "seq", rs: str
     return out.unionByName(_close(ws, a, b, s, block, later, first, exact=False).drop("sim")) if fuzzy else out
 
 
-def similarity_edges(predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True, block: int = BLOCK) -> DataFrame:
+def similarity_edges(predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True, block: int = BLOCK, ws: Workspace | None = None) -> DataFrame:
     """(doc_id, pi, gi, sim): predictions and ground truth of a document whose graded similarity reaches the threshold."""
-    ws = Workspace(predicted.sparkSession, "titles")
+    ws = ws or Workspace(predicted.sparkSession, "titles")
     a, b = _distinct(ws, predicted, "seq", "ka", "ai"), _distinct(ws, truth, "gt_seq", "kb", "bi")
     hit = _held(ws, a, b, block).withColumn("sim", graded("ka", "kb", s)).where(F.col("sim") >= s.match_threshold)
     out = _rows(hit).select("doc_id", "pi", "gi", "sim")

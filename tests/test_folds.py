@@ -254,3 +254,14 @@ def test_pairs_of_blocks_of_a_large_document_are_few(spark):
     x, y, on, large = _blocks(Workspace(spark, "t"), a, b, 500, 5000)
     i, j = x.select("i").first()[0], y.select("j").first()[0]
     assert on == ["doc_id", "_x", "_y"] and large and 24 <= i * j <= 2 * PAIRS
+
+
+def test_match_by_bands_equals_the_sequential_pass(spark):
+    pred, gt = titles(21, 50) + ["Act 1"] * 3, titles(22, 40) + ["ACT 1"] * 5
+    p, g = refs(spark, {"d": pred, "e": pred[:4]}, "regex"), spark.createDataFrame([(d, i, t, "circular", None) for d in "de" for i, t in enumerate(gt)], TRUTH)
+    up, ug, want = set(), set(), set()
+    for s, i, j in sorted((-sim(a, b), i, j) for i, a in enumerate(pred) for j, b in enumerate(gt) if sim(a, b) >= 0.75):
+        if i not in up and j not in ug:
+            up.add(i), ug.add(j), want.add((i, j, -s))
+    assert {(r["pi"], r["gi"], r["sim"]) for r in evaluate.match(spark, p, g, many=10).where("doc_id = 'd'").collect()} == want
+    assert len({sum(s >= b for b in evaluate.BANDS) for _, _, s in want}) == 3
