@@ -27,6 +27,14 @@ def title_key(c: str | Column) -> Column:
     return F.lower(stripped(c))
 
 
+def folded(c: str | Column) -> Column:
+    """In small letters; a character other than A to Z that a pattern takes for one of these, case aside, as that letter."""
+    c = F.col(c) if isinstance(c, str) else c
+    for like, letter in (("\u017f", "s"), ("\u212a", "k"), ("\u0130", "i"), ("\u0131", "i")):
+        c = F.replace(c, F.lit(like), F.lit(letter))
+    return F.lower(c)
+
+
 def contained(a: str | Column, b: str | Column) -> Column:
     """Whether one key holds the other; an empty key is held by every other."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))

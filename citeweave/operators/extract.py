@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.functions.text import one_line, title_key
+from citeweave.functions.text import folded, one_line, title_key
 from citeweave.patterns import PATTERNS, Pattern
 from citeweave.runtime import Workspace, numbered
 
@@ -17,17 +19,25 @@ def matches(pages: DataFrame, patterns: Sequence[Pattern] = PATTERNS, keep: Sequ
 
     Matches of one pattern don't overlap, those of different patterns may. Null texts have none.
     """
-    found = F.array(*[F.struct(F.lit(p.pattern_id).alias("pattern_id"), F.lit(p.ref_type).alias("type"), F.regexp_extract_all("text", F.lit(p.java), F.lit(0)).alias("all")) for p in patterns])
+
+
+    def every(p: Pattern) -> Column:
+        found = F.regexp_extract_all("text", F.lit(p.java), F.lit(0))
+        may = [reduce(or_, [F.col("_folded").contains(x) for x in some]) for some in p.needs]
+        return F.when(reduce(and_, may), found).otherwise(F.array().cast("array<string>")) if may else found
+
+    found = F.array(*[F.struct(F.lit(p.pattern_id).alias("pattern_id"), F.lit(p.ref_type).alias("type"), every(p).alias("all")) for p in patterns])
     return (
-        pages.where(F.col("text").isNotNull()).select("doc_id", "page_num", *keep, F.explode(found).alias("f"))
+        pages.where(F.col("text").isNotNull()).withColumn("_folded", folded("text")).select("doc_id", "page_num", *keep, F.explode(found).alias("f"))
         .select("doc_id", "page_num", *keep, "f.pattern_id", "f.type", F.posexplode("f.all").alias("pos", "match"))
     )
 
 
-def references(pages: DataFrame, patterns: Sequence[Pattern] = PATTERNS) -> DataFrame:
+def references(pages: DataFrame, patterns: Sequence[Pattern] = PATTERNS, ws: Workspace | None = None) -> DataFrame:
     """One row a document and title (case aside): spelling and type of the first match, distinct pages in order of sight.
 
     seq numbers a document's references in order of first sight. Pages are read in order of page_num, as listed.
+    With ``ws`` a table is written on the way, so that all pages are matched once, not once for each step of numbering.
     """
     ord_ = F.struct("page_num", "pattern_id", "pos")
     m = matches(pages, patterns).withColumn("title", one_line("match")).where("title <> ''").withColumn("key", title_key("title"))
@@ -36,6 +46,8 @@ def references(pages: DataFrame, patterns: Sequence[Pattern] = PATTERNS) -> Data
     whole = on_page.groupBy("doc_id", "key").agg(F.min("ord").alias("ord"), F.min_by("first", "ord").alias("first"), F.array_sort(F.collect_set("page_num")).alias("page_numbers"))
     # numbered in two steps, within a page and by pages, so that no task sorts a whole document's references
     page = whole.withColumn("page", F.col("ord.page_num"))
+    if ws:
+        page = ws.write(page)
     sizes = page.groupBy("doc_id", "page").agg(F.count("*").alias("n"))
     before = sizes.select("doc_id", "page", (F.sum("n").over(Window.partitionBy("doc_id").orderBy("page")) - F.col("n")).alias("before"))
     seq = F.col("before") + F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("ord")) - 1

@@ -2,7 +2,8 @@
 
 Containment: a title that holds another holds its inner words too (those with a separator on either side), two neighbours
 of them at a time. The held title asks for its rarest pair, holders stand under all of theirs, so only titles that share a
-rare pair of words meet. Titles without an inner word meet all others of their document.
+rare pair of words meet. Titles without an inner word meet all others of their document. With the ratio, documents that
+are one pair of blocks need none of this: their titles are held against each other where their ratios are found.
 
 Ratio: it has no such key. Distinct titles of a document are cut into blocks, each pair of blocks is one row, so a document
 that holds a third of all rows is compared by as many tasks as it has pairs of blocks, and pairs are never moved: a task
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions.close import close_pairs
 from citeweave.functions.text import graded, title_key
-from citeweave.runtime import Workspace, numbered, salted_lookup, tasks
+from citeweave.runtime import Workspace, salted_lookup, tasks
 from citeweave.schemas import Settings
 
 #: distinct titles of a block at least, pairs of blocks that a large document's titles are cut into if blocks may be larger
@@ -51,8 +52,8 @@ def _distinct(ws: Workspace, rows: DataFrame, seq: str, key: str, ids: str) -> D
     return ws.write(t.groupBy("doc_id", key).agg(F.array_sort(F.collect_list("_s")).alias(ids)), n="count(1)")
 
 
-def _blocks(ws: Workspace, a: DataFrame, b: DataFrame, block: int, most: int | None = None, whole: bool = False) -> tuple[DataFrame, DataFrame, list[str], bool]:
-    """a and b with the keys under which each pair of blocks meets once, and whether any document has several.
+def _blocks(ws: Workspace, a: DataFrame, b: DataFrame, block: int, most: int | None = None, whole: bool = False) -> tuple[DataFrame, DataFrame, list[str], DataFrame | None]:
+    """a and b with the keys under which each pair of blocks meets once, and the large documents, if any (``_large`` in a and b).
 
     With ``most``, blocks of up to so many titles where a document has enough of them for ``PAIRS`` pairs of blocks, since each block is
     moved once a block of the other side; with ``whole``, the right's are as large as may be.
@@ -64,13 +65,13 @@ def _blocks(ws: Workspace, a: DataFrame, b: DataFrame, block: int, most: int | N
     i = F.ceil(F.col("x") / fit(F.col("x") * j / PAIRS))
     many = sizes.where((F.col("x") > block) | (F.col("y") > block)).where("x > 0 AND y > 0").select("doc_id", i.cast("int").alias("i"), j.cast("int").alias("j"), (F.col("x") + F.col("y")).alias("n"))
     many = ws.write(many, n="count(1)")
-    one = lambda t: t.select("*", *[F.lit(n).cast("bigint").alias(c) for c, n in (("i", 1), ("j", 1))])
+    one = lambda t: t.select("*", *[F.lit(n).cast("bigint").alias(c) for c, n in (("i", 1), ("j", 1))], F.lit(False).alias("_large"))
     if many.metrics["n"]:
         told = lambda t: salted_lookup(t, many.drop("n"), "doc_id", many, "n")
-        a, b = (one(t.join(many, "doc_id", "left_anti")).unionByName(told(t).select(*t.columns, F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"))) for t in (a, b))
+        a, b = (one(t.join(many, "doc_id", "left_anti")).unionByName(told(t).select(*t.columns, F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.lit(True).alias("_large"))) for t in (a, b))
     else:
         a, b = one(a), one(b)
-    return a.withColumn("_x", F.pmod(F.xxhash64("ka"), "i")), b.withColumn("_y", F.pmod(F.xxhash64("kb"), "j")), ["doc_id", "_x", "_y"], bool(many.metrics["n"])
+    return a.withColumn("_x", F.pmod(F.xxhash64("ka"), "i")), b.withColumn("_y", F.pmod(F.xxhash64("kb"), "j")), ["doc_id", "_x", "_y"], many.select("doc_id") if many.metrics["n"] else None
 
 
 def _every(n: str):
@@ -122,7 +123,7 @@ def _holds(ws: Workspace, holders: DataFrame, held: DataFrame, k: str, h: str, f
     if asked.metrics["short"]:
         short = asked.where("_w IS NULL").drop("_w", "_f", "_at")
         a, b, on, _ = _blocks(ws, *((holders, short) if k == "ka" else (short, holders)), block)
-        met = a.withColumn("_y", _every("j")).drop("i", "j").join(b.withColumn("_x", _every("i")).drop("i", "j"), on).drop("_x", "_y")
+        met = a.withColumn("_y", _every("j")).drop("i", "j", "_large").join(b.withColumn("_x", _every("i")).drop("i", "j", "_large"), on).drop("_x", "_y")
         out = out.unionByName(met.where(F.col(k).contains(F.col(h))).select(*out.columns))
     return out
 
@@ -145,24 +146,27 @@ def _ddl(t: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema)
 
 
-def _held(ws: Workspace, a: DataFrame, b: DataFrame, block: int) -> DataFrame:
-    """(doc_id, ka, ai, kb, bi): distinct titles of a document one of which holds the other."""
+def _held(ws: Workspace, a: DataFrame, b: DataFrame, block: int, same: bool = False) -> DataFrame:
+    """(doc_id, ka, ai, kb, bi): distinct titles of a document one of which holds the other. With ``same``, b has the rows of a."""
     frequent = _frequent(a, b)
     cols = ["doc_id", "ka", "ai", "kb", "bi"]
-    return _holds(ws, a, b, "ka", "kb", frequent, block).select(*cols).unionByName(_holds(ws, b, a, "kb", "ka", frequent, block).where("ka <> kb").select(*cols))
+    one = _holds(ws, a, b, "ka", "kb", frequent, block).select(*cols)
+    other = one.select("doc_id", *[F.col(x).alias(y) for x, y in zip(cols[3:] + cols[1:3], cols[1:])]) if same else _holds(ws, b, a, "kb", "ka", frequent, block)
+    return one.unionByName(other.where("ka <> kb").select(*cols))
 
 
-def _close(ws: Workspace, a: DataFrame, b: DataFrame, s: Settings, block: int, later: bool = False, first: bool = False, exact: bool = True) -> DataFrame:
-    """(doc_id, pi, gi, sim) of rows neither of whose titles holds the other and whose ratio reaches the threshold; sim may be part of it if not ``exact``.
+def _close(ws: Workspace, a: DataFrame, b: DataFrame, s: Settings, block: int, later: bool = False, first: bool = False, exact: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, pi, gi, sim) of rows neither of whose titles holds the other and whose ratio reaches the threshold; the large documents, if any.
 
-    With ``later`` only pi > gi; with ``first`` a title of the left goes with the first row of the right that its pair of blocks has.
+    In documents that aren't large also rows one of whose titles holds the other. If not ``exact``, sim may be part of the ratio, and says
+    nothing of containment. With ``later`` only pi > gi; with ``first`` a title of the left goes with the first row of the right that its pair of blocks has.
     """
     x, y, on, large = _blocks(ws, a, b, block, 10 * block, first)
     told = lambda k, i: F.collect_list(F.struct(F.col(k).alias("k"), F.col(i).alias("r")))
-    x = x.groupBy("doc_id", "_x", "j").agg(told("ka", "ai").alias("xs")).withColumn("_y", _every("j")).drop("j")
+    x = x.groupBy("doc_id", "_x", "j", "_large").agg(told("ka", "ai").alias("xs")).withColumn("_y", _every("j")).drop("j")
     y = y.groupBy("doc_id", "_y", "i").agg(told("kb", "bi").alias("ys")).withColumn("_x", _every("i")).drop("i")
-    n = tasks(ws.spark) * (4 if large else 1)  # pairs of blocks that fall to one task by chance matter less
-    met = x.repartition(n, *on).join(y.repartition(n, *on), on).select("doc_id", *[F.col(f"{t}.{f}").alias(f"{t}{f}") for t in ("xs", "ys") for f in "kr"])
+    n = tasks(ws.spark) * (4 if large is not None else 1)  # pairs of blocks that fall to one task by chance matter less
+    met = x.repartition(n, *on).join(y.repartition(n, *on), on).select("doc_id", *[F.col(f"{t}.{f}").alias(f"{t}{f}") for t in ("xs", "ys") for f in "kr"], "_large")
 
     def edges(some: list[tuple]) -> Iterator[pd.DataFrame]:
         xk, yk = ([k for row in some for k in row[c]] for c in (1, 3))
@@ -170,9 +174,17 @@ def _close(ws: Workspace, a: DataFrame, b: DataFrame, s: Settings, block: int, l
         lo = np.array([r[0] for _, r in yr], np.int64)
         after = (np.array([r[-1] for _, r in xr], np.int64), lo) if later else None
         order = np.argsort(np.argsort(lo, kind="stable")) if first else None
+
+        def told() -> Iterator[tuple]:
+            for row in some:
+                if not row[5]:
+                    yield from ((row[0], row[2][i], row[4][j], r) for i, j, r in _containing(row[1], row[3], s, exact))
+            for i, j, r in close_pairs(xk, yk, s.match_threshold, order, after, [(len(row[1]), len(row[3])) for row in some] if len(some) > 1 else None, exact):
+                yield *xr[i], yr[j][1], r
+
         rows = []
-        for i, j, r in close_pairs(xk, yk, s.match_threshold, order, after, [(len(row[1]), len(row[3])) for row in some] if len(some) > 1 else None, exact):
-            rows += [(xr[i][0], p, g, r) for p in xr[i][1] for g in ((lo[j],) if first else yr[j][1]) if not later or p > g]
+        for doc, ps, gs, r in told():
+            rows += [(doc, p, g, r) for p in ps for g in (gs[:1] if first else gs) if not later or p > g]
             if len(rows) > 50_000:
                 yield pd.DataFrame(rows, columns=["doc_id", "pi", "gi", "sim"])
                 rows = []
@@ -195,7 +207,34 @@ def _close(ws: Workspace, a: DataFrame, b: DataFrame, s: Settings, block: int, l
         if small:
             yield from edges(small)
 
-    return met.mapInPandas(run, f"doc_id {a.schema['doc_id'].dataType.simpleString()}, pi bigint, gi bigint, sim double")
+    return met.mapInPandas(run, f"doc_id {a.schema['doc_id'].dataType.simpleString()}, pi bigint, gi bigint, sim double"), large
+
+
+def _containing(xs: list[str], ys: list[str], s: Settings, grade: bool) -> Iterator[tuple[int, int, float]]:
+    """(i, j, similarity as ``graded`` has it) of all pairs one of which holds the other; with ``grade`` only those that reach the threshold."""
+    for i, x in enumerate(xs):
+        for j, y in enumerate(ys):
+            if x in y if len(x) <= len(y) else y in x:
+                short, long = sorted((len(x), len(y)))
+                r = 1.0 if x == y else 0.75 + 0.25 * (short / long) if short >= s.containment_length else 0.5 + 0.5 * (short / long)
+                if not grade or r >= s.match_threshold:
+                    yield i, j, r
+
+
+def _in_large(ws: Workspace, a: DataFrame, b: DataFrame, large: DataFrame | None, block: int, same: bool = False) -> DataFrame | None:
+    """``_held`` of the large documents; none if there are none."""
+    if large is None:
+        return None
+    of = lambda t: ws.write(t.join(large, "doc_id", "left_semi"), n="count(1)")
+    a, b = of(a), None if same else of(b)
+    return _held(ws, a, _renamed(a) if same else b, block, same)
+
+
+def _renamed(a: DataFrame) -> DataFrame:
+    """Titles of the left as titles of the right."""
+    b = a.select("doc_id", F.col("ka").alias("kb"), F.col("ai").alias("bi"))
+    b.metrics = a.metrics
+    return b
 
 
 def _rows(pairs: DataFrame, first: bool = False) -> DataFrame:
@@ -211,23 +250,31 @@ def duplicate_edges(left: DataFrame, right: DataFrame, ls: str = "seq", rs: str
     right, but the first one for each row of the left among them.
     """
     ws = Workspace(left.sparkSession, "titles")
-    a, b = _distinct(ws, left, ls, "ka", "ai"), _distinct(ws, right, rs, "kb", "bi")
-    hit = _held(ws, a, b, block)
+    same = left is right and ls == rs
+    a = _distinct(ws, left, ls, "ka", "ai")
+    b = _renamed(a) if same else _distinct(ws, right, rs, "kb", "bi")
+    close, large = _close(ws, a, b, s, block, later, first, exact=False) if fuzzy else (None, None)
+    hit = _in_large(ws, a, b, large, block, same) if fuzzy else _held(ws, a, b, block, same)
+    if hit is None:
+        return close.drop("sim")
     if later:
         hit = hit.where(F.element_at("ai", -1) > F.col("bi")[0])
     out = _rows(hit, first).select("doc_id", "pi", "gi")
     if later:
         out = out.where("pi > gi")
-    return out.unionByName(_close(ws, a, b, s, block, later, first, exact=False).drop("sim")) if fuzzy else out
+    return out.unionByName(close.drop("sim")) if fuzzy else out
 
 
 def similarity_edges(predicted: DataFrame, truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True, block: int = BLOCK, ws: Workspace | None = None) -> DataFrame:
     """(doc_id, pi, gi, sim): predictions and ground truth of a document whose graded similarity reaches the threshold."""
     ws = ws or Workspace(predicted.sparkSession, "titles")
     a, b = _distinct(ws, predicted, "seq", "ka", "ai"), _distinct(ws, truth, "gt_seq", "kb", "bi")
-    hit = _held(ws, a, b, block).withColumn("sim", graded("ka", "kb", s)).where(F.col("sim") >= s.match_threshold)
-    out = _rows(hit).select("doc_id", "pi", "gi", "sim")
-    return out.unionByName(_close(ws, a, b, s, block)) if fuzzy else out
+    close, large = _close(ws, a, b, s, block) if fuzzy else (None, None)
+    hit = _in_large(ws, a, b, large, block) if fuzzy else _held(ws, a, b, block)
+    if hit is None:
+        return close
+    out = _rows(hit.withColumn("sim", graded("ka", "kb", s)).where(F.col("sim") >= s.match_threshold)).select("doc_id", "pi", "gi", "sim")
+    return out.unionByName(close) if fuzzy else out
 
 
 def equal_pairs(ws: Workspace, predicted: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -237,12 +284,13 @@ def equal_pairs(ws: Workspace, predicted: DataFrame, truth: DataFrame) -> tuple[
     """
 
     def side(t: DataFrame, seq: str, name: str) -> DataFrame:
-        rows = t.select("doc_id", title_key("title").alias("k"), F.lit(name).alias("side"), F.col(seq).cast("bigint").alias("at"), "title")
+        rows = t.select("doc_id", title_key("title").alias("k"), F.lit(name).alias("side"), F.col(seq).cast("bigint").alias("at"))
         return rows.where(F.col("k").isNotNull() & F.col("doc_id").isNotNull())
 
-    rows = numbered(ws, side(predicted, "seq", "p").unionByName(side(truth, "gt_seq", "g")), ["doc_id", "k", "side"], ["at"], "r")
-    at = lambda n: F.max(F.when(F.col("side") == n, F.struct("at", "title"))).alias(n)
-    met = ws.write(rows.groupBy("doc_id", "k", "r").agg(at("p"), at("g")))
-    taken = met.where("p IS NOT NULL AND g IS NOT NULL").select("doc_id", F.col("p.at").alias("pi"), F.col("g.at").alias("gi"), F.lit(1.0).alias("sim"))
-    left = met.where("g IS NULL").select("doc_id", F.col("p.at").alias("seq"), "p.title")
-    return taken, left, met.where("p IS NULL").select("doc_id", F.col("g.at").alias("gt_seq"), "g.title")
+    rows = side(predicted, "seq", "p").unionByName(side(truth, "gt_seq", "g"))
+    at = lambda n: F.array_sort(F.collect_list(F.when(F.col("side") == n, F.col("at")))).alias(n)
+    met = ws.write(rows.groupBy("doc_id", "k").agg(at("p"), at("g")).withColumn("m", F.least(F.size("p"), F.size("g"))))
+    both = met.where("m > 0").select("doc_id", F.explode(F.arrays_zip(*[F.slice(c, F.lit(1), F.col("m")).alias(c) for c in "pg"])).alias("x"))
+    taken = both.select("doc_id", F.col("x.p").alias("pi"), F.col("x.g").alias("gi"), F.lit(1.0).alias("sim"))
+    rest = lambda c, seq: met.where(F.size(c) > F.col("m")).select("doc_id", F.explode(F.slice(c, F.col("m") + 1, F.size(c) - F.col("m"))).alias(seq), F.col("k").alias("title"))
+    return taken, rest("p", "seq"), rest("g", "gt_seq")

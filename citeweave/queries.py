@@ -35,7 +35,8 @@ RARE = (6, 7)
 
 def _refs(spark: SparkSession, d: str) -> DataFrame:
     """Citations that the patterns find, written once for operators that read them several times."""
-    return Workspace(spark, "references").write(extract.references(pages(spark, d)))
+    ws = Workspace(spark, "references")
+    return ws.write(extract.references(pages(spark, d), ws=ws))
 
 
 def _pattern(p) -> Query:
@@ -103,8 +104,8 @@ def missed_gt(spark: SparkSession, d: str) -> DataFrame:
 
 def comparison(spark: SparkSession, d: str) -> DataFrame:
     r = _refs(spark, d)
-    both = merge.merge_first_match(spark, r, found(spark, d))
-    return evaluate.comparison({"regex_only": evaluate.metrics(spark, r, truth(spark, d)), "hybrid": evaluate.metrics(spark, both, truth(spark, d))})
+    both = Workspace(spark, "both").write(merge.merge_first_match(spark, r, found(spark, d)))
+    return evaluate.comparison(evaluate.metrics_of_runs(spark, {"regex_only": r, "hybrid": both}, truth(spark, d)))
 
 
 def merge_first_match(spark: SparkSession, d: str) -> DataFrame:

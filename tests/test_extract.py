@@ -90,3 +90,32 @@ def test_stream_drops_repeats(spark, tmp_path):
     q = stream_matches(spark.readStream.schema(df.schema).parquet(src)).writeStream.format("memory").queryName("arrivals").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert sorted((r["page_num"], r["key"]) for r in spark.table("arrivals").collect()) == [(1, "cir/cfd/4/2012"), (2, "cir/cfd/4/2012")]
+
+
+def test_what_a_pattern_needs_loses_no_match(spark):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from citeweave.functions.text import folded
+
+    few = ["SEBI/HO/MRD/P/CIR/2010/1", "cir/mrd/1/2010", "CDMRD-DEA/03/2015", "Master  Circular No. X-1", "SEBI (x) Regulation, 2010", "Securities and Exchange Board of India Act 1992", "Securities Contract (Regulation) Act, 1956"]
+    few += ["Depositories Act, 1996", "Companies Act 2013", *(f"{x} 1999" for x in ("Prevention of Money Laundering Act", "Income Tax Act", "Indian Contract Act", "Foreign Exchange Management Act", "Insolvency and Bankruptcy Code"))]
+    few += [*(f"{x} 2 of the bye-laws of it" for x in ("Section", "Regulation", "Rule", "Clause", "Chapter")), "Gazette of India", "letter no. X/1 dated May 1, 2010", "circular X/1 dated May 1, 2010", *(f"{x}/A/1/2010" for x in ("IMD", "MRD", "MIRSD", "OIAE", "CFD"))]
+    odd = [t.replace("s", "ſ").replace("S", "ſ").replace("K", "K").replace("k", "K").replace("I", "ı").replace("i", "İ") for t in few]
+    p = spark.createDataFrame([("d", n, t) for n, t in enumerate(few + odd + [x.swapcase() for x in few] + ["nothing"])], "doc_id string, page_num int, text string")
+    told = lambda ps: sorted(map(tuple, extract.matches(p, ps).collect()))
+    assert told(PATTERNS) == told([replace(x, needs=()) for x in PATTERNS]) and all(x.needs for x in PATTERNS)
+    assert {r[2] for r in told(PATTERNS)} == set(range(1, 14)) and {r[1] for r in told(PATTERNS)} == set(range(3 * len(few)))
+    chars = spark.createDataFrame([(chr(c),) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000], "c string").where(F.col("c").rlike("(?idU)^(?:" + "|".join("abcdefghijklmnopqrstuvwxyz") + ")$"))
+    got = {r["c"]: r["f"] for r in chars.select("c", folded("c").alias("f")).collect()}
+    assert len(got) == 56 and all(f in "abcdefghijklmnopqrstuvwxyz" for f in got.values())
+
+
+def test_pages_are_matched_once_for_their_references(spark):
+    p = spark.createDataFrame([("d", 1, "Companies Act 2013 and Companies Act 1956")], "doc_id string, page_num int, text string")
+    from citeweave.runtime import Workspace
+
+    found = extract.references(p, ws=Workspace(spark, "t"))
+    assert found._jdf.queryExecution().toString().count("regexp_extract_all") == 0
+    assert [tuple(r) for r in found.orderBy("seq").collect()] == [tuple(r) for r in extract.references(p).orderBy("seq").collect()] and found.count() == 2

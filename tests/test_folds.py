@@ -265,3 +265,29 @@ def test_match_by_bands_equals_the_sequential_pass(spark):
             up.add(i), ug.add(j), want.add((i, j, -s))
     assert {(r["pi"], r["gi"], r["sim"]) for r in evaluate.match(spark, p, g, many=10).where("doc_id = 'd'").collect()} == want
     assert len({sum(s >= b for b in evaluate.BANDS) for _, _, s in want}) == 3
+
+
+def test_runs_scored_together_equal_each_alone(spark):
+    one, gt = titles(31, 40), titles(32, 30) + ["Act 1"] * 4
+    two = one[5:] + gt[:20] + ["ACT 1"] * 2
+    p, q = (refs(spark, {"d": t, "e": t[:6]}, "regex") for t in (one, two))
+    g = spark.createDataFrame([(d, i, t, "circular", None) for d in "de" for i, t in enumerate(gt)], TRUTH)
+    alone, n = _tables(spark, lambda: evaluate.metrics(spark, p, g))
+    runs, m = _tables(spark, lambda: evaluate.comparison(evaluate.metrics_of_runs(spark, {"one": p, "two": q}, g)))
+    a, b = runs[:2]
+    assert m < n + 4 and (a["precision"], a["recall"], a["f1"]) == tuple(alone[0][k] for k in ("precision", "recall", "f1"))
+    assert (b["precision"], b["recall"], b["f1"]) == tuple(evaluate.metrics(spark, q, g).first()[k] for k in ("precision", "recall", "f1")) != (a["precision"], a["recall"], a["f1"])
+    want = {(r["doc_id"], r["pi"], r["gi"], r["sim"]) for r in evaluate.match(spark, q, g).collect()}
+    for many in (10, evaluate.MANY):
+        got = evaluate.match(spark, [p, q], g, many=many).where(F.col("pi") >= evaluate.RUN).collect()
+        assert {(r["doc_id"], r["pi"] - evaluate.RUN, r["gi"] - evaluate.RUN, r["sim"]) for r in got} == want
+
+
+def test_small_documents_need_no_tables_of_words(spark):
+    pred, gt = titles(41, 30) + ["", "act"], titles(42, 25) + ["act 1"]
+    p, g = refs(spark, {"d": pred}, "regex"), spark.createDataFrame([("d", i, t, "circular", None) for i, t in enumerate(gt)], TRUTH)
+    rows, n = _tables(spark, lambda: similarity_edges(p, g))
+    assert n <= 3 and {(r["pi"], r["gi"], r["sim"]) for r in rows} == {(i, j, sim(a, b)) for i, a in enumerate(pred) for j, b in enumerate(gt) if sim(a, b) >= 0.75}
+    for block in (2000, 10):
+        rows, n = _tables(spark, lambda: duplicate_edges(p, p, later=True, block=block))
+        assert (n <= 2) == (block == 2000) and {(r["pi"], r["gi"]) for r in rows} == {(i, j) for i, a in enumerate(pred) for j in range(i) if dup(a, pred[j])}
