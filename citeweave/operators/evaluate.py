@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from citeweave.operators.ordered import first_fit_pairs, greedy_pairs
 from citeweave.operators.similarity import duplicate_edges, equal_pairs, similarity_edges
-from citeweave.runtime import Workspace
+from citeweave.runtime import Workspace, freeing
 from citeweave.schemas import Settings
 
 #: pairs of rows of a document above which matching goes down by these similarities; neither changes a result
@@ -73,7 +73,9 @@ def metrics(spark: SparkSession, predicted: DataFrame, truth: DataFrame, s: Sett
 
 def metrics_of_runs(spark: SparkSession, runs: dict[str, DataFrame], truth: DataFrame, s: Settings = Settings(), fuzzy: bool = True) -> dict[str, DataFrame]:
     """``metrics`` of several lists of predictions for the same truth."""
-    pairs = Workspace(spark, "runs").write(match(spark, list(runs.values()), truth, s, fuzzy))
+    ws = Workspace(spark, "runs")
+    with freeing(spark):
+        pairs = ws.write(match(spark, list(runs.values()), truth, s, fuzzy))
     return {name: _scored(pairs.where(F.shiftright("pi", 48) == k), r, truth) for k, (name, r) in enumerate(runs.items())}
 
 

@@ -14,7 +14,7 @@ from citeweave.operators import evaluate, extract, merge, model, search
 from citeweave.operators.similarity import duplicate_edges, similarity_edges
 from citeweave.patterns import PATTERNS
 from citeweave.plans import pipeline
-from citeweave.runtime import Workspace
+from citeweave.runtime import Workspace, freeing
 from citeweave.sources.readers import page_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,8 @@ RARE = (6, 7)
 def _refs(spark: SparkSession, d: str) -> DataFrame:
     """Citations that the patterns find, written once for operators that read them several times."""
     ws = Workspace(spark, "references")
-    return ws.write(extract.references(pages(spark, d), ws=ws))
+    with freeing(spark):
+        return ws.write(extract.references(pages(spark, d), ws=Workspace(spark, "pages")))
 
 
 def _pattern(p) -> Query:
@@ -104,7 +105,9 @@ def missed_gt(spark: SparkSession, d: str) -> DataFrame:
 
 def comparison(spark: SparkSession, d: str) -> DataFrame:
     r = _refs(spark, d)
-    both = Workspace(spark, "both").write(merge.merge_first_match(spark, r, found(spark, d)))
+    ws = Workspace(spark, "both")
+    with freeing(spark):
+        both = ws.write(merge.merge_first_match(spark, r, found(spark, d)))
     return evaluate.comparison(evaluate.metrics_of_runs(spark, {"regex_only": r, "hybrid": both}, truth(spark, d)))
 
 

@@ -291,3 +291,16 @@ def test_small_documents_need_no_tables_of_words(spark):
     for block in (2000, 10):
         rows, n = _tables(spark, lambda: duplicate_edges(p, p, later=True, block=block))
         assert (n <= 2) == (block == 2000) and {(r["pi"], r["gi"]) for r in rows} == {(i, j) for i, a in enumerate(pred) for j in range(i) if dup(a, pred[j])}
+
+
+def test_tables_of_a_block_are_freed(spark):
+    from pathlib import Path
+
+    from citeweave.runtime import Workspace, freeing
+
+    ws, g = Workspace(spark, "kept"), spark.createDataFrame([("d", i, t, "circular", None) for i, t in enumerate(titles(52, 20))], TRUTH)
+    root = Path(ws.root.removeprefix("file://")).parent
+    before = {*root.iterdir()} if root.exists() else set()
+    with freeing(spark):
+        kept = ws.write(evaluate.match(spark, refs(spark, {"d": titles(51, 20)}, "regex"), g))
+    assert {x.name for x in {*root.iterdir()} - before} == {Path(ws.root).name} and kept.count() > 0
