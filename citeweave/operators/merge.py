@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.operators.ordered import first_seeds
-from citeweave.operators.similarity import duplicate_edges
-from citeweave.runtime import Workspace, numbered
+from citeweave.operators.similarity import duplicate_edges, first_edges
+from citeweave.runtime import Workspace, freeing, numbered
 from citeweave.schemas import Settings
 
 
@@ -17,6 +17,23 @@ def _listed(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.withColumn("n", F.col("_l").cast("bigint") * (1 << 48) + F.col("seq"))
 
 
+def _seeds(spark: SparkSession, rows: DataFrame, seq: str, s: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
+    """(doc_id, member, seed): ``first_seeds`` of the duplicates among ``rows``; a row alone may not come out.
+
+    Rows of one title go where the first of them goes: whatever seed that one has comes before them too, and if it is a seed
+    itself, no earlier one is theirs. So only first rows are held against each other, and no other row is a seed.
+    The tables of titles are freed.
+    """
+    ws = Workspace(spark, "led")
+    with freeing(spark):
+        edges, others = first_edges(spark, rows, seq, s, fuzzy)
+        seeds = ws.write(first_seeds(spark, edges.select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))))
+        led = others.join(seeds.withColumnRenamed("member", "seq"), ["doc_id", "seq"], "left")
+        led = ws.write(led.select("doc_id", F.col("other").alias("member"), F.coalesce("seed", "seq").alias("seed")))
+    # a first row that leads only rows of its own title comes out by itself, too
+    return seeds.unionByName(led).unionByName(led.select("doc_id", F.col("seed").alias("member"), "seed").distinct().join(seeds, ["doc_id", "member"], "left_anti"))
+
+
 def _absorbed(spark: SparkSession, both: DataFrame, s: Settings, fuzzy: bool) -> DataFrame:
     """both with ``seed``: the row that a row of the second list goes into (itself if none)."""
     old, new = both.where("_l = 0"), both.where("_l = 1")
@@ -24,8 +41,7 @@ def _absorbed(spark: SparkSession, both: DataFrame, s: Settings, fuzzy: bool) ->
     across = duplicate_edges(new, old, "n", "n", s, fuzzy, first=True)
     across = Workspace(spark, "across").write(across.groupBy("doc_id", F.col("pi").alias("member")).agg(F.min("gi").alias("seed")))
     free = new.join(across.withColumnRenamed("member", "n"), ["doc_id", "n"], "left_anti")
-    within = duplicate_edges(free, free, "n", "n", s, fuzzy, later=True).select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))
-    seeds = first_seeds(spark, within).unionByName(across)
+    seeds = _seeds(spark, free, "n", s, fuzzy).unionByName(across)
     return both.join(seeds.withColumnRenamed("member", "n"), ["doc_id", "n"], "left").withColumn("seed", F.coalesce("seed", "n"))
 
 
@@ -59,16 +75,25 @@ def merge_new_only(spark: SparkSession, existing: DataFrame, found: DataFrame, s
 
 def seed_clusters(spark: SparkSession, refs: DataFrame) -> DataFrame:
     """refs with ``seed``, the seq of their cluster's first row: a seed takes in every later free row one of whose titles holds the other."""
-    edges = duplicate_edges(refs, refs, fuzzy=False, later=True).select("doc_id", F.col("gi").alias("a"), F.col("pi").alias("b"))
-    seeds = first_seeds(spark, edges)
-    return refs.join(seeds.withColumnRenamed("member", "seq"), ["doc_id", "seq"], "left").withColumn("seed", F.coalesce("seed", "seq"))
+    return clustered(spark, refs).drop("alone")
+
+
+def clustered(spark: SparkSession, refs: DataFrame) -> DataFrame:
+    """``seed_clusters`` with ``alone``, whether a row is a cluster by itself."""
+    seeds = _seeds(spark, refs, "seq", fuzzy=False)
+    rows = refs.join(seeds.withColumnRenamed("member", "seq"), ["doc_id", "seq"], "left")
+    return rows.withColumn("alone", F.col("seed").isNull()).withColumn("seed", F.coalesce("seed", "seq"))
 
 
 def collapse(clustered: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """One row a cluster: longest title (the earliest of equals) and its type, pages sorted, source both if sources differ.
 
-    A cluster of one row stays as it is, its pages unsorted. ``chosen`` (doc_id, seed, title, pages) overrides title and adds pages.
+    A cluster of one row stays as it is, its pages unsorted; rows told to be ``alone`` aren't moved to find that out.
+    ``chosen`` (doc_id, seed, title, pages) overrides title and adds pages.
     """
+    alone = None
+    if "alone" in clustered.columns:
+        alone, clustered = clustered.where("alone"), clustered.where("NOT alone")
     longest = F.max_by(F.struct("title", "type"), F.struct(F.length("title"), -F.col("seq"))).alias("best")
     every = F.flatten(F.collect_list(F.coalesce("page_numbers", F.array().cast("array<int>"))))
     out = clustered.groupBy("doc_id", "seed").agg(
@@ -82,4 +107,6 @@ def collapse(clustered: DataFrame, chosen: DataFrame | None = None) -> DataFrame
         "doc_id", "seed", F.when(F.col("k") > 1, title).otherwise(F.col("best.title")).alias("title"), F.col("best.type").alias("type"),
         F.when(F.col("k") > 1, pages).otherwise(F.col("own")).alias("page_numbers"), F.when(F.size("sources") > 1, "both").otherwise(F.get("sources", F.lit(0))).alias("source"),
     )
+    if alone is not None:
+        out = out.unionByName(alone.select(*out.columns))
     return _renumbered(out, "seed").select("doc_id", "seq", "title", "type", "page_numbers", "source")

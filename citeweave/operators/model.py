@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import prompts
 from citeweave.operators.extract import page_batches
-from citeweave.operators.merge import collapse, seed_clusters
+from citeweave.operators.merge import clustered, collapse
 from citeweave.runtime import Workspace, numbered
 from citeweave.schemas import Settings
 
@@ -204,12 +204,14 @@ def extract(spark: SparkSession, pages: DataFrame, refs: DataFrame | None, clien
 
 def deduplicate(spark: SparkSession, refs: DataFrame, client: Client | None = None, s: Settings = Settings()) -> DataFrame:
     """refs collapsed by containment; the model names the title of clusters of two to four rows, the longest title stands where it can't."""
-    c = seed_clusters(spark, refs)
+    ws = Workspace(spark, "clusters")
+    c = ws.write(clustered(spark, refs))
     if client is None:
-        return collapse(c)
-    c = Workspace(spark, "clusters").write(c)
+        out = collapse(c)
+        ws.drop(c)
+        return out
     member = F.struct("seq", F.struct("title", "page_numbers").alias("m"))
-    small = c.groupBy("doc_id", "seed").agg(F.count("*").alias("k"), F.array_sort(F.collect_list(member)).alias("m")).where((F.col("k") > 1) & (F.col("k") <= s.dedup_cluster_limit))
+    small = c.where("NOT alone").groupBy("doc_id", "seed").agg(F.count("*").alias("k"), F.array_sort(F.collect_list(member)).alias("m")).where((F.col("k") > 1) & (F.col("k") <= s.dedup_cluster_limit))
     cluster = F.to_json(F.transform("m", lambda x: x["m"]))
     head, tail = prompts.CANONICAL.split("{cluster}")
     asked = ask(spark, small.select("doc_id", "seed", F.concat(F.lit(head), cluster, F.lit(tail)).alias("prompt")), client, ["doc_id", "seed"])
@@ -225,7 +227,9 @@ def deduplicate(spark: SparkSession, refs: DataFrame, client: Client | None = No
                     rows.append((d, seed, title.strip(), [n for n in map(_int, more) if n is not None] if isinstance(more, list) else []))
             yield pd.DataFrame(rows, columns=["doc_id", "seed", "title", "pages"])
 
-    return collapse(c, asked.where("raw IS NOT NULL").mapInPandas(read, "doc_id string, seed bigint, title string, pages array<int>"))
+    out = collapse(c, asked.where("raw IS NOT NULL").mapInPandas(read, "doc_id string, seed bigint, title string, pages array<int>"))
+    ws.drop(c)  # the rows of out are written
+    return out
 
 
 def verify(spark: SparkSession, refs: DataFrame, client: Client, s: Settings = Settings()) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.functions.close import close_pairs
@@ -32,6 +32,8 @@ BLOCK, PAIRS = 2000, 128
 SMALL = 50_000
 #: keys asked for, above which holders aren't filtered by a bitmap of them before they are moved
 ASKED = 10_000_000
+#: bits of that bitmap, and parts in which it is made
+BITS, PARTS = 1 << 27, 1024
 
 _SEPARATOR = re.compile(r"[\W_]+")
 
@@ -97,8 +99,9 @@ def _frequent(*sides: DataFrame) -> dict[str, int]:
     return {r["w"]: r["c"] for r in seen.collect()}
 
 
-def _holds(ws: Workspace, holders: DataFrame, held: DataFrame, k: str, h: str, frequent: dict[str, int], block: int) -> DataFrame:
-    """Rows of ``holders`` (title in ``k``) joined with those of ``held`` (title in ``h``) that they hold, within a document."""
+def _holds(ws: Workspace, holders: DataFrame, held: DataFrame, k: str, h: str, frequent: dict[str, int], block: int, own: bool = True) -> DataFrame:
+    """Rows of ``holders`` (title in ``k``) joined with those of ``held`` (title in ``h``) that they hold, within a document; if not ``own``, but for equal titles."""
+    holds = F.col(k).contains(F.col(h)) if own else F.col(k).contains(F.col(h)) & (F.col(k) != F.col(h))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -119,38 +122,56 @@ def _holds(ws: Workspace, holders: DataFrame, held: DataFrame, k: str, h: str, f
     if (asked.metrics["n"] or 0) <= ASKED:
         under = under.where(_among(asks)("_at"))
     met = under.alias("x").join(asks.alias("y"), (F.col("x._at") == F.col("y._at")) & (F.col("x.doc_id") == F.col("y.doc_id")))
-    out = ws.write(met.where(F.col(k).contains(F.col(h))).select("x.doc_id", *[c for c in holders.columns if c != "doc_id"], *[c for c in held.columns if c != "doc_id"]))
+    out = ws.write(met.where(holds).select("x.doc_id", *[c for c in holders.columns if c != "doc_id"], *[c for c in held.columns if c != "doc_id"]))
     if asked.metrics["short"]:
         short = asked.where("_w IS NULL").drop("_w", "_f", "_at")
         a, b, on, _ = _blocks(ws, *((holders, short) if k == "ka" else (short, holders)), block)
         met = a.withColumn("_y", _every("j")).drop("i", "j", "_large").join(b.withColumn("_x", _every("i")).drop("i", "j", "_large"), on).drop("_x", "_y")
-        out = out.unionByName(met.where(F.col(k).contains(F.col(h))).select(*out.columns))
+        out = out.unionByName(met.where(holds).select(*out.columns))
     return out
 
 
 def _among(asks: DataFrame):
-    """Column function that tells keys nobody asks for, so that their rows aren't moved; some of those it lets pass."""
-    bits = np.zeros(1 << 24, np.uint8)  # a bit of 2 ** 27 for each key asked for
-    for batch in np.array_split(asks.select(F.pmod("_at", F.lit(1 << 27)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64), 8):
-        np.bitwise_or.at(bits, batch >> 3, (1 << (batch & 7)).astype(np.uint8))
+    """Column function that tells keys nobody asks for, so that their rows aren't moved; some of those it lets pass.
+
+    Tasks set the bits, each those of its own parts of the bitmap, so the driver gets 16 MB however many keys there are.
+    """
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros((PARTS, BITS // 8 // PARTS), np.uint8)
+        for df in batches:
+            _set(own.reshape(-1), df["b"].to_numpy(np.int64))
+        some = np.flatnonzero(own.any(axis=1))
+        yield pd.DataFrame({"part": some.astype("int32"), "bits": [own[i].tobytes() for i in some]})
+
+    at = F.pmod("_at", F.lit(BITS)).cast("int")
+    keys = asks.select(at.alias("b")).repartition(F.floor(F.col("b") / (BITS // PARTS)))
+    bits = np.zeros((PARTS, BITS // 8 // PARTS), np.uint8)
+    for r in keys.mapInPandas(fill, "part int, bits binary").collect():
+        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    bits = bits.reshape(-1)
 
     @F.pandas_udf("boolean")
     def among(x: pd.Series) -> pd.Series:
-        b = x.to_numpy(np.int64) & ((1 << 27) - 1)
+        b = x.to_numpy(np.int64) & (BITS - 1)
         return pd.Series((bits[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool))
 
     return among
 
 
+def _set(bits: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
 def _ddl(t: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema)
 
 
-def _held(ws: Workspace, a: DataFrame, b: DataFrame, block: int, same: bool = False) -> DataFrame:
-    """(doc_id, ka, ai, kb, bi): distinct titles of a document one of which holds the other. With ``same``, b has the rows of a."""
+def _held(ws: Workspace, a: DataFrame, b: DataFrame, block: int, same: bool = False, own: bool = True) -> DataFrame:
+    """(doc_id, ka, ai, kb, bi): distinct titles of a document one of which holds the other. With ``same``, b has the rows of a; if not ``own``, equal titles don't come out."""
     frequent = _frequent(a, b)
     cols = ["doc_id", "ka", "ai", "kb", "bi"]
-    one = _holds(ws, a, b, "ka", "kb", frequent, block).select(*cols)
+    one = _holds(ws, a, b, "ka", "kb", frequent, block, own).select(*cols)
     other = one.select("doc_id", *[F.col(x).alias(y) for x, y in zip(cols[3:] + cols[1:3], cols[1:])]) if same else _holds(ws, b, a, "kb", "ka", frequent, block)
     return one.unionByName(other.where("ka <> kb").select(*cols))
 
@@ -221,13 +242,13 @@ def _containing(xs: list[str], ys: list[str], s: Settings, grade: bool) -> Itera
                     yield i, j, r
 
 
-def _in_large(ws: Workspace, a: DataFrame, b: DataFrame, large: DataFrame | None, block: int, same: bool = False) -> DataFrame | None:
+def _in_large(ws: Workspace, a: DataFrame, b: DataFrame, large: DataFrame | None, block: int, same: bool = False, own: bool = True) -> DataFrame | None:
     """``_held`` of the large documents; none if there are none."""
     if large is None:
         return None
     of = lambda t: ws.write(t.join(large, "doc_id", "left_semi"), n="count(1)")
     a, b = of(a), None if same else of(b)
-    return _held(ws, a, _renamed(a) if same else b, block, same)
+    return _held(ws, a, _renamed(a) if same else b, block, same, own)
 
 
 def _renamed(a: DataFrame) -> DataFrame:
@@ -252,9 +273,26 @@ def duplicate_edges(left: DataFrame, right: DataFrame, ls: str = "seq", rs: str
     ws = Workspace(left.sparkSession, "titles")
     same = left is right and ls == rs
     a = _distinct(ws, left, ls, "ka", "ai")
-    b = _renamed(a) if same else _distinct(ws, right, rs, "kb", "bi")
+    return _edges(ws, a, _renamed(a) if same else _distinct(ws, right, rs, "kb", "bi"), s, fuzzy, later, block, first, same)
+
+
+def first_edges(spark: SparkSession, rows: DataFrame, seq: str, s: Settings = Settings(), fuzzy: bool = True, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, pi, gi), pi > gi: the duplicates among the first rows of a document's titles; (doc_id, seq, other): those first rows with each other row of their title).
+
+    A title of n rows is one row here, not n * n edges.
+    """
+    ws = Workspace(spark, "titles")
+    every = _distinct(ws, rows, seq, "ka", "ai")
+    a = every.withColumn("ai", F.slice("ai", 1, 1))
+    a.metrics = every.metrics
+    others = every.where(F.size("ai") > 1).select("doc_id", F.col("ai")[0].alias("seq"), F.explode("ai").alias("other")).where("seq <> other").distinct()
+    return _edges(ws, a, _renamed(a), s, fuzzy, True, block, False, True, own=False), others
+
+
+def _edges(ws: Workspace, a: DataFrame, b: DataFrame, s: Settings, fuzzy: bool, later: bool, block: int, first: bool, same: bool, own: bool = True) -> DataFrame:
+    """``duplicate_edges`` of distinct titles. With ``own`` false no title is held against itself."""
     close, large = _close(ws, a, b, s, block, later, first, exact=False) if fuzzy else (None, None)
-    hit = _in_large(ws, a, b, large, block, same) if fuzzy else _held(ws, a, b, block, same)
+    hit = _in_large(ws, a, b, large, block, same, own) if fuzzy else _held(ws, a, b, block, same, own)
     if hit is None:
         return close.drop("sim")
     if later:

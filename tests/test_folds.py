@@ -304,3 +304,31 @@ def test_tables_of_a_block_are_freed(spark):
     with freeing(spark):
         kept = ws.write(evaluate.match(spark, refs(spark, {"d": titles(51, 20)}, "regex"), g))
     assert {x.name for x in {*root.iterdir()} - before} == {Path(ws.root).name} and kept.count() > 0
+
+
+def test_a_title_cited_often_is_one_row_of_the_clusters(spark, monkeypatch):
+    titles = ["Melpeltam Trust Deeds Act, 1999"] * 700 + ["the Melpeltam Trust Deeds Act, 1999 as amended", "Griwal Rules", None, "see Griwal Rules"] * 3
+    order = random.Random(5).sample(range(len(titles)), len(titles))
+    rows = spark.createDataFrame([("d", seq, titles[i]) for seq, i in enumerate(order)], "doc_id string, seq bigint, title string")
+    keys, want = [titles[i] and titles[i].lower() for i in order], {}
+    for b, k in enumerate(keys):
+        want[b] = next((a for a in range(b) if want[a] == a and k is not None and keys[a] is not None and (keys[a] in k or k in keys[a])), b)
+    seen = []
+    monkeypatch.setattr(merge, "first_seeds", lambda spark, edges: seen.append(edges.count()) or first_seeds(spark, edges))
+    got = merge.clustered(spark, rows).collect()
+    assert len(got) == len(want) and {r["seq"]: r["seed"] for r in got} == want
+    assert seen == [2]  # not 700 * 700 / 2
+    one = {b for b in want if list(want.values()).count(want[b]) == 1}
+    assert {r["seq"] for r in got if r["alone"]} == one and len(one) == 3
+
+
+def test_keys_asked_for_stay_off_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from citeweave.operators.similarity import _among
+
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: 1 / 0)
+    keys = spark.range(40_000).selectExpr("id", "xxhash64(id) AS _at")
+    among = _among(keys.where("id % 2 = 0"))
+    assert keys.where("id % 2 = 0").where(among("_at")).count() == 20_000
+    assert keys.where("id % 2 = 1").where(among("_at")).count() < 100
