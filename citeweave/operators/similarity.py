@@ -80,7 +80,7 @@ def _every(n: str):
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
 
-def _frequent(*sides: DataFrame) -> dict[str, int]:
+def _frequent(ws: Workspace, *sides: DataFrame) -> dict[str, int]:
     """Words and pairs of words that stand in more than 1/5000 of all titles: never more than 5,000 times the words of a title."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +96,7 @@ def _frequent(*sides: DataFrame) -> dict[str, int]:
     titles = sides[0].select(F.col("ka").alias("k")).unionByName(sides[1].select(F.col("kb").alias("k")))
     total = sum(t.metrics["n"] or 0 for t in sides)
     seen = titles.mapInPandas(count, "w string, c bigint").groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") > max(20, total // 5000))
-    return {r["w"]: r["c"] for r in seen.collect()}
+    return {r["w"]: r["c"] for r in ws.write(seen).collect()}
 
 
 def _holds(ws: Workspace, holders: DataFrame, held: DataFrame, k: str, h: str, frequent: dict[str, int], block: int, own: bool = True) -> DataFrame:
@@ -120,7 +120,7 @@ def _holds(ws: Workspace, holders: DataFrame, held: DataFrame, k: str, h: str, f
     under = holders.mapInPandas(stand, f"{_ddl(holders)}, _w string").select(*holders.columns, at)
     asks = asked.where("_w IS NOT NULL").drop("_f", "_w")
     if (asked.metrics["n"] or 0) <= ASKED:
-        under = under.where(_among(asks)("_at"))
+        under = under.where(_among(ws, asks)("_at"))
     met = under.alias("x").join(asks.alias("y"), (F.col("x._at") == F.col("y._at")) & (F.col("x.doc_id") == F.col("y.doc_id")))
     out = ws.write(met.where(holds).select("x.doc_id", *[c for c in holders.columns if c != "doc_id"], *[c for c in held.columns if c != "doc_id"]))
     if asked.metrics["short"]:
@@ -131,7 +131,7 @@ def _holds(ws: Workspace, holders: DataFrame, held: DataFrame, k: str, h: str, f
     return out
 
 
-def _among(asks: DataFrame):
+def _among(ws: Workspace, asks: DataFrame):
     """Column function that tells keys nobody asks for, so that their rows aren't moved; some of those it lets pass.
 
     Tasks set the bits, each those of its own parts of the bitmap, so the driver gets 16 MB however many keys there are.
@@ -147,8 +147,10 @@ def _among(asks: DataFrame):
     at = F.pmod("_at", F.lit(BITS)).cast("int")
     keys = asks.select(at.alias("b")).repartition(F.floor(F.col("b") / (BITS // PARTS)))
     bits = np.zeros((PARTS, BITS // 8 // PARTS), np.uint8)
-    for r in keys.mapInPandas(fill, "part int, bits binary").collect():
+    made = ws.write(keys.mapInPandas(fill, "part int, bits binary"))
+    for r in made.collect():
         bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    ws.drop(made)
     bits = bits.reshape(-1)
 
     @F.pandas_udf("boolean")
@@ -169,7 +171,7 @@ def _ddl(t: DataFrame) -> str:
 
 def _held(ws: Workspace, a: DataFrame, b: DataFrame, block: int, same: bool = False, own: bool = True) -> DataFrame:
     """(doc_id, ka, ai, kb, bi): distinct titles of a document one of which holds the other. With ``same``, b has the rows of a; if not ``own``, equal titles don't come out."""
-    frequent = _frequent(a, b)
+    frequent = _frequent(ws, a, b)
     cols = ["doc_id", "ka", "ai", "kb", "bi"]
     one = _holds(ws, a, b, "ka", "kb", frequent, block, own).select(*cols)
     other = one.select("doc_id", *[F.col(x).alias(y) for x, y in zip(cols[3:] + cols[1:3], cols[1:])]) if same else _holds(ws, b, a, "kb", "ka", frequent, block)

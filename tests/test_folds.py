@@ -326,9 +326,10 @@ def test_keys_asked_for_stay_off_the_driver(spark, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 
     from citeweave.operators.similarity import _among
+    from citeweave.runtime import Workspace
 
     monkeypatch.setattr(DataFrame, "toPandas", lambda self: 1 / 0)
     keys = spark.range(40_000).selectExpr("id", "xxhash64(id) AS _at")
-    among = _among(keys.where("id % 2 = 0"))
+    among = _among(Workspace(spark, "asked"), keys.where("id % 2 = 0"))
     assert keys.where("id % 2 = 0").where(among("_at")).count() == 20_000
     assert keys.where("id % 2 = 1").where(among("_at")).count() < 100
